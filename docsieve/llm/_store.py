@@ -40,5 +40,6 @@ def col(name: str):
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts fits a worker."""
+    """Bounds the rows and bytes of an Arrow batch, so that a batch of long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

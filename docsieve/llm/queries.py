@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
+from .decontamination import contamination
+from .language_id import fit_languages, held_in, identify
 from .line_dedup import dedup_lines
+from .secrets import joined, scan_secrets
+from .sharding import shard_rows
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +49,35 @@ FROM m GROUP BY doc_id
 """
 
 
+def op3_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    out = bpe_round_trip(_docs(spark, sf_dir).select("doc_id", "text"), path or tokenizer_file())
+    return out.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    learned = fit_languages(docs.where(held_in("doc_id")))
+    out = identify(docs.select("doc_id", "text"), learned)
+    return out.select("row.doc_id", (~held_in("row.doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(_docs(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_line_dedup,)}
+    return {f.__name__: f for f in (op3_bpe_encoding, op4_benchmark_decontamination, op5_line_dedup, op7_sharding, op8_language_id, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
