@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,9 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bounds the rows and bytes of an Arrow batch, so that a batch of long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of tables that have been stored: it does so when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

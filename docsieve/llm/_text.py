@@ -126,7 +126,9 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
         else:
             h[inside] = mix(h[inside] * np.uint64(0x9FB21C651E98DF25) + words[at[inside] + i])
     h = mix(h + length.astype(np.uint64))
-    order = np.lexsort((h, doc))
+    order = np.argsort(h)
+    few = np.uint16 if len(n) < 1 << 16 else np.int64
+    order = order[np.argsort(doc[order].astype(few), kind="stable")]
     h, doc = h[order], doc[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])

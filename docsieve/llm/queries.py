@@ -11,6 +11,7 @@ from .bpe import bpe_round_trip
 from .decontamination import contamination
 from .language_id import fit_languages, held_in, identify
 from .line_dedup import dedup_lines
+from .ngram_join import ngram_components
 from .secrets import joined, scan_secrets
 from .sharding import shard_rows
 
@@ -49,6 +50,10 @@ FROM m GROUP BY doc_id
 """
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_docs(spark, sf_dir), k=3, num=90, den=100).withColumnRenamed("id", "doc_id")
+
+
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     out = bpe_round_trip(_docs(spark, sf_dir).select("doc_id", "text"), path or tokenizer_file())
     return out.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -77,7 +82,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_encoding, op4_benchmark_decontamination, op5_line_dedup, op7_sharding, op8_language_id, op9_secret_scans)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_bpe_encoding, op4_benchmark_decontamination, op5_line_dedup, op7_sharding, op8_language_id, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
