@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .decontamination import contamination
+from .embedding_dedup import near_duplicates
 from .language_id import fit_languages, held_in, identify
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
+from .quality import fit_quality, score_quality
 from .secrets import joined, scan_secrets
 from .sharding import shard_rows
+from .token_counts import count_tokens, sentencepiece_pieces, zipf_scores
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -54,6 +57,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_docs(spark, sf_dir), k=3, num=90, den=100).withColumnRenamed("id", "doc_id")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(held_in("doc_id"))
+    out = score_quality(docs, fit_quality(docs, labels))
+    return out.select("row.doc_id", (~held_in("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     out = bpe_round_trip(_docs(spark, sf_dir).select("doc_id", "text"), path or tokenizer_file())
     return out.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -64,6 +74,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -81,8 +95,17 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    scores = zipf_scores(sentencepiece_pieces(path or tokenizer_file("piece_bpe_32k.model")))
+    return count_tokens(_docs(spark, sf_dir), scores).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_bpe_encoding, op4_benchmark_decontamination, op5_line_dedup, op7_sharding, op8_language_id, op9_secret_scans)}
+    named = (
+        op1_ngram_jaccard_join, op2_quality_classifier, op3_bpe_encoding, op4_benchmark_decontamination, op5_line_dedup,
+        op6_embedding_near_dedup, op7_sharding, op8_language_id, op9_secret_scans, op10_token_counts,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
