@@ -78,7 +78,7 @@ def truth_form(value: Column, field: Column) -> Column:
 
 def report_form(value: Column) -> Column:
     """How document fields are compared with the truth: numbers without a zero fraction, yes and no as booleans, no last full stop."""
-    s = F.rtrim(F.lit("."), row_form(F.coalesce(value, F.lit(""))))
+    s = F.rtrim(row_form(F.coalesce(value, F.lit(""))), F.lit("."))
     s = F.when(s.rlike(r"^-?\d+\.0+$"), F.regexp_extract(s, r"^(-?\d+)", 1)).otherwise(s)
     return F.when(s.isin("TRUE", "SI"), "true").when(s.isin("FALSE", "NO"), "false").otherwise(s)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scalar_queries
+from . import relational_queries, scalar_queries
 
-MODULES = (scalar_queries,)
+MODULES = (scalar_queries, relational_queries)
 
 
 def queries() -> dict:
