@@ -38,10 +38,8 @@ def dates_found(t: Column, as_of: Column) -> Column:
     written = rf"^(\d+)\s*(?:DE\s*)?({'|'.join(MONTHS)})\s*(?:DEL|DE)?\s*(\d+)$"
 
     def named(s: Column) -> Column:
-        name = F.regexp_extract(s["value"], written, 2)
-        month = F.lit(None).cast("int")
-        for m, n in zip(MONTHS, MONTH_NUMBER):
-            month = F.when(name == m, n).otherwise(month)
+        place = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(s["value"], written, 2)).cast("int")
+        month = F.get(F.array(*map(F.lit, MONTH_NUMBER)), place - 1)
         return F.struct(s["pos"].alias("pos"), date_of(_number(s["value"], written, 3), month, _number(s["value"], written, 1)).alias("date"))
 
     b = F.transform(spans(t, WRITTEN_DATE), named)

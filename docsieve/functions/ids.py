@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import compact, first, row_form
+from .text import compact, first, let, row_form
 
 # Check letters and what readers confuse.
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
@@ -31,21 +31,35 @@ def dni_letter(number: Column) -> Column:
 
 def person_id_ok(value: Column) -> Column:
     """DNI or NIE with the right check letter."""
-    v = compact(value)
-    digits = F.concat(F.translate(F.substring(v, 1, 1), "XYZ", "012"), F.substring(v, 2, 7))
-    return v.rlike(r"^(?:\d{8}|[XYZ]\d{7})[A-Z]$") & F.coalesce(dni_letter(digits) == F.substring(v, 9, 1), F.lit(False))
+    def test(v: Column) -> Column:
+        digits = F.concat(F.translate(F.substring(v, 1, 1), "XYZ", "012"), F.substring(v, 2, 7))
+        return v.rlike(r"^(?:\d{8}|[XYZ]\d{7})[A-Z]$") & F.coalesce(let(digits, dni_letter) == F.substring(v, 9, 1), F.lit(False))
+
+    return let(compact(value), test)
 
 
 def company_id_ok(value: Column) -> Column:
     """CIF with its check digit or letter, whichever its initial asks for."""
-    v = compact(value)
-    digit = lambda i: F.substring(v, i + 1, 1).try_cast("int")
-    doubled = lambda d: F.floor(d * 2 / 10) + d * 2 % 10
-    control = ((10 - (digit(2) + digit(4) + digit(6) + doubled(digit(1)) + doubled(digit(3)) + doubled(digit(5)) + doubled(digit(7))) % 10) % 10).cast("int")
-    last, initial = F.substring(v, 9, 1), F.substring(v, 1, 1)
-    by_digit, by_letter = last == control.cast("string"), last == F.substring(F.lit(CIF_LETTERS), control + 1, F.lit(1))
-    kind = F.when(initial.isin(*CIF_DIGIT_ONLY), by_digit).when(initial.isin(*CIF_LETTER_ONLY), by_letter).otherwise(by_digit | by_letter)
-    return v.rlike(r"^[ABCDEFGHJKLMNPQRSUVW]\d{7}[0-9A-J]$") & F.coalesce(kind, F.lit(False))
+    def test(v: Column) -> Column:
+        # the digit sums of odd places are doubled: 0 2 4 6 8 1 3 5 7 9
+        digit = lambda i: F.substring(v, i + 1, 1).try_cast("int")
+        doubled = lambda i: F.substring(F.lit("0246813579"), digit(i) + 1, F.lit(1)).try_cast("int")
+        total = digit(2) + digit(4) + digit(6) + doubled(1) + doubled(3) + doubled(5) + doubled(7)
+        last, initial = F.substring(v, 9, 1), F.substring(v, 1, 1)
+
+        def kind(control: Column) -> Column:
+            by_digit, by_letter = last == control.cast("string"), last == F.substring(F.lit(CIF_LETTERS), control + 1, F.lit(1))
+            return F.when(initial.isin(*CIF_DIGIT_ONLY), by_digit).when(initial.isin(*CIF_LETTER_ONLY), by_letter).otherwise(by_digit | by_letter)
+
+        return v.rlike(r"^[ABCDEFGHJKLMNPQRSUVW]\d{7}[0-9A-J]$") & F.coalesce(let((10 - total % 10) % 10, kind), F.lit(False))
+
+    return let(compact(value), test)
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """The table's text for a key; empty for any other."""
+    place = F.array_position(F.array(*map(F.lit, table)), key).cast("int")
+    return F.coalesce(F.get(F.array(*map(F.lit, table.values())), place - 1), F.lit(""))
 
 
 def any_id_ok(value: Column) -> Column:
@@ -58,13 +72,10 @@ def _repaired(t: Column, pattern: str, options: dict[str, str], at_end: bool, ok
     found = F.regexp_extract_all(compact(t), F.lit(pattern), F.lit(1))
 
     def mend(v: Column) -> Column:
-        sign = F.substring(v, -1, 1) if at_end else F.substring(v, 1, 1)
-        out = F.lit(None).cast("string")
-        for read, letters in reversed(options.items()):
-            for letter in reversed(letters):
-                w = F.concat(F.substring(v, 1, 8), F.lit(letter)) if at_end else F.concat(F.lit(letter), F.substring(v, 2, 8))
-                out = F.when((sign == read) & ok(w), w).otherwise(out)
-        return out
+        letters = lookup(options, F.substring(v, -1, 1) if at_end else F.substring(v, 1, 1))
+        spelled = lambda c: F.concat(F.substring(v, 1, 8), c) if at_end else F.concat(c, F.substring(v, 2, 8))
+        tried = F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), spelled)
+        return first(F.filter(tried, ok))
 
     return F.filter(F.transform(found, mend), lambda v: v.isNotNull())
 
@@ -104,9 +115,7 @@ def card_number(t: Column) -> Column:
         raw, last = F.substring(v, 1, 8), F.substring(v, -1, 1)
         number = F.translate(raw, *FRONT_TO_DIGIT)
         expected = dni_letter(number)
-        options = F.lit("")
-        for read, letters in CARD_LETTER_READ_AS.items():
-            options = F.when(last == read, letters).otherwise(options)
+        options = lookup(CARD_LETTER_READ_AS, last)
         ok = (last == expected) | F.contains(options, expected)
         usable = (F.length(F.regexp_replace(raw, r"\D", "")) >= 5) & expected.isNotNull()
         return F.when(usable, F.struct(F.concat(number, F.when(ok, expected).otherwise(last)).alias("dni"), ok.alias("ok")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dates import date_of, full_year
-from .ids import CARD_LETTER_READ_AS, dni_letter
+from .ids import CARD_LETTER_READ_AS, dni_letter, lookup
 from .text import first, let, zone_form
 
 LENGTH = 30
@@ -142,12 +142,7 @@ def parse_zone(df: DataFrame, l1: str, l2: str, l3: str, as_of: Column, out: str
     body = lambda dni: F.concat("_support", "_cs", dni, "_rest", "_tail")
     d = d.withColumns({"_c0": check_digit(body(F.col("_dni")), 50), "_fixed": F.concat(s(F.col("_dni"), 0, 8), F.coalesce("_expected", F.lit("")))})
     d = d.withColumns({"_c1": check_digit(body(F.col("_fixed")), 50)})
-    options = F.lit("")
-    for read, can in CARD_LETTER_READ_AS.items():
-        options = F.when(F.col("_read") == read, can).otherwise(options)
-    more = F.lit("")
-    for read, can in CARD_LETTER_READ_AS.items():
-        more = F.when(s(F.col("_dni"), 8, 1) == read, can).otherwise(more)
+    options, more = lookup(CARD_LETTER_READ_AS, F.col("_read")), lookup(CARD_LETTER_READ_AS, s(F.col("_dni"), 8, 1))
     letter_ok = F.coalesce(F.col("_expected") == s(F.col("_dni"), 8, 1), F.lit(False))
     known = F.contains(F.concat(options, more), F.col("_expected"))
     mended = F.coalesce(F.col("_es") & ~letter_ok & known & (F.col("_c1") == F.col("_cc")) & (F.col("_c0") != F.col("_cc")), F.lit(False))

@@ -89,8 +89,8 @@ def labelled(label: str, value: str | None = None, rows_below: float = 3.0, line
         keyed = lambda a, *k: F.transform(F.array_sort(F.transform(a, lambda o: F.struct(*[f(o).alias(f"k{i}") for i, f in enumerate(k)], o["line_no"].alias("n"), o["text"].alias("text"), o["alt"].alias("alt"), o["norm"].alias("norm")))), lambda s: F.struct(s["text"].alias("text"), s["alt"].alias("alt"), s["norm"].alias("norm")))
         to_right, under = keyed(right, lambda o: o["x"]), keyed(below, lambda o: o["y"], lambda o: F.abs(o["x"] - ln["x"]))
         tried = F.when(boxed, F.concat(under, to_right)).otherwise(F.concat(to_right, under))
-        values = F.transform(F.filter(tried, lambda o: ~o["norm"].rlike(label)), lambda o: F.coalesce(accept(o["text"]), accept(o["alt"])))
-        return F.coalesce(accept(rest), first(F.filter(values, lambda v: v.isNotNull())))
+        others = F.flatten(F.transform(F.filter(tried, lambda o: ~o["norm"].rlike(label)), lambda o: F.array(o["text"], o["alt"])))
+        return first(F.filter(F.transform(F.concat(F.array(rest), others), accept), lambda v: v.isNotNull()))
 
     hits = F.transform(F.filter(all_, lambda ln: ln["norm"].rlike(label)), of)
     return first(F.filter(hits, lambda v: v.isNotNull()))

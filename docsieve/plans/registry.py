@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational_queries, scalar_queries
+from . import document_queries, relational_queries, scalar_queries
 
-MODULES = (scalar_queries, relational_queries)
+MODULES = (scalar_queries, relational_queries, document_queries)
 
 
 def queries() -> dict:
