@@ -29,8 +29,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of all texts but the first that holds them; every document stays."""
-    out = dedup_lines(docs)
+    """Takes repeated lines out of all texts but the first that holds them; a document of which nothing is left goes."""
+    out = dedup_lines(docs).where("n_dropped = 0 or trim(kept) <> ''")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
