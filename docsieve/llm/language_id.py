@@ -83,19 +83,31 @@ class Sizer:
         d.precompute_compress(level=level)
         return z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
+    def _sizes(self, zips: list, data: bytes) -> np.ndarray:
+        return np.array([sum(len(c.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK)) for c in zips], float)
+
     def decide(self, text: str) -> tuple[str, float, float]:
         """(label, score, relative margin); ties go to the first label in order."""
         data = normal(text).encode()
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         for zips in self.zip:
-            sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in zips], float)
-            best = int(np.argmin(sizes))
-            rest = np.delete(sizes, best)
-            margin = float((rest.min() - sizes[best]) / sizes[best]) if len(rest) else 1.0
-            if margin >= CLEAR:
+            sizes = self._sizes(zips, data)
+            if _margin(sizes) >= CLEAR:
                 break
+        if _margin(sizes) < MARGIN:
+            # words that only repeat themselves say nothing more: each of them once
+            once = self._sizes(self.zip[-1], normal(" ".join(dict.fromkeys(_WORDS.findall(text.lower())))).encode())
+            sizes = once if _margin(once) > _margin(sizes) else sizes
+        best = int(np.argmin(sizes))
         # half a bit of evidence for each byte that is saved
-        return self.langs[best], float(1.0 / np.exp2(-0.5 * np.minimum(200, sizes - sizes[best])).sum()), margin
+        return self.langs[best], float(1.0 / np.exp2(-0.5 * np.minimum(200, sizes - sizes[best])).sum()), _margin(sizes)
+
+
+def _margin(sizes: np.ndarray) -> float:
+    """How much larger the second-best size is, as a share of the best; 1 for a single label."""
+    if len(sizes) < 2:
+        return 1.0
+    a, b = np.partition(sizes, 1)[:2]
+    return float((b - a) / a)
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
