@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .._ship import ship
+
 LINES = "doc_id string, line_no int, page int, text string, x double, y double, w double, h double, origin string, conf double, alt string, error string"
 Recogniser = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -39,4 +41,5 @@ register("plain", plain_text)
 
 def recognise(pages: DataFrame, name: str) -> DataFrame:
     """Lines of (doc_id, page, content) by a registered recogniser."""
+    ship(pages.sparkSession)
     return pages.select("doc_id", "page", "content").mapInPandas(REGISTRY[name], LINES)
