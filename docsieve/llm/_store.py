@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, as in tests on one machine, a temporary one is set."""
@@ -41,7 +43,8 @@ def col(name: str):
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bounds the rows and bytes of an Arrow batch, so that a batch of long texts fits a worker."""
+    """Before work in Python: sends the package along, and bounds the rows and bytes of an Arrow batch, so that long texts fit a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import col, stored
+from ._store import col, small_batches, stored
 from ._text import batches
 
 #: Probes for each open boundary and round.
@@ -146,6 +146,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, law: str = "bytes", tolerance:
     """
     if law not in ("bytes", "rows", "key"):
         raise ValueError(f"unknown law {law!r}")
+    small_batches(docs.sparkSession, 16_384)
     text = F.coalesce(col(text_col), F.lit(""))
     base = stored(
         docs.select(
