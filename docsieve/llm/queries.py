@@ -100,6 +100,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return count_tokens(_docs(spark, sf_dir), scores).withColumnRenamed("id", "doc_id")
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_1 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n m ON m.doc_id = p.a JOIN n k ON k.doc_id = p.b WHERE 100 * c >= 90 * (m.n + k.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""
+
+_WORDS_4 = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+SQL_4 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS_4}) AS w FROM documents),
+i AS (SELECT cast(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_WORDS_4}) AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, m, unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' '))) AS x FROM (SELECT item, w, least(10, len(w)) AS m FROM i WHERE len(w) > 0) t),
+dw AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS k, unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' '))) AS x FROM d, (SELECT DISTINCT m FROM iw) t WHERE len(w) >= m),
+h AS (SELECT doc_id, item, unnest(range(k, k + dw.m)) AS spot FROM dw JOIN iw ON dw.x = iw.x AND dw.m = iw.m),
+g AS (SELECT doc_id, count(DISTINCT spot) AS n_hit, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_ngram_jaccard_join, op2_quality_classifier, op3_bpe_encoding, op4_benchmark_decontamination, op5_line_dedup,
@@ -109,4 +132,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": SQL_5}
+    return {"op1_ngram_jaccard_join": SQL_1, "op4_benchmark_decontamination": SQL_4, "op5_line_dedup": SQL_5}
