@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .._ship import ship
+
 #: Width over height of a card.
 RATIO = 85.6 / 54
 
@@ -51,3 +57,61 @@ def zone_boxes(template: DataFrame) -> DataFrame:
     x0, y0 = F.greatest(F.lit(0.0), F.col("x") - 0.015), F.greatest(F.lit(0.0), F.col("y") - 0.012)
     x1, y1 = F.least(F.lit(1.0), F.col("x") + F.col("w") + right), F.least(F.lit(1.0), F.col("y") + F.col("h") + 0.012)
     return template.select("key", x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
+
+
+#: Labels above a field of free text, the first that is known.
+LABEL_OF = {"apellidos": ("apellidos", "primer_apellido"), "nombre": ("nombre",)}
+
+
+def name_zones(template: DataFrame) -> DataFrame:
+    """Zones of names from their printed label to the next label below it in its column, whatever the learned photo held.
+
+    template: key, x, y, w, h, with labels as ``etiqueta.<name>``. Names without their label have no row here.
+    A template has a few dozen rows, so the join is a broadcast of it.
+    """
+    options = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(f"etiqueta.{n}").alias("label"), F.lit(i).alias("turn")) for k, names in LABEL_OF.items() for i, n in enumerate(names)])
+    wanted = template.sparkSession.range(1).select(F.explode(options).alias("o")).select("o.*")
+    lab = template.where(F.col("key").startswith("etiqueta.")).select(F.col("key").alias("label"), *[F.col(c).alias(f"l{c}") for c in "xywh"])
+    own = wanted.join(lab, "label").groupBy("key").agg(F.min_by(F.struct("lx", "ly", "lw", "lh"), "turn").alias("l")).select("key", "l.*")
+    d = template.join(F.broadcast(own), "key")
+    under = lab.select(F.col("lx").alias("ox"), F.col("ly").alias("oy"), F.col("lw").alias("ow"))
+    near = (F.col("oy") > F.col("ly") + F.col("lh") * 1.5) & (F.col("ox") < F.col("lx") + F.greatest("lw", F.lit(0.25))) & (F.col("ox") + F.col("ow") > F.col("lx") - 0.02)
+    got = d.join(F.broadcast(under), near, "left").groupBy("key", "x", "y", "w", "h", "lx", "ly", "lw", "lh").agg(F.min("oy").alias("next"))
+    x0, y0 = F.greatest(F.lit(0.0), F.least("lx", "x") - 0.015), F.col("ly") + F.col("lh") * 0.9
+    y1 = F.when(F.col("next").isNull(), F.col("y") + F.col("h") + 0.012).otherwise(F.greatest(F.col("next") - 0.004, y0 + F.col("h")))
+    x1 = F.least(F.lit(1.0), F.greatest(F.col("x") + F.col("w"), F.col("lx") + F.col("lw")) + 0.30)
+    return got.select("key", x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (F.least(F.lit(1.0), y1) - y0).alias("h"))
+
+
+def homography(corners: np.ndarray) -> np.ndarray:
+    """The 3 x 3 map of four corners (from the top left, clockwise) to the unit square; NaN if they are in a line."""
+    target = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
+    rows, right = [], []
+    for (x, y), (u, v) in zip(corners, target):
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
+        right += [u, v]
+    try:
+        return np.append(np.linalg.solve(np.array(rows), np.array(right)), 1).reshape(3, 3)
+    except np.linalg.LinAlgError:
+        return np.full((3, 3), np.nan)
+
+
+def straightened(boxes: DataFrame) -> DataFrame:
+    """(photo_id, key, x, y, w, h): boxes in pixels as fractions of a card seen in perspective.
+
+    boxes: photo_id, key, x, y, w, h, corners (array of eight numbers). The bounds of the
+    four mapped corners of a box count; corners that are in a line give nulls.
+    """
+    ship(boxes.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for photo, key, x, y, w, h, corners in f.itertuples(index=False):
+                p = homography(np.array(corners, float).reshape(4, 2)) @ np.array([[x, x + w, x + w, x], [y, y, y + h, y + h], [1, 1, 1, 1]], float)
+                u, v = p[0] / p[2], p[1] / p[2]
+                ok = bool(np.isfinite(u).all())
+                out.append((photo, key, *((u.min(), v.min(), np.ptp(u), np.ptp(v)) if ok else (None,) * 4)))
+            yield pd.DataFrame(out, columns=["photo_id", "key", "x", "y", "w", "h"])
+
+    return boxes.select("photo_id", "key", "x", "y", "w", "h", "corners").mapInPandas(run, "photo_id string, key string, x double, y double, w double, h double")
