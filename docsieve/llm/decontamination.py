@@ -128,7 +128,7 @@ def find_phrases(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
     """
     spark = index.sparkSession
     small_batches(spark, 8)
-    texts = items.select(col(id_col).cast("string").alias("item"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    texts = items.select(col(id_col).cast("string").alias("item"), F.coalesce(col(text_col), F.lit("")).alias("text")).distinct()
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
     known = _term_counts(index)
