@@ -49,12 +49,15 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     """A dictionary for each label, from at most ``sample_texts`` of its texts in the order of their hashes.
 
     Rows without text or label teach nothing. What reaches the driver is bounded by
-    the number of labels: texts are cut off at ``dict_bytes``, the dictionary's size.
+    the number of labels: about twice ``dict_bytes`` for each.
     """
     rows = labelled.where(col(lang_col).isNotNull() & (F.length(col(text_col)) > 0)).select(col(lang_col).cast("string").alias("lang"), F.xxhash64(col(text_col)).alias("h"), F.substring(col(text_col), 1, dict_bytes).alias("text"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     picked: dict[str, list[str]] = {}
-    for r in rows.withColumn("n", order).where(F.col("n") <= sample_texts).orderBy("lang", "n").toLocalIterator():
+    chosen = rows.withColumn("n", order).where(F.col("n") <= sample_texts)
+    # twice each text's share, as the normal form is shorter
+    share = F.greatest(F.lit(64), F.floor(F.lit(dict_bytes) / F.count("*").over(Window.partitionBy("lang"))))
+    for r in chosen.select("lang", "n", F.substring("text", F.lit(1), (share * 2).cast("int")).alias("text")).orderBy("lang", "n").toLocalIterator():
         own = picked.setdefault(r["lang"], [])
         if r["text"] not in own[-1:]:
             own.append(r["text"])
