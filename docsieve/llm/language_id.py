@@ -52,6 +52,12 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     the number of labels: about twice ``dict_bytes`` for each.
     """
     rows = labelled.where(col(lang_col).isNotNull() & (F.length(col(text_col)) > 0)).select(col(lang_col).cast("string").alias("lang"), F.xxhash64(col(text_col)).alias("h"), F.substring(col(text_col), 1, dict_bytes).alias("text"))
+    # a hash below the share that holds four samples of a label cannot be left out; the others need not be sorted
+    count = {r["lang"]: r["n"] for r in labelled.where(col(lang_col).isNotNull()).groupBy(col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    if not count:
+        return {}
+    limit = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, -(2.0**63) + 2.0**64 * min(1.0, 4 * sample_texts / n))])
+    rows = rows.where(F.col("h").cast("double") <= limit[F.col("lang")])
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     picked: dict[str, list[str]] = {}
     chosen = rows.withColumn("n", order).where(F.col("n") <= sample_texts)
