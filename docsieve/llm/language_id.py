@@ -46,32 +46,41 @@ def held_in(id_col: str, modulus: int = 4, held_out: int = 2) -> Column:
 
 
 def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """A dictionary for each label, from at most ``sample_texts`` of its texts in the order of their hashes.
+    """A dictionary for each label, from at most ``sample_texts`` of its distinct texts in the order of their hashes.
 
-    Rows without text or label teach nothing. What reaches the driver is bounded by
-    the number of labels: about twice ``dict_bytes`` for each.
+    Rows without text or label teach nothing, and copies of a text teach as much as one
+    of them. Each text has the same share of the dictionary, ``dict_bytes`` divided by
+    the number of texts and 64 bytes at least. What reaches the driver is bounded by the
+    number of labels: about twice ``dict_bytes`` for each.
     """
-    rows = labelled.where(col(lang_col).isNotNull() & (F.length(col(text_col)) > 0)).select(col(lang_col).cast("string").alias("lang"), F.xxhash64(col(text_col)).alias("h"), F.substring(col(text_col), 1, dict_bytes).alias("text"))
-    # a hash below the share that holds four samples of a label cannot be left out; the others need not be sorted
-    count = {r["lang"]: r["n"] for r in labelled.where(col(lang_col).isNotNull()).groupBy(col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    texts = labelled.where(col(lang_col).isNotNull() & (F.length(col(text_col)) > 0)).select(col(lang_col).cast("string").alias("lang"), F.xxhash64(col(text_col)).alias("h"), col(text_col).alias("text"))
+    # bits of a hash above the smallest one: counts of distinct texts by them tell how many bits hold a whole sample
+    bits = F.length(F.bin(F.col("h").bitwiseXOR(F.lit(-(2**63)))))
+    count: dict[str, dict[int, int]] = {}
+    for r in texts.select("lang", "h").distinct().groupBy("lang", bits.alias("bits")).agg(F.count("*").alias("n")).collect():
+        count.setdefault(r["lang"], {})[r["bits"]] = r["n"]
     if not count:
         return {}
-    limit = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, -(2.0**63) + 2.0**64 * min(1.0, 4 * sample_texts / n))])
-    rows = rows.where(F.col("h").cast("double") <= limit[F.col("lang")])
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    picked: dict[str, list[str]] = {}
-    chosen = rows.withColumn("n", order).where(F.col("n") <= sample_texts)
+    limit, share = {}, {}
+    for lang, own in count.items():
+        below = 0
+        for limit[lang] in sorted(own):
+            below += own[limit[lang]]
+            if below >= sample_texts:
+                break
+        # the same share of every text, so that no long one fills the dictionary
+        share[lang] = max(64, dict_bytes // max(1, min(sample_texts, below)))
+    of = lambda d: F.create_map(*[F.lit(x) for item in d.items() for x in item])[F.col("lang")]
     # twice each text's share, as the normal form is shorter
-    share = F.greatest(F.lit(64), F.floor(F.lit(dict_bytes) / F.count("*").over(Window.partitionBy("lang"))))
-    for r in chosen.select("lang", "n", F.substring("text", F.lit(1), (share * 2).cast("int")).alias("text")).orderBy("lang", "n").toLocalIterator():
-        own = picked.setdefault(r["lang"], [])
-        if r["text"] not in own[-1:]:
-            own.append(r["text"])
+    width = of(share) * 2
+    rows = texts.where(bits <= of(limit)).select("lang", "h", F.substring("text", F.lit(1), width.cast("int")).alias("text")).groupBy("lang", "h").agg(F.array_min(F.collect_set("text")).alias("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked: dict[str, list[str]] = {}
+    for r in rows.withColumn("n", order).where(F.col("n") <= sample_texts).orderBy("lang", "n").toLocalIterator():
+        picked.setdefault(r["lang"], []).append(r["text"])
     out = {}
-    for lang, texts in picked.items():
-        # the same share of every text, so that no long one fills the dictionary
-        share = max(64, dict_bytes // len(texts))
-        data = b"".join(normal(t).encode()[:share] for t in texts)[:dict_bytes]
+    for lang, parts in picked.items():
+        data = b"".join(normal(t).encode()[: share[lang]] for t in parts)[:dict_bytes]
         if len(data) >= 8:
             out[lang] = data
     return out

@@ -129,6 +129,14 @@ def test_languages(spark):
     assert Sizer(learned).decide("the tree")[0] == "en"
 
 
+def test_languages_are_learned_from_distinct_texts(spark):
+    few = [(i, f"word{'abcdefghijkl'[i % 12]} same", "en") for i in range(6000)]
+    hot = [(i, "hot copied text", "de") for i in range(3000)] + [(i, " ".join(random.Random(i).choices("abcdefgh", k=40)) + f" tail{chr(97 + i)}", "de") for i in range(20)]
+    learned = fit_languages(spark.createDataFrame(few + hot, "doc_id long, text string, lang string"), sample_texts=100, dict_bytes=20_000)
+    assert all(f"word{x}".encode() in learned["en"] for x in "abcdefghijkl") and learned["en"].count(b"same") == 12
+    assert all(f"tail{chr(97 + i)}".encode() in learned["de"] for i in range(20)) and learned["de"].count(b"hot") == 1
+
+
 def test_quality(spark):
     rnd = random.Random(2)
     good = lambda: " ".join(rnd.choices(["word", "Sentence", "text", "reads", "well."], k=60))
