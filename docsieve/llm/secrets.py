@@ -30,9 +30,18 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
-#: name, operator and right side of an assignment in common source and configuration syntax.
-_PAIR = re.compile(r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})(?P=q)[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?P<value>[^\n;,]{1,4096})""")
-_LITERAL = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][A-Za-z0-9_.]*)|([^\s+"'{}()\[\]]+)|(\+)""")
+#: name and operator of an assignment in common source and configuration syntax; its right side comes next.
+_PAIR = re.compile(r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})(?P=q)[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?=\S)""")
+_QUOTED = re.compile(r""""([^"\\\n]*(?:\\.[^"\\\n]*)*)"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)'""")
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+#: An unquoted value: to white space, or to a separator before the next pair of a list of pairs.
+_BARE = re.compile(r"""(?:[^\s,;&]+|[,;&](?!(?:"[A-Za-z_][A-Za-z0-9_.\-]{0,79}"|'[A-Za-z_][A-Za-z0-9_.\-]{0,79}')[ \t]*[:=]|[A-Za-z_][A-Za-z0-9_.\-]{0,79}=))+""")
+#: What may follow a name that stands for its constant, and what joins values.
+_ENDS = re.compile(r"""[\s,;)\]}]|\Z|\+[ \t]*["']""")
+_PLUS = re.compile(r"[ \t]*\+[ \t]*")
+_OPEN = re.compile(r"[ \t(\[{]*")
+#: Code points kept of both ends of a value.
+_EDGE = 32
 #: Parts of names that say their value is to be kept secret, with weights.
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 2.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "api_key": 3.0, "credential": 2.0, "private_key": 3.0, "access_key": 3.0, "auth": 1.0, "signature": 1.0}
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
@@ -52,48 +61,135 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+class _Value:
+    """A literal, or values joined by ``+``: its length, ends and characters, and where it stands, but not its text."""
 
+    __slots__ = ("n", "head", "tail", "span", "of", "counts")
 
-def _score(name: str, value: str) -> float:
-    if len(value) < 6 or _HARMLESS.match(value) or " " in value:
-        return 0.0
-    by_name = max((SENSITIVE[m.group().lower()] for m in _SENSITIVE.finditer(name)), default=0.0)
-    return by_name * (0.5 + min(1.0, entropy(value) / 4)) if by_name else 0.0
+    def __init__(self, n: float, head: str, tail: str, span: tuple[int, int] | None, of: tuple = (), counts: dict | None = None):
+        self.n, self.head, self.tail, self.span, self.of, self.counts = n, head, tail, span, of, counts
+
+
+class _Lexer:
+    """Values of one text. Nothing is read twice where values overlap, so the work is linear in the text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.known: dict[str, _Value] = {}
+        self.quote_end = self.bare_end = -1
+        self.counted: tuple[int, int, Counter] = (0, -1, Counter())
+
+    def literal(self, start: int, end: int) -> _Value:
+        head, tail = self.text[start : min(end, start + _EDGE)], self.text[max(start, end - _EDGE) : end]
+        return _Value(end - start, head, tail, (start, end))
+
+    def counts(self, v: _Value) -> dict:
+        if v.counts is None:
+            start, end = v.span
+            at, stop, c = self.counted
+            if stop == end and at <= start:
+                # a value in a value: what stands before it goes
+                c = c - Counter(self.text[at:start])
+            else:
+                c = Counter(self.text[start:end])
+            self.counted = (start, end, c)
+            v.counts = c
+        return v.counts
+
+    def join(self, parts: list[_Value]) -> _Value:
+        if len(parts) == 1:
+            return parts[0]
+        n, head, tail = 0, "", ""
+        counts: dict[str, float] = {}
+        for p in parts:
+            n, head, tail = n + p.n, head + p.head if len(head) < _EDGE else head, (tail + p.tail)[-_EDGE:]
+            for c, x in self.counts(p).items():
+                counts[c] = counts.get(c, 0) + x
+        while n > 1 << 60:
+            # no such text can be, but names that double each other can say so
+            n, counts = n / 2, {c: x / 2 for c, x in counts.items()}
+        # the parts' own characters are not needed to find where they stand
+        return _Value(n, head[:_EDGE], tail, None, tuple((p.span, p.of) for p in parts), counts)
+
+    def term(self, at: int) -> tuple[_Value | None, int]:
+        """The value at a place, if there is one, and the place after it."""
+        opened = _OPEN.match(self.text, at).end()
+        if m := _QUOTED.match(self.text, opened):
+            self.quote_end = max(self.quote_end, m.end() - 1)
+            return self.literal(*m.span(m.lastindex)), m.end()
+        if m := _NAME.match(self.text, opened):
+            own = self.known.get(m.group())
+            if _ENDS.match(self.text, m.end()):
+                if own or self.text.startswith("+", m.end()):
+                    return own or self.literal(*m.span()), m.end()
+            elif own and self.text.startswith("+", m.end()) and (x := _NAME.match(self.text, m.end() + 1)) and x.group() in self.known:
+                return own, m.end()
+        if self.text.startswith(('"', "'"), opened):
+            opened += 1
+        if opened >= self.bare_end:
+            m = _BARE.match(self.text, opened)
+            self.bare_end = m.end() if m else opened
+        end = self.bare_end if opened >= self.quote_end else min(self.bare_end, self.quote_end)
+        last = end
+        while last > opened and self.text[last - 1] in (",;)]}" if self.text[at:opened].strip() else ",;"):
+            last -= 1
+        return (self.literal(opened, last) if last > opened else None), end
+
+    def value(self, at: int) -> _Value | None:
+        """Values joined by ``+`` from a place on."""
+        parts = []
+        while True:
+            part, at = self.term(at)
+            if part:
+                parts.append(part)
+            m = _PLUS.match(self.text, at)
+            if not m:
+                return self.join(parts) if parts else None
+            at = m.end()
+
+    def score(self, name: str, v: _Value) -> float:
+        by_name = max((SENSITIVE[m.group().lower()] for m in _SENSITIVE.finditer(name)), default=0.0)
+        if v.n < 6 or not by_name:
+            return 0.0
+        counts, ends = self.counts(v), v.head if v.n <= _EDGE else v.head + v.tail
+        # forms that are open in their middle are told by the ends, runs of one character by all characters
+        if " " in counts or _HARMLESS.match(ends) and (ends[0] in "yY<$" or set(ends) == set(counts)):
+            return 0.0
+        return by_name * (0.5 + min(1.0, entropy(counts, v.n) / 4))
+
+
+def entropy(counts: dict[str, float], n: float) -> float:
+    return -sum(c / n * math.log2(c / n) for c in counts.values())
 
 
 def lexed_spans(text: str, threshold: float = 2.0) -> list[tuple[int, int, str]]:
-    """Literals that reach a sensitive name, directly or through constants; the span is the literal's own."""
+    """Literals that reach a sensitive name, directly or through constants; the span is the literal's own.
+
+    A quoted literal is whole, whatever stands in it and however long it is. An unquoted
+    value goes to white space or the line's end, less ``,`` and ``;`` at its end; where
+    ``,``, ``;`` or ``&`` is followed by the next name and its operator, it ends there.
+    """
     if not ("=" in text or ":" in text) or not _SENSITIVE.search(text):
         return []
-    known: dict[str, list[tuple[int, int, str]]] = {}
-    found = set()
+    lexer = _Lexer(text)
+    found: set[tuple[int, int, str]] = set()
+    seen: dict[int, tuple] = {}
     at = 0
     while m := _PAIR.search(text, at):
-        at = m.start("value")
-        parts: list[tuple[int, int, str]] = []
-        joined = True
-        for t in _LITERAL.finditer(text, m.start("value"), m.end("value")):
-            if t.group(5):
-                joined = True
-                continue
-            if not joined:
-                break
-            joined = False
-            if t.group(1) is not None or t.group(2) is not None:
-                g = 1 if t.group(1) is not None else 2
-                parts.append((t.start(g), t.end(g), t.group(g)))
-            elif t.group(3) is not None and t.group(3) in known:
-                parts += known[t.group(3)][:64]
-            else:
-                parts.append((t.start(), t.end(), t.group()))
-        name, value = m.group("name"), "".join(p[2] for p in parts)
-        if parts:
-            known[name] = parts
-            if _score(name, value) >= threshold:
-                found |= {(s, e, "literal") for s, e, _ in parts if e > s}
+        at = m.end()
+        value, name = lexer.value(at), m.group("name")
+        if value is None:
+            continue
+        lexer.known[name] = value
+        if lexer.score(name, value) >= threshold:
+            stack = [(value.span, value.of)]
+            while stack:
+                span, of = stack.pop()
+                if span and span[1] > span[0]:
+                    found.add((*span, "literal"))
+                elif of and id(of) not in seen:
+                    seen[id(of)] = of
+                    stack += of
     return sorted(found)
 
 

@@ -109,6 +109,25 @@ def test_secrets(odd, none):
     assert scan_secrets(odd).count() == len(ODD) and scan_secrets(none).count() == 0
 
 
+def test_secret_literals_are_whole():
+    long = "aB3$" * 1500
+    for t, want in [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzzKEY", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzzKEY"]),
+        ("DB_PASSWORD=p@ssw0rd!2024\ndb_pwd: x7$kQ9!mZ\n", ["p@ssw0rd!2024", "x7$kQ9!mZ"]),
+        ('password = "ab;cd,Secret99"', ["ab;cd,Secret99"]),
+        (f'password = "{long}"\nsecret: {long}', [long, long]),
+        ("Server=x;Password=abc123XYZ;User=y", ["abc123XYZ"]),
+        ('{"a":1,"token":tok12345,"b":2}', ["tok12345"]),
+        ("password=${DB_PASSWORD}\ntoken: xxxxxxxxxx", []),
+    ]:
+        assert [t[s:e] for s, e, _ in lexed_spans(t)] == want
+    parts = "".join(f'p{i} = "v{i}X"\n' for i in range(100))
+    assert len(lexed_spans(f"{parts}all = {' + '.join(f'p{i}' for i in range(100))}\npassword = all")) == 100
+    # names that double each other, and values in values, take linear time
+    assert lexed_spans('a = "x1"\n' + "a = a + a\n" * 5000 + "password = a") == [(5, 7, "literal")]
+    assert len(lexed_spans("token=" * 20_000 + "abc")) > 19_000
+
+
 def test_token_counts(odd, none):
     scores = zipf_scores(sentencepiece_pieces(Q.tokenizer_file("piece_bpe_32k.model")))
 
