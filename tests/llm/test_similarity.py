@@ -137,6 +137,13 @@ def test_languages_are_learned_from_distinct_texts(spark):
     assert all(f"tail{chr(97 + i)}".encode() in learned["de"] for i in range(20)) and learned["de"].count(b"hot") == 1
 
 
+def test_languages_are_learned_from_all_places(spark):
+    docs = [(i, "licence line " * 40 + " ".join("abcdefghij"[int(c)] * 3 for c in str(i * 7919 + 10**6)) * 8, "fr") for i in range(300)]
+    learned = fit_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample_texts=100, dict_bytes=20_000)
+    # the texts share an opening that is longer than a share
+    assert any(x * 3 in learned["fr"].decode() for x in "abcdefghij") and len(learned["fr"]) > 15_000
+
+
 def test_quality(spark):
     rnd = random.Random(2)
     good = lambda: " ".join(rnd.choices(["word", "Sentence", "text", "reads", "well."], k=60))
