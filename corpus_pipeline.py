@@ -14,7 +14,7 @@ from docsieve.llm._store import release, stored
 from docsieve.llm.bpe import bpe_round_trip
 from docsieve.llm.decontamination import contamination
 from docsieve.llm.language_id import fit_languages, held_in, identify
-from docsieve.llm.line_dedup import dedup_lines
+from docsieve.llm.line_dedup import BLANK, dedup_lines
 from docsieve.llm.ngram_join import ngram_components
 from docsieve.llm.queries import tokenizer_file
 
@@ -29,8 +29,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of all texts but the first that holds them; a document of which nothing is left goes."""
-    out = dedup_lines(docs).where("n_dropped = 0 or trim(kept) <> ''")
+    """Takes repeated lines out of all texts but the first that holds them; what is left blank goes, and so do later exact copies, with short lines too."""
+    out = dedup_lines(docs, copies=True).where((F.col("n_dropped") == 0) | (~F.col("copy") & (F.btrim("kept", F.lit(BLANK)) != "")))
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 

@@ -34,19 +34,24 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7919), key).alias("b"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, copies: bool = False) -> DataFrame:
     """Drops lines whose key is found in ``min_docs`` documents or more, except in the smallest id that holds it.
 
     Returns one row per input row: ``row`` (a struct of all input columns),
     ``kept`` (text), ``n_lines`` and ``n_dropped`` (long). Keys of fewer than
     ``min_chars`` code points always stay. A null or empty text is one empty
     line. Rows that share an id are one document. A row whose id is null is
-    kept as it is and counts for nothing. Column names of the input, whatever
+    kept as it is and counts for nothing. With ``copies``, ``copy`` tells whether
+    ``min_docs`` documents or more hold the very text and this is not the first. Column names of the input, whatever
     they are, cannot clash: they stay inside ``row``.
     """
     work = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("id"), F.split(F.coalesce(col(text_col), F.lit("")), "\n", -1).alias("lines"))
     long_key = lambda k: F.char_length(k) >= min_chars
-    hashes = work.where("id is not null").select("id", F.explode(F.array_distinct(F.transform(F.filter(F.transform("lines", line_key), long_key), _hash))).alias("h"))
+    found = F.array_distinct(F.transform(F.filter(F.transform("lines", line_key), long_key), _hash))
+    # the whole text goes with its lines, by other seeds than theirs
+    text = F.array_join("lines", "\n")
+    whole = F.struct(F.xxhash64(F.lit(104729), text).alias("a"), F.xxhash64(F.lit(15485863), text).alias("b"))
+    hashes = work.where("id is not null").select("id", F.explode(F.array_append(found, whole) if copies else found).alias("h"))
     if min_docs == 2:
         repeated = hashes.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     else:
@@ -54,8 +59,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = hashes.join(repeated.select("h", "first"), "h").where("id > first").groupBy("id").agg(F.collect_set("h").alias("gone"))
     stays = lambda x: ~(long_key(line_key(x)) & F.array_contains("gone", _hash(line_key(x))))
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    copy = [F.coalesce(F.array_contains("gone", whole), F.lit(False)).alias("copy")] if copies else []
     return (
         work.join(gone, "id", "left")
-        .select("row", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
-        .select("row", F.array_join("kept", "\n").alias("kept"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))
+        .select("row", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"), *copy)
+        .select("row", F.array_join("kept", "\n").alias("kept"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), *["copy"] * copies)
     )

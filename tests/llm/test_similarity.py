@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docsieve.llm import ngram_join as N
 from docsieve.llm._graph import connected_components
@@ -167,6 +168,15 @@ def test_pairs_learn_what_single_features_cannot():
     assert features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape == (1, len(FEATURES))
 
 
+def test_line_stage_leaves_no_husks(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = "a line that is long enough\nshort\n\n\t"
+    rows = [(1, text), (2, text), (3, "a line that is long enough\n\n\t"), (4, "a line that is long enough\nother"), (5, "a line that is long enough"), (6, "brief"), (7, "brief"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    out = {r["doc_id"]: r["text"] for r in pipeline.line_stage(spark, docs, "").collect()}
+    assert out == {1: text, 4: "other", 6: "brief", 7: "brief", None: text}
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(4)
