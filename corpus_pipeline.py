@@ -36,19 +36,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each group linked by 0.8 of five-word shingles, and one row of each id."""
+    """Keeps the document of the smallest id in each group linked by 0.8 of five-word shingles, and one row of each id.
+
+    A row without an id is a document of its own, and comes after those that have one.
+    """
+    nameless = docs.where("doc_id is null")
+    if nameless.limit(1).count():
+        last = docs.agg(F.max("doc_id")).first()[0] or 0
+        numbered = stored(nameless.withColumn("doc_id", F.lit(last + 1).cast("long") + F.monotonically_increasing_id()))
+        kept = near_duplicate_stage(spark, docs.where("doc_id is not null").unionAll(numbered.select(*docs.columns)), sf_dir)
+        return kept.withColumn("doc_id", F.when(F.col("doc_id") <= last, F.col("doc_id")))
     groups = ngram_components(docs, k=5, num=80, den=100)
     kept = docs.join(groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if twice.limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null"))
-    return kept
+    twice = docs.groupBy("doc_id").count().where("count > 1")
+    return kept.dropDuplicates(["doc_id"]) if twice.limit(1).count() else kept
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of ten words of the benchmark."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    return docs.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Drops the documents that hold a passage of ten words of the benchmark; a row without an id goes by its text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256)))
+    found = contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    found = found.select(F.col("id").alias("found")).distinct()
+    return docs.join(found, key == found["found"], "left_anti").select(*docs.columns)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

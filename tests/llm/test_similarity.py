@@ -177,6 +177,18 @@ def test_line_stage_leaves_no_husks(spark):
     assert out == {1: text, 4: "other", 6: "brief", 7: "brief", None: text}
 
 
+def test_stages_decide_rows_without_id(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    docs = spark.createDataFrame([(1, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (-4, text(4)), (-4, text(4))], "doc_id long, text string")
+    kept = pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(-4, text(4)), (0, text(2)), (0, text(3)), (1, text(1))]
+    passage = " ".join(text(2).split()[5:17])
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()
+    assert len(left) == 5 and text(2) not in {r["text"] for r in left}
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(4)
