@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._store import discard, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,10 +16,11 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node that it reaches.
 
-    Each round hangs every neighbourhood on its smallest node, as joins on keys that
-    adaptive execution can split; a star with a huge centre costs one row per edge.
-    Rounds grow with the logarithm of the longest path. Tables between rounds are
-    written to the shared folder, so a lost executor costs one round at most.
+    Each round hangs every neighbourhood on its smallest node. The smallest neighbours
+    are stored before they are joined, so a node with very many edges meets them in a
+    join that adaptive execution splits: it costs one row per edge. Rounds grow with
+    the logarithm of the longest path. Tables between rounds are written to the shared
+    folder, so a lost executor costs one round at most.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _mark(e)
@@ -27,11 +28,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        low = stored(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
         large = stored(both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, stored(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(old, low, large, least)
         after = _mark(e)
         if after == before:
             break

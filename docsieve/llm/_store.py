@@ -13,24 +13,43 @@ from .._ship import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests on one machine, a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Only a session on one machine, as in tests, gets a temporary one where it is unset."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docsieve-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="docsieve-")
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back; the files go when the session ends."""
+    """Writes df as Parquet into the shared folder and reads it back; the files go with ``discard``, or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, fs = _place(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docsieve_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_docsieve_path", None):
+            at, fs = _place(t.sparkSession, path)
+            fs.delete(at, True)
 
 
 def quoted(name: str) -> str:
@@ -42,10 +61,13 @@ def col(name: str):
     return F.col(quoted(name))
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Before work in Python: sends the package along, and bounds the rows and bytes of an Arrow batch, so that long texts fit a worker."""
+def small_batches(spark: SparkSession) -> None:
+    """Before work in Python: sends the package along, and bounds the rows and bytes of an Arrow batch, so that long texts fit a worker.
+
+    Results are lazy, so the bounds hold for the session. They are the same for all operators.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
