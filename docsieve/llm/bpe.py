@@ -4,12 +4,15 @@ A byte pair that no vocabulary token holds can never end up inside one token, so
 merges on its two sides cannot meet: every pre-token is cut there, the fragments
 are encoded on their own (and kept, as the same fragments come back again and
 again), and their ids are joined. The normaliser and the pre-tokeniser are those
-of the tokenizer file, written out over ``regex``.
+of the tokenizer file, written out over ``regex``; a text with letters whose class
+or form differs between ``regex``, Python and the library goes through the
+library's own parts. A file of any other make is refused.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -24,7 +27,15 @@ from ._text import batches, slices
 #: Words that a worker keeps with their ids; beyond it, it starts anew.
 KEPT_WORDS = 400_000
 
-#: Fixed value: the pre-token pattern of the tokenizer file; white space is Unicode's property.
+# The normaliser and the pre-token pattern of the tokenizer file.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+#: The same pattern for ``regex``; white space is Unicode's property.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
 
@@ -35,14 +46,84 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+def refuse_others(d: dict) -> None:
+    """Raises ValueError for a file whose parts are not those that are written out here."""
+    parts = {"normalizer": ("normalizers", NORMALIZERS), "pre_tokenizer": ("pretokenizers", PRE_TOKENIZERS)}
+    for name, (inner, own) in parts.items():
+        if d.get(name) != {"type": "Sequence", inner: own}:
+            raise ValueError(f"{name} of the tokenizer file is not the one written out here")
+    if d.get("decoder") or d.get("post_processor") or any(d["model"].get(k) != v for k, v in MODEL.items()):
+        raise ValueError("model, decoder or post-processor of the tokenizer file is not the one written out here")
+    if any(t[flag] for t in d["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with flags are not written out here")
+
+
+def _normal(text: str) -> str:
+    """NFC and lower case, letter by letter: a final sigma is an ordinary one. White space is cut at anyway."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return text.lower()
+
+
+def differing_letters() -> list[tuple[int, int]]:
+    """Runs of code points that Python, ``regex`` and the library do not take for the same: found once, on the driver.
+
+    Letters new to one of the three are all that can combine in other ways, so single
+    letters, and marks next to a mark of a lower and of a higher class, are compared.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    form = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    odd = {c for c in every if unicodedata.category(c) == "Cn"}
+    known = [c for c in every if c not in odd]
+    marks = [c for c in known if unicodedata.category(c)[0] == "M"]
+    for letters, frame in ((known, "a{}b"), (marks, "b\u0301{}b"), (marks, "b{}\u0338b")):
+        put = [frame.format(c) for c in letters]
+        theirs = form.normalize_str("\0".join(put)).split("\0")
+        odd.update(c for c, x, y in zip(letters, put, theirs, strict=True) if _normal(x) != y)
+    for theirs, ours in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\p{White_Space}")):
+        own = pre_tokenizers.Split(Regex(f"[{theirs}]+"), behavior="removed", invert=True)
+        odd |= set("".join(x for x, _ in own.pre_tokenize_str("".join(known)))) ^ set(regex.findall(ours, "".join(known)))
+    codes = sorted(map(ord, odd))
+    runs, start = [], codes[0]
+    for x, y in zip(codes, [*codes[1:], 0]):
+        if y != x + 1:
+            runs.append((start, x))
+            start = y
+    return runs
+
+
+class LibraryWords:
+    """Normaliser and pre-tokeniser of the library, for texts with letters of the given runs."""
+
+    def __init__(self, runs: list[tuple[int, int]]):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+        self.split = pre_tokenizers.Split(Regex(PATTERN), behavior="removed", invert=True)
+        of = lambda part: "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in part) + "]"
+        self.odd = re.compile(of(runs))
+        # letters beyond the basic plane are few, and looked up only where there are any
+        self.quick = re.compile(of([*((a, min(b, 0xFFFF)) for a, b in runs if a <= 0xFFFF), (0x10000, 0x10FFFF)]))
+
+    def needed(self, text: str) -> bool:
+        return not text.isascii() and bool(m := self.quick.search(text)) and bool(self.odd.search(text, m.start()))
+
+    def words(self, text: str) -> list[str]:
+        return [w for w, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(text))]
+
+
 class Codec:
-    """Encoder and decoder of one tokenizer file, given as its JSON."""
+    """Encoder and decoder of one tokenizer file, given as its JSON; ``runs`` as differing_letters has them."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, runs: list[tuple[int, int]] | None = None):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
         d = json.loads(spec)
+        refuse_others(d)
+        self.library = LibraryWords(differing_letters() if runs is None else runs)
         model, end = d["model"], d["model"]["end_of_word_suffix"] or ""
         vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
@@ -57,22 +138,22 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.by_byte = dict(enumerate(self.letters))
 
-    def normal(self, text: str) -> str:
-        """NFC and lower case, letter by letter: a final sigma is an ordinary one."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special tokens."""
+        if self.library.needed(text):
+            return self.library.words(text)
+        return _WORD.findall(_normal(text))
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens in order; special tokens stand for themselves."""
         if self.cut_special is None or not any(s in text for s in self.special):
-            return _WORD.findall(self.normal(text))
+            return self.split(text)
         out, at = [], 0
         for m in self.cut_special.finditer(text):
-            out += _WORD.findall(self.normal(text[at : m.start()]))
+            out += self.split(text[at : m.start()])
             out.append(m.group())
             at = m.end()
-        return out + _WORD.findall(self.normal(text[at:]))
+        return out + self.split(text[at:])
 
     def fragments(self, word: str) -> list[str]:
         """A pre-token in byte letters, cut at every pair that no token holds."""
@@ -120,12 +201,12 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
-def codec(spec: str) -> Codec:
+def codec(spec: str, runs: list[tuple[int, int]]) -> Codec:
     """One codec for each file and worker."""
     key = hash(spec)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(spec)
+        _codecs[key] = Codec(spec, runs)
     return _codecs[key]
 
 
@@ -135,18 +216,21 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     One row per input row: ``row`` (a struct of all input columns), ``ids``
     (binary: little-endian unsigned 32-bit integers), ``n_tokens`` (long) and
     ``decoded`` (text). A null or empty text has no ids and decodes to an empty
-    text. Repeated rows, null ids and clashing column names change nothing. The
-    file is read on the driver and sent once; its size is fixed by the vocabulary.
+    text. A very long text is encoded whole, as a slice of its own. Repeated rows,
+    null ids and clashing column names change nothing; an empty table gives no rows.
+    The file is read on the driver and sent once; its size is fixed by the vocabulary.
     """
     from pyspark.sql import functions as F
 
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
+        spec = f.read()
+    refuse_others(json.loads(spec))
+    sent = spark.sparkContext.broadcast((spec, differing_letters()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(spec.value)
+        c = codec(*sent.value)
         for b in batches(it):
             texts = b.column(1)
             for at, _, off in slices(texts):
