@@ -1,11 +1,11 @@
 """Line deduplication with DataFrame functions only.
 
-Plan: lines become keys, keys of each document become distinct 128-bit hashes,
-one partial and one final aggregation count the documents of a hash, and only
-the hashes that repeat go back to their documents, where the text is filtered in
-place by position. Texts are exchanged once, for that last join; lines never are.
-A hot line is one row per task after the partial aggregation, and the two joins
-are plain inner and left joins that adaptive execution can split.
+Plan: lines are exploded with their positions and hashed, one partial and one final
+aggregation tell which hashes stand in several documents, and these go back to the
+places they are found at. A text is put together again by position, from the places
+that are left. Texts are exchanged once, for that last join; lines never are, only
+their hashes and places. The hashes that repeat are stored before they are joined, so
+adaptive execution splits the places of a very common line over many tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import col
+from ._store import col, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Fixed value: the white space that counts at the ends of a line.
@@ -29,9 +29,9 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANK)))
 
 
-def _hash(key: Column) -> Column:
+def _hash(text: Column, *seeds: int) -> tuple[Column, Column]:
     """Two chains of xxhash64 from different seeds: 128 bits."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7919), key).alias("b"))
+    return F.xxhash64(F.lit(seeds[0]), text), F.xxhash64(F.lit(seeds[1]), text)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, copies: bool = False) -> DataFrame:
@@ -40,28 +40,40 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns one row per input row: ``row`` (a struct of all input columns),
     ``kept`` (text), ``n_lines`` and ``n_dropped`` (long). Keys of fewer than
     ``min_chars`` code points always stay. A null or empty text is one empty
-    line. Rows that share an id are one document. A row whose id is null is
-    kept as it is and counts for nothing. With ``copies``, ``copy`` tells whether
-    ``min_docs`` documents or more hold the very text and this is not the first. Column names of the input, whatever
-    they are, cannot clash: they stay inside ``row``.
+    line; a very long text is put together whole. Rows that share an id are one
+    document. A row whose id is null is kept as it is and counts for nothing. An
+    empty table gives no rows. With ``copies``, ``copy`` tells whether ``min_docs``
+    documents or more hold the very text and this is not the first. Column names of
+    the input, whatever they are, cannot clash: they stay inside ``row``.
+
+    With ``min_docs`` of 2, a key stands in two documents if its smallest and its
+    largest id differ; documents are counted only for larger numbers.
     """
-    work = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("id"), F.split(F.coalesce(col(text_col), F.lit("")), "\n", -1).alias("lines"))
-    long_key = lambda k: F.char_length(k) >= min_chars
-    found = F.array_distinct(F.transform(F.filter(F.transform("lines", line_key), long_key), _hash))
-    # the whole text goes with its lines, by other seeds than theirs
-    text = F.array_join("lines", "\n")
-    whole = F.struct(F.xxhash64(F.lit(104729), text).alias("a"), F.xxhash64(F.lit(15485863), text).alias("b"))
-    hashes = work.where("id is not null").select("id", F.explode(F.array_append(found, whole) if copies else found).alias("h"))
+    text = F.coalesce(col(text_col), F.lit(""))
+    # a document's places are those of one text, also where an id has several
+    ta, tb = _hash(text, 104729, 15485863)
+    work = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("id"), ta.alias("ta"), tb.alias("tb"), F.split(text, "\n", -1).alias("lines"))
+    # place 0 is the whole text
+    whole = F.array(F.struct(F.lit(0).alias("pos"), F.col("ta").alias("a"), F.col("tb").alias("b")))
+
+    def place(line: Column, i: Column) -> Column:
+        key = line_key(line)
+        a, b = _hash(key, 42, 7919)
+        return F.when(F.char_length(key) >= min_chars, F.struct((i + 1).alias("pos"), a.alias("a"), b.alias("b")))
+
+    places = F.filter(F.transform("lines", place), lambda x: x.isNotNull())
+    spots = work.where("id is not null").select("id", "ta", "tb", F.inline(F.concat(whole, places) if copies else places))
     if min_docs == 2:
-        repeated = hashes.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+        repeated = spots.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     else:
-        repeated = hashes.distinct().groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    gone = hashes.join(repeated.select("h", "first"), "h").where("id > first").groupBy("id").agg(F.collect_set("h").alias("gone"))
-    stays = lambda x: ~(long_key(line_key(x)) & F.array_contains("gone", _hash(line_key(x))))
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
-    copy = [F.coalesce(F.array_contains("gone", whole), F.lit(False)).alias("copy")] if copies else []
+        repeated = spots.select("id", "a", "b").distinct().groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    repeated = stored(repeated.select("a", "b", "first"))
+    gone = spots.join(repeated, ["a", "b"]).where("id > first").groupBy("id", "ta", "tb").agg(F.collect_set("pos").alias("gone"))
+    left = F.array_except(F.sequence(F.lit(1), F.size("lines")), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.element_at("lines", i)))
+    copy = [F.coalesce(F.array_contains("gone", 0), F.lit(False)).alias("copy")] if copies else []
     return (
-        work.join(gone, "id", "left")
+        work.join(gone, ["id", "ta", "tb"], "left")
         .select("row", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"), *copy)
         .select("row", F.array_join("kept", "\n").alias("kept"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), *["copy"] * copies)
     )
