@@ -42,7 +42,16 @@ def normal(text: str) -> str:
 
 def held_in(id_col: str, modulus: int = 4, held_out: int = 2) -> Column:
     """Rows to learn from: crc32 of the id as text does not leave the remainder that is held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus != held_out, F.lit(False))
+    return F.coalesce(_remainder(id_col, modulus) != held_out, F.lit(False))
+
+
+def is_held_out(id_col: str, modulus: int = 4, held_out: int = 2) -> Column:
+    """Rows whose remainder is the one that is held out; a null id has no remainder, so it is neither held out nor learned from."""
+    return F.coalesce(_remainder(id_col, modulus) == held_out, F.lit(False))
+
+
+def _remainder(id_col: str, modulus: int) -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
 def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
@@ -53,7 +62,7 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     the number of texts and 64 bytes at least: 65 bytes of each of 1,000 texts. It is
     taken from a place that the hash chooses, so that openings that texts have in common
     are not all that is learned. What reaches the driver is bounded by the number of
-    labels: about twice ``dict_bytes`` for each.
+    labels: about twice ``dict_bytes`` for each. An empty table teaches no label.
     """
     texts = labelled.where(col(lang_col).isNotNull() & (F.length(col(text_col)) > 0)).select(col(lang_col).cast("string").alias("lang"), F.xxhash64(col(text_col)).alias("h"), col(text_col).alias("text"))
     # bits of a hash above the smallest one: counts of distinct texts by them tell how many bits hold a whole sample
@@ -136,8 +145,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     A text that is null or has no letter is ``und`` with score 0 and is rejected, as is
     any text if nothing was learned. A text is also rejected if its margin is under
-    ``margin``; its best label stands all the same. Repeated rows, null ids and
-    clashing column names change nothing.
+    ``margin``; its best label stands all the same. A very long text is encoded whole,
+    in blocks. Ties between labels go to the first in order, and are rejected. Repeated
+    rows, null ids and clashing column names change nothing; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)

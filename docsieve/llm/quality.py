@@ -191,11 +191,15 @@ def _over(df: DataFrame, name: str, schema: str, make) -> DataFrame:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from at most ``sample_rows`` labelled rows, taken in the order of the hashes of their ids.
 
-    Labels that are null or neither 0 nor 1 teach nothing.
+    Labels that are null or neither 0 nor 1 teach nothing, and neither do ids that are
+    null or in one of the tables only. An id with several labels or texts counts with
+    each pair of them, within the bound. Without rows the score is constant. A very long
+    text is one row like any other.
     """
-    picked = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull()).select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "y").limit(sample_rows)
+    picked = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull()).select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).distinct().orderBy(F.xxhash64("id"), "y").limit(sample_rows)
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(picked), "id").select(F.struct("id", "y").alias("row"), "text")
-    got = _over(rows, "x", "array<double>", lambda x: pa.array(list(x), pa.list_(pa.float64()))).select("row.id", "row.y", "x").orderBy("id", "y").toPandas()
+    # ids that repeat among the documents must not take more rows to the driver
+    got = _over(rows, "x", "array<double>", lambda x: pa.array(list(x), pa.list_(pa.float64()))).select("row.id", "row.y", "x").orderBy(F.xxhash64("id"), "id", "y", "x").limit(sample_rows).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy(float))
 
@@ -203,8 +207,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """One row per input row: ``row`` (a struct of all input columns) and ``score`` (0 to 1, higher: better).
 
-    A null text is scored as an empty one. The model has a fixed size and is sent once.
-    Repeated rows, null ids and clashing column names change nothing.
+    A null text is scored as an empty one, and a very long one whole. The model has a
+    fixed size and is sent once. Repeated rows, null ids and clashing column names change
+    nothing; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(text_col).alias("text"))

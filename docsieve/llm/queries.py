@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .decontamination import contamination
 from .embedding_dedup import near_duplicates
-from .language_id import fit_languages, held_in, identify
+from .language_id import fit_languages, held_in, identify, is_held_out
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .quality import fit_quality, score_quality
@@ -61,7 +61,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(held_in("doc_id"))
     out = score_quality(docs, fit_quality(docs, labels))
-    return out.select("row.doc_id", (~held_in("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("row.doc_id", is_held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -86,7 +86,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     learned = fit_languages(docs.where(held_in("doc_id")))
     out = identify(docs.select("doc_id", "text"), learned)
-    return out.select("row.doc_id", (~held_in("row.doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("row.doc_id", is_held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,8 +100,9 @@ def count_tokens(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_i
     """One row per input row: ``id``, ``n_pre_tokens`` and ``n_tokens`` of the whole text.
 
     A text is split at white space; a pre-token is its best segmentation under the
-    unigram scores. A null or empty text has none. Repeated rows and null ids are
-    counted like any others; other columns are not read. The scores are a vocabulary
+    unigram scores; ties go to fewer tokens. A null or empty text has none, and a very
+    long one is counted whole. Repeated rows and null ids are counted like any others;
+    other columns are not read; an empty table gives no rows. The scores are a vocabulary
     of fixed size and are sent once.
     """
     small_batches(docs.sparkSession)
