@@ -7,7 +7,6 @@ each literal by its target name and its own look. Base spans are always kept.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -30,16 +29,24 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
-#: name and operator of an assignment in common source and configuration syntax; its right side comes next.
-_PAIR = re.compile(r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})(?P=q)[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?=\S)""")
-_QUOTED = re.compile(r""""([^"\\\n]*(?:\\.[^"\\\n]*)*)"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)'""")
+#: What stands between a name and its value; the name itself is read backwards from here.
+_OPERATOR = re.compile(r":=|=>|[:=](?!=)")
+_NAME_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
+#: String literals of common languages: three quotes, back quotes, double and single quotes; a prefix of letters may stand before them.
+_QUOTED = re.compile(r"""(?:[rbfuRBFU]{1,2}(?=["']))?(?:\"{3}(.*?)\"{3}|'{3}(.*?)'{3}|`([^`]*)`|"([^"\\\n]*(?:\\.[^"\\\n]*)*)"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)')""", re.DOTALL)
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 #: An unquoted value: to white space, or to a separator before the next pair of a list of pairs.
-_BARE = re.compile(r"""(?:[^\s,;&]+|[,;&](?!(?:"[A-Za-z_][A-Za-z0-9_.\-]{0,79}"|'[A-Za-z_][A-Za-z0-9_.\-]{0,79}')[ \t]*[:=]|[A-Za-z_][A-Za-z0-9_.\-]{0,79}=))+""")
+_BARE = re.compile(r"""(?:[^\s,;&]+|[,;&](?!(?:"[A-Za-z_][A-Za-z0-9_.\-]*"|'[A-Za-z_][A-Za-z0-9_.\-]*')[ \t]*[:=]|[A-Za-z_][A-Za-z0-9_.\-]*=))+""")
 #: What may follow a name that stands for its constant, and what joins values.
-_ENDS = re.compile(r"""[\s,;)\]}]|\Z|\+[ \t]*["']""")
-_PLUS = re.compile(r"[ \t]*\+[ \t]*")
-_OPEN = re.compile(r"[ \t(\[{]*")
+_ENDS = re.compile(r"""[\s,;)\]}]|\Z|\+[ \t]*["'`]""")
+_PLUS = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)?\+\s*(?:\\\r?\n\s*)?")
+#: Blanks and a continued line before a value; in brackets, line ends too.
+_BLANKS = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)*")
+_OPEN = re.compile(r"[(\[{]\s*")
+_SPACE = re.compile(r"\s*")
+#: The head of a YAML block scalar, with the rest of its line.
+_BLOCK = re.compile(r"[|>][+\-0-9]{0,2}[ \t]*(?:#[^\n]*)?\r?\n")
+_IDENTIFIER = re.compile(r"[A-Za-z_]+(?:(?:\.|->|::)[A-Za-z_]+)*(?:[(\[].*)?")
 #: Code points kept of both ends of a value.
 _EDGE = 32
 #: Parts of names that say their value is to be kept secret, with weights.
@@ -111,41 +118,69 @@ class _Lexer:
         # the parts' own characters are not needed to find where they stand
         return _Value(n, head[:_EDGE], tail, None, tuple((p.span, p.of) for p in parts), counts)
 
-    def term(self, at: int) -> tuple[_Value | None, int]:
-        """The value at a place, if there is one, and the place after it."""
-        opened = _OPEN.match(self.text, at).end()
-        if m := _QUOTED.match(self.text, opened):
+    def term(self, at: int, inside: bool, spaced: bool) -> tuple[_Value | None, int]:
+        """The value at a place, if there is one, and the place after it; ``spaced``: blanks stand round the operator."""
+        if m := _QUOTED.match(self.text, at):
             self.quote_end = max(self.quote_end, m.end() - 1)
             return self.literal(*m.span(m.lastindex)), m.end()
-        if m := _NAME.match(self.text, opened):
+        if m := _NAME.match(self.text, at):
             own = self.known.get(m.group())
             if _ENDS.match(self.text, m.end()):
                 if own or self.text.startswith("+", m.end()):
                     return own or self.literal(*m.span()), m.end()
             elif own and self.text.startswith("+", m.end()) and (x := _NAME.match(self.text, m.end() + 1)) and x.group() in self.known:
                 return own, m.end()
-        if self.text.startswith(('"', "'"), opened):
-            opened += 1
-        if opened >= self.bare_end:
-            m = _BARE.match(self.text, opened)
-            self.bare_end = m.end() if m else opened
-        end = self.bare_end if opened >= self.quote_end else min(self.bare_end, self.quote_end)
+        if self.text.startswith(('"', "'"), at):
+            at += 1
+        if at >= self.bare_end:
+            m = _BARE.match(self.text, at)
+            self.bare_end = m.end() if m else at
+        end = self.bare_end if at >= self.quote_end else min(self.bare_end, self.quote_end)
         last = end
-        while last > opened and self.text[last - 1] in (",;)]}" if self.text[at:opened].strip() else ",;"):
+        while last > at and self.text[last - 1] in (",;)]}" if inside else ",;"):
             last -= 1
-        return (self.literal(opened, last) if last > opened else None), end
-
-    def value(self, at: int) -> _Value | None:
-        """Values joined by ``+`` from a place on."""
-        parts = []
-        while True:
-            part, at = self.term(at)
+        # a name without digits is a reference, unless it stands like a value of a configuration file
+        if last == at or (spaced and _IDENTIFIER.fullmatch(self.text, at, last)):
+            return None, end
+        return self.literal(at, last), end
+
+    def block(self, name_at: int, at: int) -> tuple[_Value | None, int]:
+        """A YAML block scalar: the lines that stand deeper than the name's line, from their first letter to their last."""
+        line = self.text.rfind("\n", 0, name_at) + 1
+        depth = len(self.text[line:name_at]) - len(self.text[line:name_at].lstrip(" "))
+        start = end = at
+        while at < len(self.text):
+            stop = self.text.find("\n", at)
+            stop = len(self.text) if stop < 0 else stop
+            row = self.text[at:stop]
+            if row.strip():
+                if len(row) - len(row.lstrip(" ")) <= depth:
+                    break
+                if end == start:
+                    start = at + len(row) - len(row.lstrip())
+                end = at + len(row.rstrip())
+            at = stop + 1
+        return (self.literal(start, end) if end > start else None), at
+
+    def value(self, at: int, name_at: int, spaced: bool) -> _Value | None:
+        """Values from a place on: joined by ``+`` or, in brackets, also by standing next to each other."""
+        at = _BLANKS.match(self.text, at).end()
+        if m := _BLOCK.match(self.text, at):
+            return self.block(name_at, m.end())[0]
+        parts, inside = [], False
+        while m := _OPEN.match(self.text, at):
+            at, inside = m.end(), True
+        while at < len(self.text):
+            part, at = self.term(at, inside, spaced)
             if part:
                 parts.append(part)
-            m = _PLUS.match(self.text, at)
-            if not m:
-                return self.join(parts) if parts else None
-            at = m.end()
+            if m := _PLUS.match(self.text, at):
+                at = m.end()
+            elif inside and (m := _SPACE.match(self.text, at)) and _QUOTED.match(self.text, m.end()):
+                at = m.end()
+            else:
+                break
+        return self.join(parts) if parts else None
 
     def score(self, name: str, v: _Value) -> float:
         by_name = max((SENSITIVE[m.group().lower()] for m in _SENSITIVE.finditer(name)), default=0.0)
@@ -153,9 +188,13 @@ class _Lexer:
             return 0.0
         counts, ends = self.counts(v), v.head if v.n <= _EDGE else v.head + v.tail
         # forms that are open in their middle are told by the ends, runs of one character by all characters
-        if " " in counts or _HARMLESS.match(ends) and (ends[0] in "yY<$" or set(ends) == set(counts)):
+        if _HARMLESS.match(ends) and (ends[0] in "yY<$" or set(ends) == set(counts)):
             return 0.0
-        return by_name * (0.5 + min(1.0, entropy(counts, v.n) / 4))
+        look = by_name * (0.5 + min(1.0, entropy(counts, v.n) / 4))
+        if " " in counts:
+            # a pass phrase has blanks, and so has a message that speaks of one
+            return 0.0 if _SENSITIVE.search(ends) or ends.rstrip()[-1:] in ".!?:" else 0.6 * look
+        return look
 
 
 def entropy(counts: dict[str, float], n: float) -> float:
@@ -168,16 +207,27 @@ def lexed_spans(text: str, threshold: float = 2.0) -> list[tuple[int, int, str]]
     A quoted literal is whole, whatever stands in it and however long it is. An unquoted
     value goes to white space or the line's end, less ``,`` and ``;`` at its end; where
     ``,``, ``;`` or ``&`` is followed by the next name and its operator, it ends there.
+    A YAML block scalar is its indented lines. In brackets, literals next to each other
+    are one value, over line ends. An unquoted name without digits is a reference, not a
+    literal, where blanks stand round the operator or after a colon.
     """
     if not ("=" in text or ":" in text) or not _SENSITIVE.search(text):
         return []
     lexer = _Lexer(text)
     found: set[tuple[int, int, str]] = set()
     seen: dict[int, tuple] = {}
-    at = 0
-    while m := _PAIR.search(text, at):
-        at = m.end()
-        value, name = lexer.value(at), m.group("name")
+    before = 0
+    for m in _OPERATOR.finditer(text):
+        seg = text[before : m.start()]
+        before = m.end()
+        shown = seg.rstrip(" \t")
+        bare = shown[:-1] if shown[-1:] in ("'", '"', "`", "]") else shown
+        bare = bare[:-1] if shown[-1:] == "]" and bare[-1:] in ("'", '"') else bare
+        name = bare[len(bare.rstrip(_NAME_LETTERS)) :].lstrip("0123456789.-")
+        if not name:
+            continue
+        name_at = m.start() - len(seg) + len(bare) - len(name)
+        value = lexer.value(m.end(), name_at, len(shown) < len(seg) or text[m.end() : m.end() + 1] in " \t")
         if value is None:
             continue
         lexer.known[name] = value
@@ -193,16 +243,14 @@ def lexed_spans(text: str, threshold: float = 2.0) -> list[tuple[int, int, str]]
     return sorted(found)
 
 
-def _digest(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
-
-
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 2.0) -> DataFrame:
     """One row per input row: ``id``, ``base`` and ``spans``, arrays of (kind, start, end) in code points, end exclusive.
 
     ``base`` holds the spans of the base patterns; ``spans`` these and those of the
-    lexer (kind ``literal``). A null or empty text has none. Repeated rows and null
-    ids are scanned like any others; columns other than the two are not read.
+    lexer (kind ``literal``). A null or empty text has none; a very long one is scanned
+    whole, in linear time. Of spans that start together, kinds come as listed. Repeated
+    rows and null ids are scanned like any others; columns other than the two are not
+    read; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -226,11 +274,3 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def joined(spans: str):
     """Spans as kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
-def brute_force(text: str | None) -> str:
-    """The base spans by the patterns as they stand, for tests."""
-    text = text or ""
-    found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= 12]
-    found += [(m.start(), m.end(), k) for k, p in (("access", ACCESS), ("hex", HEX)) for m in p.finditer(text) if len(m.group()) >= LEAST[k]]
-    return hashlib.sha256(_digest(sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))).encode()).hexdigest()
