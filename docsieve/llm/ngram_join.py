@@ -18,13 +18,15 @@ and only the last one measures distances between documents:
 3. A region is joined by pivots among its documents: each goes to the nearer pivot
    and, within a window of 2 (1 - t), to the other one too; cells are joined by
    recursion. Pairs that windows, sizes or known links do not settle are compared
-   exactly. Large regions are cut in cells by distributed pivots, and what pivots
-   cannot cut is dealt in pairs of blocks, so no group is ever held by one task.
-
-A document is compared as its set, and equal sets are one class all along.
-A link is missed only if 64-bit hashes collide, or if both documents fill no more
-parts than a link may touch, though there are an eighth and 14 more of them than
-that (odds near 1e-9 for the shortest texts, and less for others).
+   exactly. Large regions are cut in cells by distributed pivots. Members that link
+   with a pivot are joined by it and not compared with each other, so a region or a
+   cell of a great many near copies costs one comparison for each and a pivot; what
+   is left is dealt in pairs of blocks, and no group is ever held by one task.
+
+A document is compared as its set, and equal sets are one class all along. A set that
+fills no more parts than a link may touch also stands in one cell with all such sets of
+its ring. So a link leaves a filled part untouched, or both sets are in that cell: links
+are missed only if 64-bit hashes collide.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._deal import dealt, hot_keys, meets
 from ._graph import connected_components
-from ._store import col, release, small_batches, stored
+from ._store import col, discard, release, small_batches, stored
 from ._text import NON_SPACE, batches, mix, shingles, slices, word_hashes, word_spans
 
 #: Members that one task compares at once; larger cells and regions are dealt in blocks of so many.
@@ -86,8 +89,13 @@ RINGS = ring_bounds()
 
 def parts_of(ring: np.ndarray, link: Link) -> np.ndarray:
     """Parts in a ring: more than a link can touch, with some to spare for empty ones; none if linked sets are equal."""
-    d = link.differences(RINGS[ring + 1] - 1)
-    return np.where(d == 0, 0, d + d // 8 + 14)
+    d = most_differences(ring, link)
+    return np.where(d == 0, 0, d + d // 8 + np.where(d < 3, 44, 14))
+
+
+def most_differences(ring: np.ndarray, link: Link) -> np.ndarray:
+    """Most elements that differ between linked sets, the smaller of which is in a ring."""
+    return link.differences(RINGS[ring + 1] - 1)
 
 
 def _sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,12 +171,16 @@ def _profiles(docs: DataFrame, k: int, link: Link) -> DataFrame:
 
 
 def _cells(docs: DataFrame, k: int, link: Link) -> DataFrame:
-    """(cell, id): the projections of each distinct set of a task; the low six bits of a cell are its ring."""
+    """(cell, salt, id): the projections of each distinct set of a task; the low six bits of a cell are its ring.
+
+    The third and later rows of a cell in a slice of texts have a salt: the first two
+    tell already that the cell is shared, so a hot cell need not be seen by one task.
+    """
 
     def make(ids, data, off, state):
         h, so = _sets(data, off, k)
         fa, fb = _fingerprints(h, so)
-        seen = state.setdefault("seen", set())
+        seen, hot = state.setdefault("seen", set()), state.setdefault("hot", np.zeros(0, np.uint64))
         if len(seen) > 500_000:
             seen.clear()
         new = np.zeros(len(fa), bool)
@@ -178,36 +190,59 @@ def _cells(docs: DataFrame, k: int, link: Link) -> DataFrame:
                 new[i] = True
         own = ids.to_numpy(zero_copy_only=False)
         for d, ring, at, value in _projections(h, so, link):
+            if not len(d):
+                continue
             b = np.diff(at)
+            filled = np.add.reduceat(value != 0, at[:-1])
             use = (value != 0) & np.repeat(new[d], b)
-            cell = (value & ~np.uint64(63)) | np.repeat(ring, b).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[use].view(np.int64)), pa.array(np.repeat(own[d], b)[use])], names=["cell", "id"])
-
-    return _over_texts(docs.where("id is not null"), make, "cell long, id long")
+            few = new[d] & (filled <= most_differences(ring, link))
+            cell = np.concatenate((value[use], mix(ring[few].astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))))
+            cell = (cell & ~np.uint64(63)) | np.concatenate((np.repeat(ring, b)[use], ring[few])).astype(np.uint64)
+            who = np.concatenate((np.repeat(own[d], b)[use], own[d][few]))
+            salt = np.zeros(len(cell), np.int32)
+            of, at_first, place, count = np.unique(cell, return_index=True, return_inverse=True, return_counts=True)
+            again = np.flatnonzero(count > 2)
+            if len(again) or len(hot):
+                known = np.isin(cell, hot)
+                many = np.isin(place, again) & ~known
+                later = np.flatnonzero(many)
+                later = later[np.argsort(place[later], kind="stable")]
+                first = np.searchsorted(place[later], again, "left")
+                first = first[first < len(later)]
+                pass_on = np.ones(len(later), bool)
+                pass_on[first] = False
+                pass_on[np.minimum(first + 1, len(later) - 1)] = False
+                known[later[pass_on]] = True
+                salt[known] = 1 + (mix(who[known].view(np.uint64)) & np.uint64(0xFFFF)).astype(np.int32)
+                hot = np.union1d(hot, of[again]) if len(hot) < 1_000_000 else of[again]
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(salt), pa.array(who)], names=["cell", "salt", "id"])
+        state["hot"] = hot
+
+    return _over_texts(docs.where("id is not null"), make, "cell long, salt int, id long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of cells that hold two rows or more: a pass over sorted rows that looks at neighbours."""
+    """(cell, id) of cells that hold two rows or more: a pass over sorted rows that looks at neighbours; salted rows are known."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, matched = None, False
         for b in batches(it):
-            cell, who = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            cell, salt, who = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if held is not None:
-                cell, who = np.append(held[0], cell), np.append(held[1], who)
+                cell, salt, who = np.append(held[0], cell), np.append(held[1], salt), np.append(held[2], who)
             same = cell[1:] == cell[:-1]
-            keep = np.zeros(len(cell), bool)
+            keep = salt > 0
             keep[1:] |= same
             keep[:-1] |= same
             keep[0] |= matched
-            held, matched = (cell[-1], who[-1]), bool(keep[-1])
+            held, matched = (cell[-1], salt[-1], who[-1]), bool(keep[-1])
             out = keep[:-1]
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(cell[:-1][out]), pa.array(who[:-1][out])], names=["cell", "id"])
         if held is not None and matched:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["cell", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[2]])], names=["cell", "id"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "cell long, id long")
+    return rows.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "id").mapInArrow(run, "cell long, id long")
 
 
 def runs(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -241,40 +276,57 @@ def _heads(t: pa.Table, keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(new), t.num_rows)
 
 
-def _blocks(df: DataFrame, key: str, who: str, size: int, at_least: int = 2) -> DataFrame:
-    """Adds bi and bj: groups of up to ``size`` members are one block; larger ones are dealt in all pairs of their blocks."""
-    count = df.groupBy(key).agg(F.count("*").alias("members")).where(F.col("members") >= at_least)
-    n = F.ceil(F.col("members") / size).cast("int")
-    block = F.pmod(F.xxhash64(F.lit(11), F.col(who)), n).cast("int")
-    to = F.when(n == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1))
-    dealt = df.join(count, key).withColumn("own", block).withColumn("other", F.explode(to))
-    return dealt.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("own", "other", "members")
+def _near(n: np.ndarray, m: np.ndarray, i: int, others: np.ndarray, link: Link) -> np.ndarray:
+    """Which others may link with i, by sizes and by marks of which equal ones can be told."""
+    equal = ((m[others] == m[i]) & (m[i] != 0)).sum(axis=1)
+    filled = np.maximum((m[i] != 0).sum(), (m[others] != 0).sum(axis=1))
+    small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
+    return (equal >= filled - link.differences(small)) & (small >= link.least(large))
+
+
+def _cell_groups(cells: DataFrame, marks: DataFrame, hot: DataFrame, link: Link) -> DataFrame:
+    """(cell, cls, pivot): members of hot cells that may link with a pivot of their cell."""
+    of = cells.join(hot.select("cell"), "cell", "left_semi")
+    pivots = of.groupBy("cell", "ring").agg(F.min_by("cls", F.xxhash64(F.lit(5), "cls")).alias("cls")).join(marks, ["cls", "ring"])
+    pivots = stored(pivots.select("cell", F.col("cls").alias("pivot"), F.col("n").alias("pn"), F.col("marks").alias("pm")))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            ok = np.zeros(b.num_rows, bool)
+            n, pn = b.column(3).to_numpy(), b.column(4).to_numpy()
+            for i, (x, y) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist())):
+                ok[i] = _near(np.array([n[i], pn[i]]), np.stack([np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)]), 0, np.array([1]), link)[0]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in b.columns[:3]], names=["cell", "cls", "pivot"])
+
+    rows = of.join(pivots, "cell").join(marks, ["cls", "ring"]).select("cell", "cls", "pivot", "n", "pn", "marks", "pm")
+    return stored(rows.mapInArrow(run, "cell long, cls long, pivot long"))
 
 
-def _forest(cells: DataFrame, link: Link) -> DataFrame:
-    """(a, b): spanning forests of the pairs in each cell whose sizes and marks allow a link."""
+def _forest(cells: DataFrame, marks: DataFrame, link: Link) -> DataFrame:
+    """(a, b): spanning forests of the pairs in each cell whose sizes and marks allow a link.
 
-    def pairs(n: np.ndarray, marks: list[np.ndarray]) -> np.ndarray:
-        m = np.stack(marks)
-        filled = (m != 0).sum(axis=1)
-        ok = np.zeros((len(n), len(n)), bool)
-        for i in range(len(n) - 1):
-            equal = ((m[i + 1 :] == m[i]) & (m[i] != 0)).sum(axis=1)
-            small, large = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-            need = np.maximum(filled[i], filled[i + 1 :]) - link.differences(small)
-            ok[i, i + 1 :] = (equal >= np.maximum(1, need)) & (small >= link.least(large))
-        return ok | ok.T
+    cells: cell, cls, ring; marks: cls, ring, n, marks.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(it, 3):
             heads = _heads(t, 3)
-            who, n = t.column(3).to_numpy(), t.column(4).to_numpy()
-            marks = [np.frombuffer(x, np.uint8) for x in t.column(5).to_pylist()]
+            who, n, own, grp = (t.column(i).to_numpy() for i in range(3, 7))
+            crossing = t.column(1).to_numpy() != t.column(2).to_numpy()
+            marks = [np.frombuffer(x, np.uint8) for x in t.column(7).to_pylist()]
             a, b = [], []
             for lo, hi in zip(heads[:-1].tolist(), heads[1:].tolist()):
                 if hi - lo < 2:
                     continue
-                ok = pairs(n[lo:hi], marks[lo:hi])
+                m, size = np.stack(marks[lo:hi]), n[lo:hi]
+                ok = np.zeros((hi - lo, hi - lo), bool)
+                for i in range(hi - lo - 1):
+                    rest = np.arange(i + 1, hi - lo)
+                    if grp[lo] or grp[hi - 1] or crossing[lo]:
+                        rest = rest[meets(own[lo:hi], grp[lo:hi], crossing[lo:hi], np.full(len(rest), i), rest)]
+                    if len(rest):
+                        ok[i, rest] = _near(size, m, i, rest, link)
+                ok |= ok.T
                 left = np.ones(hi - lo, bool)
                 for i in range(hi - lo):
                     if not left[i]:
@@ -292,20 +344,34 @@ def _forest(cells: DataFrame, link: Link) -> DataFrame:
             if a and sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    dealt = _blocks(cells, "cell", "cls", CELL_BLOCK).select("cell", "bi", "bj", "cls", "n", "marks")
-    return dealt.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj").mapInArrow(run, "a long, b long").distinct()
+    hot = hot_keys(cells, "cell", CELL_BLOCK)
+    rows, known = cells.withColumn("grp", F.lit(0).cast("long")), None
+    if hot is not None:
+        groups = _cell_groups(cells, marks, hot, link)
+        known = groups.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+        rows = cells.join(groups.select("cell", "cls", F.lit(1).cast("long").alias("grp")), ["cell", "cls"], "left").withColumn("grp", F.coalesce("grp", F.lit(0).cast("long")))
+    # members come sorted by group, so the ends of a cell tell whether it has any
+    out = dealt(rows, "cell", "cls", CELL_BLOCK, hot).join(marks, ["cls", "ring"]).select("cell", "bi", "bj", "cls", "n", "own", "grp", "marks")
+    out = out.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "grp", "cls").mapInArrow(run, "a long, b long")
+    return (out if known is None else out.unionAll(known)).distinct()
 
 
 class _Region:
-    """Sets of a region in memory, and their components so far."""
+    """Sets of a region in memory, and their components so far; members of one group are known to be of one."""
 
-    def __init__(self, sets: list[np.ndarray], link: Link):
+    def __init__(self, sets: list[np.ndarray], link: Link, grp: np.ndarray | None = None):
         self.link, self.r = link, link.radius
+        #: Distances that were computed.
+        self.measured = 0
         self.n = np.array([len(s) for s in sets])
         _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.off = np.concatenate(([0], np.cumsum(self.n)))
         self.flag = np.zeros(int(self.flat.max()) + 1, np.int32)
         self.root = np.arange(len(sets))
+        if grp is not None and grp.any():
+            _, first, of = np.unique(grp, return_index=True, return_inverse=True)
+            self.root = np.where(grp == 0, self.root, first[of])
+        self.known = self.root == np.arange(len(sets))
 
     def common(self, i: int, others: np.ndarray) -> np.ndarray:
         own = self.flat[self.off[i] : self.off[i + 1]]
@@ -319,6 +385,7 @@ class _Region:
     def join(self, i: int, others: np.ndarray) -> np.ndarray:
         """Links i with what it links with; the distances to all others."""
         c = self.common(i, others)
+        self.measured += len(others)
         linked = others[self.link.holds(c, self.n[i], self.n[others])]
         if len(linked):
             roots = np.unique(np.append(self.root[linked], self.root[i]))
@@ -349,112 +416,151 @@ class _Region:
 
 
 def _solved(rows: DataFrame, link: Link) -> DataFrame:
-    """(a, b): stars of the components in each (region, bi, bj)."""
+    """(a, b): stars of the components in each (region, bi, bj), without what groups tell already."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(it, 3):
             heads = _heads(t, 3)
-            who = t.column(3).to_numpy()
-            sets = t.column(4)
+            who, grp = t.column(3).to_numpy(), t.column(4).to_numpy()
+            sets = t.column(5)
             a, b = [], []
             for lo, hi in zip(heads[:-1].tolist(), heads[1:].tolist()):
                 if hi - lo < 2:
                     continue
-                g = _Region([np.frombuffer(x.as_buffer(), np.uint64) for x in sets.slice(lo, hi - lo)], link)
+                g = _Region([np.frombuffer(x.as_buffer(), np.uint64) for x in sets.slice(lo, hi - lo)], link, grp[lo:hi])
                 g.solve(np.arange(hi - lo))
-                star = np.flatnonzero(g.root != np.arange(hi - lo))
+                star = np.flatnonzero(g.known & (g.root != np.arange(hi - lo)))
                 a.append(who[lo + g.root[star]])
                 b.append(who[lo + star])
             if a and sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return rows.select("region", "bi", "bj", "cls", "elements").repartition("region", "bi", "bj").sortWithinPartitions("region", "bi", "bj", "cls").mapInArrow(run, "a long, b long")
+    return rows.select("region", "bi", "bj", "cls", "grp", "elements").repartition("region", "bi", "bj").sortWithinPartitions("region", "bi", "bj", "cls").mapInArrow(run, "a long, b long")
 
 
-def _cut(rows: DataFrame, link: Link) -> DataFrame:
-    """Deals the members of large regions to the cells of their pivots, and to those whose windows they are in."""
+def _measured(rows: DataFrame, link: Link) -> DataFrame:
+    """Adds to members of large regions ``near``, the pivots whose cells or windows they are in, and ``linked``, a bit for each pivot they link with."""
     order = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64(F.lit(5), F.col("cls"))))
-    pivots = rows.withColumn("place", order).where(F.col("place") <= PIVOTS).groupBy("region").agg(F.collect_list(F.struct("place", "elements")).alias("pivots"))
+    pivots = rows.withColumn("place", order).where(F.col("place") <= PIVOTS)
+    pivots = stored(pivots.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("place", "cls", "elements"))).alias("pivots")))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            region, who = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            out: list[tuple[int, int]] = []
-            for r in range(b.num_rows):
-                own = np.frombuffer(b.column(2)[r].as_buffer(), np.uint64)
-                d = []
-                for p in b.column(3)[r]:
+            near, linked = [], []
+            for own, pivots in zip(b.column(3), b.column(4)):
+                own = np.frombuffer(own.as_buffer(), np.uint64)
+                d, bits = [], 0
+                for j, p in enumerate(pivots):
                     x = np.frombuffer(p["elements"].as_buffer(), np.uint64)
                     c = len(np.intersect1d(own, x, assume_unique=True))
                     d.append(1.0 - c / (len(own) + len(x) - c))
-                near = np.array(d) - min(d) <= 2 * link.radius + 1e-9
-                out += [(r, int(j)) for j in np.flatnonzero(near)]
-            at = np.array([x[0] for x in out])
-            cell = np.array([x[1] for x in out], np.int64)
-            inner = mix(region[at].view(np.uint64) * np.uint64(31) + cell.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(inner), pa.array(who[at]), b.column(2).take(pa.array(at))], names=["region", "cls", "elements"])
+                    bits |= bool(link.holds(c, len(own), len(x))) << j
+                near.append(np.flatnonzero(np.array(d) - min(d) <= 2 * link.radius + 1e-9).astype(np.int32))
+                linked.append(bits)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near, pa.list_(pa.int32())), pa.array(linked, pa.int32()), pa.array([[p["cls"].as_py() for p in x] for x in b.column(4)], pa.list_(pa.int64()))], names=["region", "cls", "grp", "elements", "near", "linked", "pivots"])
+
+    return rows.join(pivots, "region").select("region", "cls", "grp", "elements", "pivots").mapInArrow(run, "region long, cls long, grp long, elements binary, near array<int>, linked int, pivots array<bigint>")
+
 
-    return rows.join(pivots, "region").select("region", "cls", "elements", "pivots").mapInArrow(run, "region long, cls long, elements binary")
+def _pivot_groups(measured: DataFrame, depth: int) -> DataFrame:
+    """(region, linked, found): the group of members with these bits; pivots that a member links with are one group."""
+    sets = measured.where("linked > 0").groupBy("region").agg(F.collect_set("linked").alias("sets"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            for region, sets in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                merged: list[int] = []
+                for x in sets:
+                    for y in [m for m in merged if m & x]:
+                        merged.remove(y)
+                        x |= y
+                    merged.append(x)
+                group = [next(m for m in merged if m & x) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([region] * len(sets)), pa.array(sets, pa.int32()), pa.array([1 + depth * (1 << PIVOTS) + g for g in group])], names=["region", "linked", "found"])
+
+    return stored(sets.mapInArrow(run, "region long, linked int, found long"))
 
 
 def _links(members: DataFrame, link: Link) -> DataFrame:
     """(a, b) of linked classes whose components are those of all links; members: region, cls, elements."""
-    found = None
+    found: list[DataFrame] = []
+    members = members.withColumn("grp", F.lit(0).cast("long"))
     for depth in range(DEPTH + 1):
-        sizes = members.groupBy("region").agg(F.count("*").alias("members"))
-        big = stored(sizes.where(F.col("members") > 2 * REGION_BLOCK))
-        if not big.limit(1).count():
-            part = _solved(members.select("region", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "cls", "elements"), link)
-            return part if found is None else found.unionAll(part)
-        small = members.join(big.select("region"), "region", "left_anti").select("region", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "cls", "elements")
-        part = _solved(small, link)
-        found = part if found is None else found.unionAll(part)
-        large = members.join(big.select("region"), "region", "left_semi")
-        before = big.agg(F.sum("members")).first()[0]
-        cut = stored(_cut(large, link)) if depth < DEPTH else None
+        hot = hot_keys(members, "region", 2 * REGION_BLOCK)
+        if hot is None:
+            found.append(_solved(dealt(members, "region", "cls", REGION_BLOCK, None), link))
+            break
+        found.append(_solved(dealt(members.join(hot.select("region"), "region", "left_anti"), "region", "cls", REGION_BLOCK, None), link))
+        large = members.join(hot.select("region"), "region", "left_semi")
+        measured = stored(_measured(large, link))
+        # what links with a pivot is joined by it, and needs no comparison with what else does
+        by_pivot = measured.withColumn("pivot", F.explode(F.filter("pivots", lambda p, j: F.getbit(F.col("linked"), j) == 1)))
+        found.append(by_pivot.where("pivot <> cls").select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
+        grouped = measured.join(_pivot_groups(measured, depth), ["region", "linked"], "left").withColumn("grp", F.coalesce("found", "grp"))
+        before = hot.agg(F.sum("members")).first()[0]
         # pivots that copy most members to most cells cut nothing
-        if cut is None or cut.count() > 3 * before:
-            return found.unionAll(_solved(_blocks(large, "region", "cls", REGION_BLOCK), link))
-        members = cut
-    return found
+        if depth == DEPTH or measured.agg(F.sum(F.size("near"))).first()[0] > 3 * before:
+            rest = stored(grouped.select("region", "cls", "grp", "elements"))
+            found.append(_solved(dealt(rest, "region", "cls", REGION_BLOCK, hot), link))
+            break
+        members = stored(grouped.select("region", "cls", "grp", "elements", F.explode("near").alias("cell")).select(F.xxhash64("region", "cell").alias("region"), "cls", "grp", "elements"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionAll(f)
+    return out
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Components of documents whose k-word shingle sets have a Jaccard similarity of num/den or more.
+    """Components of documents whose k-word shingle sets have a Jaccard similarity of num/den or more, 2/3 at least.
 
     One row per input row: ``id``, ``n_shingles`` and ``component_id``, the smallest id
     that links reach, itself included. Words are runs of anything but ASCII white space,
     A-Z lowered. A text of fewer than k words is one shingle; a text that is null, empty
-    or without words has none and links with nothing. Rows that share an id are one
-    document with the links of all of its texts. A row with a null id keeps a null
-    component. No rows give no rows; columns other than the two are not read. The id is
-    an integer.
+    or without words has none and links with nothing. A very long text is compared whole.
+    Rows that share an id are one document with the links of all of its texts. A row with
+    a null id keeps a null component. No rows give no rows; columns other than the two
+    are not read, whatever their names. The id is an integer.
     """
+    if 3 * num < 2 * den:
+        raise ValueError("links of less than 2/3 reach beyond the next ring")
     link = Link(num, den)
     small_batches(docs.sparkSession)
     source = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     profile = stored(_profiles(source, k, link))
-    home = profile.where("home and id is not null")
-    classes = home.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("id").alias("cls"))
-    of = stored(home.join(classes, ["fa", "fb", "n"], "left").select("id", "n", F.coalesce("cls", "id").alias("cls")))
-    marks = stored(profile.where("ring >= 0 and id is not null").groupBy("fa", "fb", "n", "ring").agg(F.min(F.struct("id", "marks")).alias("x")).select(F.col("x.id").alias("cls"), "ring", "n", F.col("x.marks").alias("marks")))
+    # an empty set is a class of its own document
+    keys = ["fa", "fb", "n", "alone"]
+    own = profile.where("id is not null").withColumn("alone", F.when(F.col("n") == 0, F.col("id")).otherwise(0))
+    of_ring = lambda home: F.max(F.when(F.col("home") == home, F.struct("ring", "marks"))).alias("own" if home else "low")
+    classes = stored(own.groupBy(*keys).agg(F.min("id").alias("first_id"), of_ring(True), of_ring(False)).withColumn("cls", F.monotonically_increasing_id()))
+    # the smaller side is stored, so adaptive execution can split the copies of a hot text
+    of = stored(own.where("home").join(classes.select(*keys, "cls", "first_id"), keys).select("id", "n", "cls", "first_id"))
+    marks = classes.select("cls", "n", F.explode(F.array("own", "low")).alias("x")).select("cls", "n", "x.ring", "x.marks").where("ring >= 0")
     shared = stored(_shared(_cells(source, k, link)))
     release(docs.sparkSession)
-    cells = shared.join(of.select("id", "cls").distinct(), "id").select("cell", "cls", F.col("cell").bitwiseAND(63).cast("int").alias("ring")).distinct().join(marks, ["cls", "ring"])
-    regions = connected_components(stored(_forest(cells, link)))
+    cells = stored(shared.join(of.select("id", "cls").distinct(), "id").select("cell", "cls", F.col("cell").bitwiseAND(63).cast("int").alias("ring")).distinct())
+    discard(shared)
+    edges = stored(_forest(cells, marks, link))
+    discard(cells)
+    regions = connected_components(edges)
     release(docs.sparkSession)
 
     def make(ids, data, off, state):
         h, so = _sets(data, off, k)
-        yield pa.RecordBatch.from_arrays([ids, _binary(so, h)], names=["id", "elements"])
+        fa, fb = (x.view(np.int64) for x in _fingerprints(h, so))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(fa), pa.array(fb), pa.array(np.diff(so)), _binary(so, h)], names=["id", "fa", "fb", "n", "elements"])
 
-    regions = stored(regions.select(F.col("node").alias("id"), F.col("component").alias("region")))
-    members = stored(_over_texts(source.join(regions.select("id"), "id", "left_semi"), make, "id long, elements binary").join(regions, "id").groupBy("region", F.col("id").alias("cls")).agg(F.first("elements").alias("elements")))
+    regions = stored(regions.select(F.col("node").alias("cls"), F.col("component").alias("region")).join(classes.select("cls", "fa", "fb", "n", "first_id"), "cls"))
+    sets = _over_texts(source.join(regions.select(F.col("first_id").alias("id")), "id", "left_semi"), make, "id long, fa long, fb long, n long, elements binary")
+    members = stored(sets.join(regions, ["fa", "fb", "n"]).where("id = first_id").groupBy("region", "cls").agg(F.first("elements").alias("elements")))
     release(docs.sparkSession)
     links = stored(_links(members, link))
-    # an id with several texts is one node
-    twice = of.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
-    component = connected_components(links.unionAll(twice.select("a", "b"))).withColumnRenamed("node", "cls")
-    named = of.join(component, "cls", "left").select("id", "n", F.coalesce("component", "cls").alias("component_id"))
+    discard(edges, regions, members)
+    # the classes of an id with several texts are one
+    several = stored(of.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z").select("id", "a"))
+    component = stored(connected_components(links.unionAll(several.join(of.select("id", F.col("cls").alias("b")), "id").where("a <> b").select("a", "b"))).withColumnRenamed("node", "cls"))
+    named = component.join(classes.select("cls", "first_id"), "cls").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    names = stored(component.join(named, "component").select("cls", "component_id"))
+    discard(links, several, component)
+    linked = of.join(names, "cls", "left").select("id", "n", F.coalesce("component_id", "first_id").alias("component_id"))
     nameless = profile.where("home and id is null").select("id", "n", F.lit(None).cast("long").alias("component_id"))
-    return named.unionAll(nameless).withColumnRenamed("n", "n_shingles")
+    return linked.unionAll(nameless).withColumnRenamed("n", "n_shingles")

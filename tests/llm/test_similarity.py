@@ -77,6 +77,39 @@ def test_one_id_with_two_texts_is_one_node(spark):
     a, b = "a b c d e f g h", "r s t u v w x y"
     df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")
     assert {r["component_id"] for r in N.ngram_components(df).collect()} == {1}
+    near = " ".join([b] * 5)
+    df = spark.createDataFrame([(1, a), (1, near + " z"), (1, None), (2, near + " zz"), (3, None), (4, a)], "doc_id long, text string")
+    assert {(r["id"], r["component_id"]) for r in N.ngram_components(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 1)}
+
+
+def test_sets_that_fill_few_parts_link(spark, monkeypatch):
+    # all shared shingles may lie in the parts that a link touches
+    monkeypatch.setattr(N, "parts_of", lambda ring, link: np.where(N.most_differences(ring, link) == 0, 0, N.most_differences(ring, link) + 1))
+    rnd = random.Random(6)
+    texts = [[f"w{rnd.randrange(10**6)}" for _ in range(8)] for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join([*t, "more"])) for i, t in enumerate(texts)]
+    got = {r["id"]: r["component_id"] for r in N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i] == i for i in range(60))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_a_hot_group_of_near_copies(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(N, "CELL_BLOCK", 16)
+        monkeypatch.setattr(N, "REGION_BLOCK", 16)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    copies = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(i % 4):
+            w[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        copies.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(copies)] + [(1000, "a text that is very long " * 20_000), (1001, "a text that is very long " * 20_001)]
+    got = {r["id"]: r["component_id"] for r in N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=3, num=90).collect()}
+    sets = {i: shingles(t, 3) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    assert got == components(sets, links) and len(links) > 10_000
 
 
 def test_region_recursion_is_exact():
@@ -88,6 +121,11 @@ def test_region_recursion_is_exact():
     g.solve(np.arange(90))
     want = components(range(90), [(a, b) for a, b in itertools.combinations(range(90), 2) if link.holds(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))])
     assert [int(x) for x in g.root] == [want[i] for i in range(90)]
+    # near copies are decided by pivots and by what pivots link, not pair by pair
+    copies = [np.array([x if rnd.random() > 0.01 else 9000 + rnd.randrange(10**6) for x in base], np.uint64) for _ in range(200)]
+    g = N._Region([np.unique(x) for x in copies], link)
+    g.solve(np.arange(200))
+    assert len(set(g.root.tolist())) == 1 and g.measured < 200 * 20
 
 
 def test_components_of_a_path(spark):
