@@ -67,9 +67,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stored(made.select(F.monotonically_increasing_id().alias("seg"), "*"))
 
 
-def _phrases(items: list[tuple[str | None, str]], window: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, lengths, item of each): every window of ``window`` words, or a shorter item as one."""
-    terms, lengths, owner = [], [], []
+def _phrases(items: list[tuple[str | None, str]], window: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct phrases as (terms, lengths), and their owners as (offsets, items): every window of ``window`` words, or a shorter item as one."""
+    terms, owner = [np.zeros((0, window + 1), np.uint64)], [np.zeros(0, np.int64)]
     for i, (_, text) in enumerate(items):
         data = np.frombuffer(text.encode(), np.uint8)
         starts, ends, _ = word_spans(data, np.array([0, len(data)]), table)
@@ -78,12 +78,14 @@ def _phrases(items: list[tuple[str | None, str]], window: int, table: np.ndarray
             continue
         m = min(window, len(h))
         w = np.lib.stride_tricks.sliding_window_view(h, m)
-        terms.append(np.pad(w, ((0, 0), (0, window - m))))
-        lengths.append(np.full(len(w), m))
+        # the length stands first, so that it is part of what is compared
+        terms.append(np.pad(w, ((0, 0), (1, window - m))))
+        terms[-1][:, 0] = m
         owner.append(np.full(len(w), i))
-    if not terms:
-        return np.zeros((0, window), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(terms), np.concatenate(lengths), np.concatenate(owner)
+    rows, who = np.concatenate(terms), np.concatenate(owner)
+    distinct, of = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+    pairs = np.unique(np.column_stack((of.ravel(), who)), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
+    return distinct[:, 1:], distinct[:, 0].astype(np.int64), np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1]
 
 
 def _occurrences(seg: dict, terms: np.ndarray, lengths: np.ndarray, order: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,9 @@ def find_phrases(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
 
     With ``slop`` above 0 a window also matches where each term lies within so many
     words of its place. Overlapping occurrences of an item's windows in a document
-    are one span. Items without words match nothing.
+    are one span. Items without words match nothing. A phrase that several items hold,
+    or one holds often, is looked up once. Items are read in blocks of ``BLOCK_BYTES``;
+    each block is one more pass over the index, and all that a task holds of the items.
     """
     spark = index.sparkSession
     small_batches(spark)
@@ -135,7 +139,7 @@ def find_phrases(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
     out = None
     for b in range(blocks):
         block = [(r["item"], r["text"]) for r in texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
-        terms, lengths, owner = _phrases(block, window, table)
+        terms, lengths, cut, owner = _phrases(block, window, table)
         vocab = np.unique(terms)
         listed = spark.createDataFrame([(int(x),) for x in vocab.view(np.int64)], "term long")
         seen = {r["term"]: r["n"] for r in known.join(F.broadcast(listed), "term").groupBy("term").agg(F.sum("n").alias("n")).collect()}
@@ -143,20 +147,24 @@ def find_phrases(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
         count = freq[np.searchsorted(vocab, terms)] if len(vocab) else np.zeros(terms.shape, np.int64)
         count[np.arange(window) >= lengths[:, None]] = np.iinfo(np.int64).max
         keep = (count > 0).all(axis=1)
-        terms, lengths, owner, order = terms[keep], lengths[keep], owner[keep], np.argsort(count[keep], axis=1, kind="stable")
-        sent = spark.sparkContext.broadcast((terms, lengths, owner, order, [x[0] for x in block]))
+        terms, lengths, order = terms[keep], lengths[keep], np.argsort(count[keep], axis=1, kind="stable")
+        sent = spark.sparkContext.broadcast((terms, lengths, cut[:-1][keep], np.diff(cut)[keep], owner, order, [x[0] for x in block]))
 
         def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            terms, lengths, owner, order, names = sent.value
+            terms, lengths, cut, owners, owner, order, names = sent.value
             for batch in batches(it):
                 for seg in batch.to_pylist():
                     phrase, start = _occurrences(seg, terms, lengths, order, slop)
                     if not len(phrase):
                         continue
                     first = np.frombuffer(seg["first"], "<i8")
+                    # each occurrence counts for all items that hold the phrase
+                    n = owners[phrase]
+                    item = owner[np.repeat(cut[phrase] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    start, end = np.repeat(start, n), np.repeat(start + lengths[phrase], n)
                     doc = np.searchsorted(first, start, "right") - 1
-                    o = np.lexsort((start, owner[phrase], doc))
-                    doc, item, start, end = doc[o], owner[phrase][o], start[o], (start + lengths[phrase])[o]
+                    o = np.lexsort((start, item, doc))
+                    doc, item, start, end = doc[o], item[o], start[o], end[o]
                     # all windows of an item are of one length, so ends are in order too
                     new = np.ones(len(doc), bool)
                     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > end[:-1])
@@ -190,8 +198,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     One row per input row: ``id``, ``n_words``, ``n_hit`` (words inside any occurrence
     of a window), ``items`` (ids as strings, sorted, each once) and ``contaminated``.
     An item of fewer words than ``window`` is one window. Null and empty texts have no
-    words; a null item id makes hits but is not listed. Repeated rows and rows with
-    equal or null ids are judged each on its own. Other columns are not read.
+    words, a very long text is searched whole; a null item id makes hits but is not
+    listed. Repeated rows and rows with equal or null ids are judged each on its own. Other
+    columns are not read. No documents give no rows, and no items no hits.
     """
     index = build_index(docs, id_col, text_col)
     spans = find_phrases(index, items, item_id_col, item_text_col, window, slop)
