@@ -7,6 +7,8 @@ memory of a task does not depend on the batch it is handed.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,7 +138,25 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Skips the empty batches that Spark hands over."""
+    """Skips the empty batches that Spark hands over; after the last one, memory that is not used goes back to the system.
+
+    Workers live on from task to task, and what they hold counts against the executor.
+    """
     for b in it:
         if b.num_rows:
             yield b
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _libc_trim():
+    """The call of the C library that gives free memory back; other systems have none."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_trim = _libc_trim()

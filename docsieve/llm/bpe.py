@@ -25,7 +25,7 @@ from ._store import col, small_batches
 from ._text import batches, slices
 
 #: Words that a worker keeps with their ids; beyond it, it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 # The normaliser and the pre-token pattern of the tokenizer file.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -74,23 +74,28 @@ def differing_letters() -> list[tuple[int, int]]:
     from tokenizers import Regex, normalizers, pre_tokenizers
 
     form = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-    every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
-    odd = {c for c in every if unicodedata.category(c) == "Cn"}
-    known = [c for c in every if c not in odd]
+    # unassigned and private letters go through the library anyway
+    codes = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    odd = {c for c in codes if unicodedata.category(chr(c)) in ("Cn", "Co")}
+    known = [chr(c) for c in codes if c not in odd]
     marks = [c for c in known if unicodedata.category(c)[0] == "M"]
     for letters, frame in ((known, "a{}b"), (marks, "b\u0301{}b"), (marks, "b{}\u0338b")):
-        put = [frame.format(c) for c in letters]
-        theirs = form.normalize_str("\0".join(put)).split("\0")
-        odd.update(c for c, x, y in zip(letters, put, theirs, strict=True) if _normal(x) != y)
+        for i in range(0, len(letters), 4096):
+            put = [frame.format(c) for c in letters[i : i + 4096]]
+            theirs = form.normalize_str("\0".join(put)).split("\0")
+            odd.update(ord(c) for c, x, y in zip(letters[i : i + 4096], put, theirs, strict=True) if _normal(x) != y)
     for theirs, ours in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\p{White_Space}")):
         own = pre_tokenizers.Split(Regex(f"[{theirs}]+"), behavior="removed", invert=True)
-        odd |= set("".join(x for x, _ in own.pre_tokenize_str("".join(known)))) ^ set(regex.findall(ours, "".join(known)))
-    codes = sorted(map(ord, odd))
-    runs, start = [], codes[0]
-    for x, y in zip(codes, [*codes[1:], 0]):
-        if y != x + 1:
-            runs.append((start, x))
-            start = y
+        for i in range(0, len(known), 4096):
+            part = "".join(known[i : i + 4096])
+            odd.update(map(ord, set("".join(x for x, _ in own.pre_tokenize_str(part))) ^ set(regex.findall(ours, part))))
+    runs: list[tuple[int, int]] = []
+    for c in codes:
+        if c in odd:
+            if runs and runs[-1][1] == c - 1:
+                runs[-1] = runs[-1][0], c
+            else:
+                runs.append((c, c))
     return runs
 
 

@@ -181,7 +181,7 @@ def _cells(docs: DataFrame, k: int, link: Link) -> DataFrame:
         h, so = _sets(data, off, k)
         fa, fb = _fingerprints(h, so)
         seen, hot = state.setdefault("seen", set()), state.setdefault("hot", np.zeros(0, np.uint64))
-        if len(seen) > 500_000:
+        if len(seen) > 100_000:
             seen.clear()
         new = np.zeros(len(fa), bool)
         for i, f in enumerate(zip(fa.tolist(), fb.tolist())):

@@ -20,7 +20,7 @@ from ._text import batches, slices
 #: Stands for the blank before a word.
 MARK = "▁"
 #: Terminals that a worker keeps; beyond it, it starts anew.
-KEPT = 400_000
+KEPT = 150_000
 #: Score of each UTF-8 byte of a letter that no piece spells.
 BYTE_SCORE = -20.0
 
