@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import re._constants as _sre
 from functools import reduce
+from re._parser import parse as _parse
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from .field_rules import INDUSTRIAL
+
 LEAST, SHARE = 3.0, 0.6
-_INDUSTRIAL = r"INDUSTRIAL|MECANICA|ELECTRICA|ELECTRONICA\s+INDUSTRIAL|QUIMICA\s+INDUSTRIAL|ORGANIZACION\s+INDUSTRIAL|TECNOLOGIAS?\s+INDUSTRIALES|DISEÑO\s+INDUSTRIAL"
 
 # Types in registry order, patterns over upper case without accents, and their points.
 KEYS: dict[str, dict[str, float]] = {
     "flc_60h": {r"FUNDACION LABORAL DE LA CONSTRUCCION": 3, r"CONVENIO (?:GENERAL|COLECTIVO)[A-Z ]{0,20}CONSTRUCCION": 2, r"\b60\s*(?:,00\s*)?H(?:ORAS)?\b": 1.5, r"NIVEL BASICO": 1.5, r"PLENO APROVECHAMIENTO": 1, r"PREVENCION": 0.5, r"TARJETA PROFESIONAL DE LA CONSTRUCCION": 1, r"\bDIPLOMA\b": 0.5},
     "ts_riesgos": {r"TECNICO SUPERIOR EN PREVENCION DE RIESGOS PROFESIONALES": 4, r"TITULO DE TECNICO SUPERIOR": 1.5, r"FORMACION PROFESIONAL": 1, r"CICLO FORMATIVO": 1, r"REY DE ESPAÑA": 0.5, r"\b(?:MINISTR[OA]|CONSEJER[OA])\b": 0.5},
     "ts_prl": {r"MASTER UNIVERSITARIO": 3, r"PREVENCION DE RIESGOS LABORALES": 2, r"\bUNIVERSI(?:DAD|TAT)\b": 1, r"\bRECTOR": 1, r"REGISTRO NACIONAL DE TITULADOS": 1, r"TITULO (?:OFICIAL|PROPIO)": 1, r"\bMASTER\b": 1},
-    "titulo_tecnico": {r"\bARQUITECT[OA]\b|ARQUITECTURA": 4, r"\bAPAREJADOR": 4, r"INGENIER(?:O|A|IA)\s+(?:TECNIC[OA]\s+)?(?:EN\s+)?INDUSTRIAL": 4, rf"INGENIERIA\s+(?:EN\s+|DE\s+)?(?:{_INDUSTRIAL}|EDIFICACION)": 3, r"\bINGENIER": 1, r"\bUNIVERSI(?:DAD|TAT)\b": 1, r"\bRECTOR": 1, r"REGISTRO NACIONAL DE TITUL": 1, r"TITULO (?:UNIVERSITARIO )?OFICIAL": 1, r"\bGRADUAD[OA]\b|\bGRADO EN\b": 1},
+    "titulo_tecnico": {r"\bARQUITECT[OA]\b|ARQUITECTURA": 4, r"\bAPAREJADOR": 4, r"INGENIER(?:O|A|IA)\s+(?:TECNIC[OA]\s+)?(?:EN\s+)?INDUSTRIAL": 4, rf"INGENIERIA\s+(?:EN\s+|DE\s+)?(?:{INDUSTRIAL}|EDIFICACION)": 3, r"\bINGENIER": 1, r"\bUNIVERSI(?:DAD|TAT)\b": 1, r"\bRECTOR": 1, r"REGISTRO NACIONAL DE TITUL": 1, r"TITULO (?:UNIVERSITARIO )?OFICIAL": 1, r"\bGRADUAD[OA]\b|\bGRADO EN\b": 1},
     "curso_coordinador_ss": {r"COORDINADOR(?:A|ES)?\s+(?:EN\s+MATERIA\s+)?DE\s+SEGURIDAD\s+Y\s+SALUD": 5, r"COORDINACION\s+(?:EN\s+MATERIA\s+)?DE\s+SEGURIDAD\s+Y\s+SALUD": 4, r"(?:REAL DECRETO|R\.?D\.?) 1627/1997": 1, r"OBRAS?\s+DE\s+CONSTRUCCION": 1, r"\bCURSO\b": 1, r"\bHORAS\b": 0.5, r"APROVECHAMIENTO|SUPERADO": 0.5, r"\bCERTIFICA|\bDIPLOMA\b": 0.5},
     "certificado_tgss": {r"TESORERIA GENERAL DE LA SEGURIDAD SOCIAL": 3, r"AL CORRIENTE": 2, r"SEGURIDAD SOCIAL": 1, r"\bCERTIFICA\b": 1, r"CUENTA DE COTIZACION|\bC\.?C\.?C\.?\b": 0.5, r"OBLIGACIONES": 0.5},
     "certificado_aeat": {r"AGENCIA (?:ESTATAL DE ADMINISTRACION )?TRIBUTARIA": 3, r"OBLIGACIONES TRIBUTARIAS": 2, r"AL CORRIENTE": 2, r"\bCERTIFICA\b": 1, r"LEY GENERAL TRIBUTARIA|REGLAMENTO GENERAL[A-Z ,]{0,40}GESTION": 1},
@@ -33,10 +38,50 @@ KEYS: dict[str, dict[str, float]] = {
 }
 
 
+def _needs(tree) -> list[str] | None:
+    """Literals of which a text that matches holds at least one; None if there are none to go by."""
+    best: list[str] | None = None
+    run = ""
+    for op, arg in [*tree, (None, None)]:
+        if op is _sre.LITERAL:
+            run += chr(arg)
+            continue
+        if len(run) > 2 and (best is None or len(run) > min(map(len, best))):
+            best = [run]
+        run = ""
+        if op is _sre.BRANCH:
+            options = [_needs(x) for x in arg[1]]
+            if best is None and all(options):
+                best = [x for o in options for x in o]
+        elif op is _sre.SUBPATTERN and best is None:
+            best = _needs(arg[-1])
+    return best
+
+
+def occurs(text: Column, pattern: str) -> Column:
+    """Does the pattern occur? Texts without a literal that it needs are passed over without the expression."""
+    if re.fullmatch(r"[A-ZÑ0-9 /]+", pattern):
+        return F.contains(text, F.lit(pattern))
+    needed = _needs(_parse(pattern))
+    if not needed:
+        return text.rlike(pattern)
+    some = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in dict.fromkeys(needed)])
+    return some & text.rlike(pattern)
+
+
 def scores(text: Column, keys: dict[str, dict[str, float]] = KEYS) -> Column:
-    """array<struct<kind, points>> in registry order; a pattern counts once however often it occurs."""
-    points = lambda table: F.bround(reduce(lambda a, b: a + b, [F.when(text.rlike(p), float(w)).otherwise(0.0) for p, w in table.items()]), 2)
-    return F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(points(t), F.lit(0.0)).alias("points")) for k, t in keys.items()])
+    """array<struct<kind, points>> in registry order; a pattern counts once however often it occurs.
+
+    A pattern that several types share is looked for once.
+    """
+    patterns = list(dict.fromkeys(p for table in keys.values() for p in table))
+    place = {p: i for i, p in enumerate(patterns)}
+
+    def points(hit: Column, table: dict[str, float]) -> Column:
+        return F.bround(reduce(lambda a, b: a + b, [F.when(F.get(hit, F.lit(place[p])), float(w)).otherwise(0.0) for p, w in table.items()]), 2)
+
+    hits = F.array(*[F.coalesce(occurs(text, p), F.lit(False)) for p in patterns])
+    return let(hits, lambda hit: F.array(*[F.struct(F.lit(k).alias("kind"), points(hit, t).alias("points")) for k, t in keys.items()]))
 
 
 def ranked(scored: Column) -> Column:

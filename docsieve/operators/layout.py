@@ -19,13 +19,20 @@ def with_centre(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"cy": F.col("y") + F.col("h") / 2, "norm": row_form(F.col("text"))})
 
 
-def _rows(ordered: Column, like: Column) -> Column:
-    """Folds lines in rows: a line joins the last row if its centre is within half a height of that row's first line."""
-    last = lambda acc: F.get(acc, F.size(acc) - 1)
-    near = lambda a, b: (a["page"] == b["page"]) & (F.abs(a["cy"] - b["cy"]) < F.greatest(a["h"], b["h"]) * 0.5)
-    joined = lambda acc, ln: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last(acc), F.array(ln))))
-    step = lambda acc, ln: F.when((F.size(acc) > 0) & near(F.get(last(acc), F.lit(0)), ln), joined(acc, ln)).otherwise(F.concat(acc, F.array(F.array(ln))))
-    return F.aggregate(ordered, like, step)
+def _row_numbers(ordered: Column) -> Column:
+    """The row of each line, from 0: a line joins the last row if its centre is within half a height of that row's first line.
+
+    The fold carries the first line of the row and the numbers so far, not the lines.
+    """
+    start = F.struct(F.lit(-1).alias("row"), F.lit(0).alias("page"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("h"), F.array().cast("array<int>").alias("rows"))
+
+    def step(s: Column, ln: Column) -> Column:
+        near = (s["row"] >= 0) & (s["page"] == ln["page"]) & (F.abs(s["cy"] - ln["cy"]) < F.greatest(s["h"], ln["h"]) * 0.5)
+        joins = lambda kept, new: F.when(near, kept).otherwise(new)
+        row = joins(s["row"], s["row"] + 1)
+        return F.struct(row.alias("row"), joins(s["page"], ln["page"]).cast("int").alias("page"), joins(s["cy"], ln["cy"]).cast("double").alias("cy"), joins(s["h"], ln["h"]).cast("double").alias("h"), F.array_append(s["rows"], row).alias("rows"))
+
+    return F.aggregate(ordered, start, step, lambda s: s["rows"])
 
 
 def documents(lines: DataFrame) -> DataFrame:
@@ -34,16 +41,26 @@ def documents(lines: DataFrame) -> DataFrame:
     lines: doc_id, line_no, page, text, x, y, w, h (fractions of the page), origin, conf, alt.
     """
     d = with_centre(lines).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*LINE))).alias("_l"))
-    empty = lambda c, n: F.filter(F.array(c), lambda _: F.lit(False)) if n else c
-    none = empty(empty(F.get("_l", F.lit(0)), True), True)
-    by_x = lambda row: F.transform(F.array_sort(F.transform(row, lambda v: F.struct(v["x"].alias("_x"), v["line_no"].alias("_n"), v.alias("v")))), lambda s: s["v"])
-    d = d.select("doc_id", F.flatten(F.transform(_rows(F.col("_l"), none), by_x)).alias("_o"))
+    # rows from the top, and from the left in a row
+    placed = F.zip_with("_l", _row_numbers(F.col("_l")), lambda v, r: F.struct(r.alias("_r"), v["x"].alias("_x"), v["line_no"].alias("_n"), v.alias("v")))
+    d = d.select("doc_id", F.transform(F.array_sort(placed), lambda s: s["v"]).alias("_o"))
     # the rows of a document are folded again over the reading order
-    none = empty(empty(F.get("_o", F.lit(0)), True), True)
-    d = d.select("doc_id", _rows(F.col("_o"), none).alias("_r"))
-    text = lambda row: F.trim(F.regexp_replace(F.array_join(F.transform(row, lambda v: v["norm"]), "  "), r"\s+", " "))
-    d = d.select("doc_id", F.flatten(F.transform("_r", lambda row, i: F.transform(row, lambda v: F.struct(i.alias("row"), *[v[c].alias(c) for c in LINE])))).alias("lines"), F.transform("_r", text).alias("rows"))
-    return d.withColumn("text", F.array_join("rows", "\n"))
+    d = d.select("doc_id", F.zip_with("_o", _row_numbers(F.col("_o")), lambda v, r: F.struct(r.alias("row"), *[v[c].alias(c) for c in LINE])).alias("lines"))
+    return d.select("doc_id", "lines", _texts(F.col("lines")).alias("rows")).withColumn("text", F.array_join("rows", "\n"))
+
+
+def _texts(lines: Column) -> Column:
+    """The normalised text of each row; two blanks part its lines before blanks are made one."""
+    empty = F.array().cast("array<string>")
+
+    def step(s: Column, ln: Column) -> Column:
+        new = ln["row"] != s["row"]
+        done = F.when(new & (s["row"] >= 0), F.array_append(s["rows"], s["text"])).otherwise(s["rows"])
+        return F.struct(ln["row"].alias("row"), F.when(new, ln["norm"]).otherwise(F.concat(s["text"], F.lit("  "), ln["norm"])).alias("text"), done.alias("rows"))
+
+    start = F.struct(F.lit(-1).alias("row"), F.lit("").alias("text"), empty.alias("rows"))
+    texts = F.aggregate(lines, start, step, lambda s: F.array_append(s["rows"], s["text"]))
+    return F.transform(texts, lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")))
 
 
 def reading_order(lines: DataFrame) -> DataFrame:

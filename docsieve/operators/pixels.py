@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .._ship import ship
 
 #: Widths to which a photo or a zone is brought before its sharpness is measured.
-WIDTH = {"global": 1000, "mrz": 900}
+WIDTH = {"global": 1000, "mrz": 900, "documento": 1000}
 BURNT, DARK, WHITE, COLOURLESS, LEAST_BLOB = 250, 30, 250, 30, 0.0005
 
 
@@ -92,9 +92,16 @@ def glare(image: np.ndarray) -> float:
 def metrics(image: np.ndarray, zone: str = "global", line_height: float | None = None) -> dict[str, float]:
     g = np.rint(grey(image))
     m = {"nitidez": sharpness(g, WIDTH[zone]), "brillo_bajo": g.mean(), "brillo_alto": g.mean(), "quemados": (g > BURNT).mean(), "contraste": g.std(), "reflejo": glare(image)}
-    if zone == "global":
+    if zone != "mrz":
         m |= {"oscuros": (g < DARK).mean(), "lado_min_px": min(g.shape)}
-    elif line_height is not None:
+    if zone == "documento":
+        from .geometry import paper_glare
+
+        # white paper is no glare: only what is lighter than the paper round it counts
+        m["reflejo"] = paper_glare(image)
+        if line_height is not None:
+            m["altura_letra_px"] = round(line_height, 1)
+    elif zone == "mrz" and line_height is not None:
         m["altura_linea_px"] = line_height / 3
     return {k: round(float(v), 4) for k, v in m.items()}
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from .._ship import ship
+
 COVER, GOOD_CONFIDENCE = 0.9, 0.9
 
 
@@ -60,9 +66,44 @@ def unmatched(extra: DataFrame, lines: DataFrame) -> DataFrame:
     return extra.alias("a").join(lines.alias("b"), met, "left_anti")
 
 
-def line_choice(same: Column, conf_a: Column, conf_b: Column, reread: Column) -> Column:
-    """Of two readings of a line: the first unless it was read again, differs, and the second is surer."""
-    return F.when(~reread | (same >= 0.8) | (conf_a >= conf_b), "a").otherwise("b")
+ALIKE = 0.8
+
+
+@F.pandas_udf(DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The ratio of matching blocks of two readings in upper case without signs; 0 if one is empty."""
+    plain = lambda t: "".join(c for c in (t or "").upper() if c.isalnum() or c == "_")
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+    return pd.Series([ratio(plain(x), plain(y)) for x, y in zip(a, b)])
+
+
+def chosen_lines(readings: DataFrame) -> DataFrame:
+    """Adds ``text``, ``conf``, ``origin`` and ``alt`` to two readings of each line; lines that neither reads go.
+
+    readings: text_a, conf_a, text_b, conf_b and ``reread``, whether b was asked. The first
+    stands unless it is empty, or b was asked, differs, and is surer. Where they agree the
+    surer confidence counts; the other text stays as an alternative.
+    """
+    ship(readings.sparkSession)
+    d = readings.withColumn("_same", F.when(F.col("reread"), likeness("text_a", "text_b")).otherwise(F.lit(0.0)))
+    b = F.when(F.col("reread"), F.coalesce("text_b", F.lit(""))).otherwise("")
+    cb = F.when(F.col("reread"), F.coalesce("conf_b", F.lit(0.0))).otherwise(0.0)
+    first_one = (F.coalesce("text_a", F.lit("")) != "") & (~F.col("reread") | (F.col("_same") >= ALIKE) | (F.col("conf_a") >= cb))
+    other = F.when(first_one, b).otherwise(F.coalesce("text_a", F.lit("")))
+    d = d.withColumns({
+        "text": F.when(first_one, F.col("text_a")).otherwise(b), "origin": F.when(first_one, "a").otherwise("b"),
+        "conf": F.bround(F.when(first_one, F.greatest(F.col("conf_a"), F.when(F.col("_same") >= ALIKE, cb).otherwise(0.0))).otherwise(cb), 3),
+    })
+    return d.withColumn("alt", F.when((other != "") & (other != F.col("text")), other)).drop("_same").where(F.trim("text") != "")
+
+
+def reused(boxes: DataFrame, previous: DataFrame) -> DataFrame:
+    """Lines of an earlier reading that cover a box by COVER, all of them sure: (doc_id, page, box_no, line_no), no need to read these boxes again."""
+    at = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & same_row("a", "b") & (F.col("b.x") + F.col("b.w") > F.col("a.x")) & (F.col("b.x") < F.col("a.x") + F.col("a.w"))
+    over = F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w")) - F.greatest("a.x", "b.x")
+    met = boxes.alias("a").join(previous.alias("b"), at).select("a.doc_id", "a.page", "a.box_no", F.col("a.w").alias("w"), F.col("b.line_no").alias("line_no"), F.col("b.conf").alias("conf"), over.alias("over"))
+    whole = met.groupBy("doc_id", "page", "box_no").agg(F.sum("over").alias("over"), F.max("w").alias("w"), F.min("conf").alias("conf"), F.collect_set("line_no").alias("lines"))
+    return whole.where((F.col("conf") >= GOOD_CONFIDENCE) & (F.col("over") >= COVER * F.col("w"))).select("doc_id", "page", "box_no", F.explode("lines").alias("line_no"))
 
 
 def doubtful(lines: DataFrame, limit: int = 40) -> DataFrame:

@@ -16,6 +16,8 @@ CARD_FIELDS = ("dni", "num_soporte", "fecha_nacimiento", "fecha_caducidad", "sex
 PROTECTED = ("dni", "soporte_digitos", "fecha_nacimiento", "fecha_caducidad")
 UNPROTECTED = ("sexo", "apellidos", "nombre", "soporte_letras")
 VERDICTS = ("apta", "riesgo", "rechazar")
+#: Globs that a table of the truth may hold: each is tried on every file that has no truth of its own.
+MOST_GLOBS = 10_000
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -32,14 +34,17 @@ def truth_lookup(files: DataFrame, truth: DataFrame) -> DataFrame:
     """The truth of each file: by its path or name, else by the first glob that fits; files without one have nulls.
 
     files: path; truth: ord, key, and anything else. Exact keys join by hash. Globs are
-    few and written by hand: they are put in patterns on the driver and joined by a
-    nested loop over their broadcast rows.
+    few and written by hand: they are put in patterns on the driver, MOST_GLOBS at most,
+    and joined by a nested loop over their broadcast rows.
     """
     spark = files.sparkSession
     name = F.element_at(F.split("path", "/"), -1)
     exact = files.select("path", F.explode(F.array_distinct(F.array("path", name))).alias("key")).join(truth, "key").groupBy("path").agg(F.min_by(F.struct(*truth.columns), "ord").alias("t"))
     globs = truth.where(F.col("key").rlike(r"[*?\[]"))
-    patterns = spark.createDataFrame([(r["ord"], glob_pattern(r["key"])) for r in globs.select("ord", "key").collect()], "ord long, pattern string")
+    some = globs.select("ord", "key").limit(MOST_GLOBS + 1).collect()
+    if len(some) > MOST_GLOBS:
+        raise ValueError(f"more than {MOST_GLOBS} globs: name the files instead")
+    patterns = spark.createDataFrame([(r["ord"], glob_pattern(r["key"])) for r in some], "ord long, pattern string")
     rest = files.join(exact.select("path"), "path", "left_anti")
     hit = rest.join(F.broadcast(patterns), F.expr("path rlike pattern or element_at(split(path, '/'), -1) rlike pattern")).groupBy("path").agg(F.min("ord").alias("ord"))
     by_glob = hit.join(truth, "ord").select("path", F.struct(*truth.columns).alias("t"))
@@ -62,6 +67,27 @@ def compare_fields(rows: DataFrame, cut: str = "cut") -> DataFrame:
     return d.select(*keep, F.explode(all_).alias("_x")).select(*keep, F.col("_x.f").alias("field"), F.col("_x.ok").alias("ok"))
 
 
+def result_rows(readings: DataFrame, compared: DataFrame) -> DataFrame:
+    """One row per photo and engine: (photo_id, engine, valid, ms, fields_ok, failed, valid_wrong, valid_unprotected_wrong).
+
+    readings: photo_id, engine, valid, ms; compared: photo_id, engine, field, ok as
+    compare_fields() gives them. ``fields_ok`` counts the fields of a card, "right/compared",
+    and ``failed`` names the wrong ones in their order. A wrong field that check digits cover
+    is what must not be in a valid reading; wrong ones that they do not cover are told apart.
+    Without truth these columns are null.
+    """
+    order = F.array_position(F.array(*map(F.lit, CARD_FIELDS)), F.col("field"))
+    own, bad = F.col("field").isin(*CARD_FIELDS), ~F.col("ok")
+    per = compared.groupBy("photo_id", "engine").agg(
+        F.count_if(own & F.col("ok")).alias("right"), F.count_if(own).alias("compared"), F.array_sort(F.collect_list(F.when(own & bad, F.struct(order.alias("n"), F.col("field").alias("f"))))).alias("w"),
+        F.max(bad & F.col("field").isin(*PROTECTED)).alias("p"), F.max(bad & F.col("field").isin(*UNPROTECTED)).alias("u"),
+    )
+    return readings.join(per, ["photo_id", "engine"], "left").select(
+        "photo_id", "engine", "valid", "ms", F.concat(F.col("right").cast("string"), F.lit("/"), F.col("compared").cast("string")).alias("fields_ok"), F.transform("w", lambda x: x["f"]).alias("failed"),
+        *[F.when(F.col(c).isNotNull(), F.col("valid") & F.col(c)).alias(n) for c, n in (("p", "valid_wrong"), ("u", "valid_unprotected_wrong"))],
+    )
+
+
 def engine_summary(rows: DataFrame) -> DataFrame:
     """Per engine: photos, % valid, mean ms, % with all fields right, valid ones with a wrong protected or unprotected field.
 
@@ -124,10 +150,16 @@ def field_outcomes(truth: DataFrame, fields: DataFrame, status: DataFrame) -> Da
 
 
 def latency(docs: DataFrame) -> DataFrame:
-    """(origin, n, median, p95): the mean of the middle two for an even count; p95 at the place round(0.95 (n - 1)), half to even."""
-    a = F.array_sort(F.collect_list("ms"))
-    got = docs.groupBy("origin").agg(F.count("*").alias("n"), F.percentile("ms", 0.5).alias("median"), a.alias("a"))
-    return got.select("origin", "n", "median", F.get("a", F.bround(0.95 * (F.col("n") - 1)).cast("int")).cast("double").alias("p95"))
+    """(origin, n, median, p95): the mean of the middle two for an even count; p95 at the place round(0.95 (n - 1)), half to even.
+
+    Times are counted before they are put in order, so an origin is as many rows as it has different times.
+    """
+    w = Window.partitionBy("origin").orderBy("ms")
+    times = docs.groupBy("origin", "ms").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy("origin")))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("ms")))
+    n = F.col("n")
+    got = times.groupBy("origin", "n").agg(at(F.floor((n - 1) / 2)).alias("low"), at(F.floor(n / 2)).alias("high"), at(F.bround(0.95 * (n - 1))).alias("p95"))
+    return got.select("origin", "n", ((F.col("low") + F.col("high")) / 2).cast("double").alias("median"), F.col("p95").cast("double").alias("p95"))
 
 
 def accepted_wrong(outcomes: DataFrame) -> DataFrame:

@@ -1,13 +1,21 @@
-"""Lines out of the words that recognisers return."""
+"""Lines out of the words that recognisers return, and out of the pieces of a text layer."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .._ship import ship
+
 #: A gap of more than so many heights starts another column.
 GAP = 2.5
+#: Pieces of a row less than so many heights apart are one line, in a text layer and among loose words.
+NEAR = 1.5
+#: Heights of pixels in which loose lines count as level.
+LEVEL = 15
 
 
 def lines_of_words(words: DataFrame) -> DataFrame:
@@ -32,3 +40,55 @@ def box_order(lines: DataFrame) -> DataFrame:
     """Adds ``place`` to (doc_id, x, y, h, …) in pixels: by tens of the centre's height, half to even, then from the left."""
     w = Window.partitionBy("doc_id").orderBy(F.bround((F.col("y") + F.col("h") / 2) / 10), "x")
     return lines.withColumn("place", F.row_number().over(w))
+
+
+def merged_segments(segments: DataFrame) -> DataFrame:
+    """(doc_id, page, part, text, x0, y0, x1, y1): pieces of a text layer, in points from the bottom left, put together in their rows.
+
+    segments: doc_id, page, text, x0, y0, x1, y1. A page is one row with an array of its
+    pieces; the fold carries the line that is being put together.
+    """
+    d = segments.where(F.trim("text") != "").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct((-F.bround((F.col("y0") + F.col("y1")) / 2)).alias("k"), "x0", "y0", "x1", "y1", F.trim("text").alias("text")))).alias("s"))
+    line = "struct<text:string,x0:double,y0:double,x1:double,y1:double>"
+
+    def step(a: Column, z: Column) -> Column:
+        u, tall = F.element_at(a, -1), F.greatest(z["y1"] - z["y0"], F.lit(1.0))
+        gap = z["x0"] - u["x1"]
+        joins = (F.size(a) > 0) & (F.abs((u["y0"] + u["y1"]) / 2 - (z["y0"] + z["y1"]) / 2) < 0.5 * F.greatest(tall, u["y1"] - u["y0"])) & (gap >= 0) & (gap < NEAR * tall)
+        one = lambda text, x0, y0, x1, y1: F.struct(text.alias("text"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"))
+        longer = one(F.concat(u["text"], F.lit(" "), z["text"]), u["x0"], F.least(u["y0"], z["y0"]), z["x1"], F.greatest(u["y1"], z["y1"]))
+        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(longer))).otherwise(F.array_append(a, one(z["text"], z["x0"], z["y0"], z["x1"], z["y1"])))
+
+    merged = F.aggregate("s", F.array().cast(f"array<{line}>"), lambda a, z: F.when(F.size(a) == 0, F.array(F.struct(z["text"].alias("text"), *[z[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))).otherwise(step(a, z)))
+    return d.select("doc_id", "page", F.posexplode(merged).alias("part", "l")).select("doc_id", "page", "part", "l.*")
+
+
+def sparse_lines(words: DataFrame) -> DataFrame:
+    """(doc_id, page, place, text, x, y, w, h, conf): loose words, each put on the first line it stands right behind.
+
+    words: doc_id, page, text, x, y, w, h in pixels, conf. Words are taken from the top; a
+    page, which has some thousand words at most, is put together at once.
+    """
+    ship(words.sparkSession)
+
+    def page(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.assign(c=f.y + f.h / 2).sort_values(["c", "x", "text"], kind="stable")
+        texts, boxes, confs = [], np.zeros((0, 4)), []
+        for t, x, y, w, h, conf in f[["text", "x", "y", "w", "h", "conf"]].itertuples(index=False):
+            tall = np.maximum(boxes[:, 3], h)
+            gap = x - boxes[:, 0] - boxes[:, 2]
+            fits = np.flatnonzero((np.abs(y + h / 2 - boxes[:, 1] - boxes[:, 3] / 2) < tall * 0.5) & (gap >= 0) & (gap < tall * NEAR))
+            if not len(fits):
+                texts.append(t), confs.append([conf])
+                boxes = np.vstack((boxes, (x, y, w, h)))
+                continue
+            i = fits[0]
+            lx, ly, lw, lh = boxes[i]
+            texts[i] += " " + t
+            confs[i].append(conf)
+            boxes[i] = lx, min(ly, y), max(lx + lw, x + w) - lx, max(ly + lh, y + h) - min(ly, y)
+        order = np.lexsort((boxes[:, 0], np.rint((boxes[:, 1] + boxes[:, 3] / 2) / LEVEL)))
+        return pd.DataFrame([(f.doc_id.iloc[0], f.page.iloc[0], n + 1, texts[i], *boxes[i], float(np.mean(confs[i]))) for n, i in enumerate(order)], columns=["doc_id", "page", "place", "text", "x", "y", "w", "h", "conf"])
+
+    good = words.where((F.trim("text") != "") & (F.col("conf") >= 0)).select("doc_id", F.col("page").cast("int").alias("page"), F.trim("text").alias("text"), *[F.col(c).cast("double").alias(c) for c in "xywh"], F.col("conf").cast("double").alias("conf"))
+    return good.groupBy("doc_id", "page").applyInPandas(page, f"doc_id {good.schema['doc_id'].dataType.simpleString()}, page int, place int, text string, x double, y double, w double, h double, conf double")

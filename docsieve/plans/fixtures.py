@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import spread
+
 AS_OF = "2026-06-30"
 
 _NUM = "lpad(cast((c_custkey * 7919) % 100000000 as string), 8, '0')"
@@ -64,4 +66,6 @@ def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Runs fixture SQL with ``{table}`` names bound to the Parquet tables of sf_dir; no view is left behind."""
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    # work on whole texts is heavy, so their rows are spread over the cores
+    return spark.sql(sql, **{t: spread(read(t)) if t == "documents" else read(t) for t in tables})

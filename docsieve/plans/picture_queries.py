@@ -1,0 +1,180 @@
+"""Queries over pictures that are drawn from keys, so that what is to be seen on them follows by rule."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .._ship import ship
+from ..operators import geometry, pixels
+
+
+def pictures(spark: SparkSession, d: str, draw: Callable[[int], np.ndarray]) -> DataFrame:
+    """A picture for each nation, as Spark's image source has them."""
+    ship(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k in f["k"]:
+                image = draw(int(k)).astype(np.uint8)
+                image = np.repeat(image[..., None], 3, axis=2) if image.ndim == 2 else image
+                yield pd.DataFrame([(str(k), *image.shape, image.tobytes())], columns=["photo_id", "height", "width", "nChannels", "data"])
+
+    keys = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"))
+    return keys.repartition(8).mapInPandas(run, "photo_id string, height int, width int, nChannels int, data binary")
+
+
+def _k(df: DataFrame) -> DataFrame:
+    return df.withColumn("k", F.col("photo_id").cast("long")).drop("photo_id")
+
+
+def page_skew(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of text, turned by whole degrees: the angle that makes them level, and what is left of it after."""
+
+    def draw(k: int) -> np.ndarray:
+        page = np.full((300, 420), 255.0)
+        for y in range(40, 260, 20):
+            page[y : y + 8, 50:370] = 10
+        return geometry.rotated(page, float(k % 9 - 4))
+
+    def facts(image: np.ndarray) -> dict:
+        level, info = geometry.prepared(image, photo=False)
+        return {"angle": float(info["skew"]), "rest": float(geometry.skew(level))}
+
+    got = geometry.over_images(pictures(spark, d, draw), facts, "angle double, rest double")
+    return _k(got).select("k", F.bround("angle").cast("long").alias("angle"), (F.abs("rest") <= 0.5).alias("level"))
+
+
+PAGE_SKEW = "SELECT cast(n_nationkey AS bigint) AS k, cast(4 - n_nationkey % 9 AS bigint) AS angle, true AS level FROM nation"
+
+
+def sheet_corners(spark: SparkSession, d: str) -> DataFrame:
+    """The corners of a light sheet on a dark table, and the size it has when it is straight; every fifth picture has none."""
+
+    def draw(k: int) -> np.ndarray:
+        photo = np.full((360, 500), 60.0)
+        if k % 5:
+            photo[30 + k : 330, 40 + 2 * k : 430] = 235
+        return photo
+
+    def facts(image: np.ndarray) -> dict:
+        c = geometry.find_sheet(image)
+        flat = None if c is None else geometry.straightened_sheet(image, c)
+        return {"corners": None if c is None else ",".join(str(int(round(v))) for v in c.ravel()), "size": None if flat is None else f"{flat.shape[1]}x{flat.shape[0]}", "light": None if flat is None else float(np.round(pixels.grey(flat).min()))}
+
+    return _k(geometry.over_images(pictures(spark, d, draw), facts, "corners string, size string, light double")).select("k", "corners", "size", "light")
+
+
+SHEET_CORNERS = """
+WITH p AS (SELECT cast(n_nationkey AS bigint) AS k, cast(40 + 2 * n_nationkey AS bigint) AS x, cast(30 + n_nationkey AS bigint) AS y FROM nation)
+SELECT k, CASE WHEN k % 5 <> 0 THEN x || ',' || y || ',429,' || y || ',429,329,' || x || ',329' END AS corners, CASE WHEN k % 5 <> 0 THEN (429 - x) || 'x' || (329 - y) END AS size, CASE WHEN k % 5 <> 0 THEN 235.0::double END AS light FROM p
+"""
+
+
+def scan_or_photo(spark: SparkSession, d: str) -> DataFrame:
+    """White paper to the border, or with a shadow along it."""
+
+    def draw(k: int) -> np.ndarray:
+        page = np.full((200, 280), 250.0)
+        page[60:140, 60:220] = 20
+        page[:, : 40 * (k % 3)] -= 120
+        return page
+
+    return _k(geometry.over_images(pictures(spark, d, draw), lambda image: {"clean": geometry.clean_scan(image)}, "clean boolean")).select("k", "clean")
+
+
+SCAN_OR_PHOTO = "SELECT cast(n_nationkey AS bigint) AS k, n_nationkey % 3 = 0 AS clean FROM nation"
+
+
+def quarter_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns by quarters, clockwise, and the turns worth trying for a card that lies or stands."""
+
+    def draw(k: int) -> np.ndarray:
+        return np.array([[10, 20, 30], [40, 50, 60]]) + k
+
+    def facts(image: np.ndarray) -> dict:
+        g = image[..., 0]
+        k = int(g[0, 0]) - 10
+        t = geometry.turned(image, 90 * (k % 4))[..., 0]
+        w, h = (170, 100) if k % 2 else (100, 170)
+        corners = geometry.order_corners(np.array([[w, h], [0, 0], [0, h], [w, 0]]))
+        scores = {0: 10.0, 90: 10.0 + 2 * (k % 3), 180: 0.0, 270: 2.0}
+        return {"shape": f"{t.shape[1]}x{t.shape[0]}", "corner": int(t[0, 0]), "turns": ",".join(map(str, geometry.card_turns(corners))), "best": geometry.best_turn(scores)}
+
+    return _k(geometry.over_images(pictures(spark, d, draw), facts, "shape string, corner long, turns string, best long")).select("k", "shape", "corner", "turns", "best")
+
+
+QUARTER_TURNS = """
+SELECT cast(n_nationkey AS bigint) AS k, CASE WHEN n_nationkey % 2 = 0 THEN '3x2' ELSE '2x3' END AS shape, cast(n_nationkey + CASE n_nationkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 40 WHEN 2 THEN 60 ELSE 30 END AS bigint) AS corner,
+  CASE WHEN n_nationkey % 2 = 1 THEN '0,180' ELSE '90,270' END AS turns, cast(CASE WHEN n_nationkey % 3 = 2 THEN 90 ELSE 0 END AS bigint) AS best FROM nation
+"""
+
+
+def paper_glare(spark: SparkSession, d: str) -> DataFrame:
+    """A burnt square on paper that is grey or nearly white: its share of the page as a quality metric of documents."""
+
+    def draw(k: int) -> np.ndarray:
+        page = np.full((200, 800), 200.0 if k % 2 else 238.0)
+        side = 14 + k % 6
+        page[50 : 50 + side, 300 : 300 + side] = 255
+        return page
+
+    m = pixels.measured(pictures(spark, d, draw), "documento").where("metric = 'reflejo'")
+    return _k(m).select("k", "metric", F.bround("value", 4).alias("value"))
+
+
+PAPER_GLARE = "SELECT cast(n_nationkey AS bigint) AS k, 'reflejo' AS metric, round_even((14 + n_nationkey % 6) * (14 + n_nationkey % 6) / 160000.0, 4)::double AS value FROM nation"
+
+
+def photo_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Light above, dark below: what photos are measured by."""
+
+    def draw(k: int) -> np.ndarray:
+        photo = np.full((100, 200), 20.0)
+        photo[: 10 + k] = 255
+        return photo
+
+    m = pixels.measured(pictures(spark, d, draw)).where("metric in ('brillo_bajo', 'quemados', 'oscuros', 'contraste', 'reflejo', 'lado_min_px')")
+    return _k(m).select("k", "metric", F.bround("value", 3).alias("value"))
+
+
+PHOTO_METRICS = """
+WITH p AS (SELECT cast(n_nationkey AS bigint) AS k, (10 + n_nationkey) / 100.0::double AS s FROM nation)
+SELECT k, metric, round_even(CASE metric WHEN 'brillo_bajo' THEN 20 + 235 * s WHEN 'quemados' THEN s WHEN 'oscuros' THEN 1 - s WHEN 'contraste' THEN round_even(235 * sqrt(s * (1 - s)), 4) WHEN 'reflejo' THEN s ELSE 100 END, 3)::double AS value
+FROM p, (VALUES ('brillo_bajo'), ('quemados'), ('oscuros'), ('contraste'), ('reflejo'), ('lado_min_px')) v(metric)
+"""
+
+
+def zone_place(spark: SparkSession, d: str) -> DataFrame:
+    """Is the block of dense signs found where it is, and nothing on an empty card?"""
+
+    def draw(k: int) -> np.ndarray:
+        card = np.full((500, 800), 220.0)
+        if k % 4:
+            y = 250 + 4 * k
+            for row in range(3):
+                card[y + 40 * row : y + 40 * row + 22, 80:720:8] = 20
+                card[y + 40 * row : y + 40 * row + 22, 81:720:8] = 20
+                card[y + 40 * row : y + 40 * row + 22, 82:720:8] = 20
+        return card
+
+    def facts(image: np.ndarray) -> dict:
+        found = geometry.find_zone(image)
+        if found is None:
+            return {"found": False, "y": None}
+        x, y, w, h = found
+        overlap = max(0, min(x + w, 720) - max(x, 80)) / 640
+        return {"found": bool(overlap > 0.9 and w < 760), "y": float(y + h / 2)}
+
+    got = _k(geometry.over_images(pictures(spark, d, draw), facts, "found boolean, y double"))
+    return got.select("k", "found", F.coalesce(F.abs(F.col("y") - (250 + 4 * F.col("k") + 51)) <= 15, F.lit(False)).alias("there"))
+
+
+ZONE_PLACE = "SELECT cast(n_nationkey AS bigint) AS k, n_nationkey % 4 <> 0 AS found, n_nationkey % 4 <> 0 AS there FROM nation"
+
+QUERIES = (page_skew, sheet_corners, scan_or_photo, quarter_turns, paper_glare, photo_metrics, zone_place)
+ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES}

@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".tif", ".tiff", ".bmp")
-#: Kinds of documents that cannot be read, as a column rather than a failed job.
-REASONS = ("vacio", "formato", "corrupto", "cifrado")
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt over all cores, before work that costs much for each of them.
+
+    A file of one row group is one task however it is split. Tables that fill the cores
+    by their size stay as they are, so what is exchanged is bounded.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < split * cores else df
 
 
 def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES, most_bytes: int = 25 << 20) -> DataFrame:
@@ -60,6 +69,63 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.removeprefix("﻿").strip() for c in df.columns]).where(F.trim(F.coalesce(F.col(df.columns[0].removeprefix("﻿").strip()), F.lit(""))) != "")
 
 
+def read_truth_long(spark: SparkSession, path: str) -> DataFrame:
+    """(file, kind, field, truth) of a CSV with a row for each field; the kind of a file is that of its first row."""
+    t = read_truth(spark, path)
+    t = t.select(*[F.trim(F.col(c)).alias(n) for c, n in zip(t.columns, ("file", "kind", "field", "truth"))]).withColumn("_n", F.monotonically_increasing_id())
+    kinds = t.groupBy("file").agg(F.min_by("kind", "_n").alias("kind"))
+    return t.drop("kind", "_n").join(kinds, "file").select("file", "kind", "field", "truth")
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A CSV with ; between its columns; reports hold no personal values."""
     df.write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
+
+
+def export_report(parts: list[DataFrame], path: str, most_rows: int = 1_000_000) -> None:
+    """One CSV file for a spreadsheet: ; between columns, a mark for UTF-8, and the columns of all parts in the order they are first seen.
+
+    It is for reports of a batch: more than ``most_rows`` rows are refused, use write_report() for them.
+    """
+    columns = list(dict.fromkeys(c for p in parts for c in p.columns))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    rows = whole.select(*columns).limit(most_rows + 1).toPandas()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
+    rows.to_csv(path, sep=";", index=False, encoding="utf-8-sig")
+
+
+def read_rules(path: str) -> tuple[tuple, ...]:
+    """Quality rules of a thresholds file, for quality.rules(): zone, metric, sense, doubtful from, bad from, whether bad only warns.
+
+    The file names zones, in them metrics, and their values as ``sense``/``sentido``,
+    ``dudoso``, ``mal`` and ``solo_aviso``; two blanks deepen a level, or braces hold a metric's values.
+    """
+    out, zone, metric, values = [], None, None, {}
+
+    def close() -> None:
+        if metric is not None and values:
+            out.append((zone, metric, values.get("sentido", values.get("sense", "max")), float(values["dudoso"]), float(values["mal"]), str(values.get("solo_aviso", "false")).lower() in ("true", "si", "yes")))
+
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            text = line.split("#")[0].rstrip()
+            if not text.strip():
+                continue
+            depth = (len(text) - len(text.lstrip(" "))) // 2
+            name, _, rest = text.strip().partition(":")
+            rest = rest.strip()
+            if depth == 0:
+                close()
+                zone, metric, values = name, None, {}
+            elif depth == 1:
+                close()
+                metric, values = name, {}
+                if rest.startswith("{"):
+                    values = {k.strip(): v.strip() for k, _, v in (p.partition(":") for p in rest.strip("{}").split(","))}
+            else:
+                values[name] = rest
+        close()
+    return tuple(out)

@@ -40,9 +40,9 @@ def test_recogniser_gives_error_rows(spark):
 
 def test_front(spark):
     rows = [("c", 0, "APELLID0S", 10, 10, 80, 10), ("c", 1, "GARCÍA LÓPEZ", 10, 24, 120, 10), ("c", 2, "SEXO", 200, 10, 30, 10), ("c", 3, "F", 240, 10, 8, 10), ("c", 4, "DOCUMENTO", 10, 100, 80, 10)]
-    lines = front.labelled_lines(spark.createDataFrame(rows, "doc_id string, line_no int, text string, x int, y int, w int, h int"))
-    got = {r["label"]: r["v"] for r in front.beside(lines).select("label", front.typed(F.col("label"), F.col("value")).alias("v")).collect()}
-    assert got["apellidos"] == "GARCIA LOPEZ" and got["sexo"] == "F"
+    lines = spark.createDataFrame(rows, "doc_id string, line_no int, text string, x int, y int, w int, h int")
+    got = front.read_fronts(lines, F.lit("2026-06-30").cast("date")).first()
+    assert got["apellidos"] == "GARCIA LOPEZ" and got["sexo"] == "F" and got["found"] == 2
     assert front.labels_in("NOM") == ["nombre"] and front.labels_in("NOMS") == []
 
 
