@@ -207,7 +207,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     marked = stored(rows.select("id", "label", "vec", good.alias("good"), F.xxhash64("vec").alias("ha"), F.xxhash64(F.lit(3), "vec").alias("hb")))
     classes = marked.where("good").groupBy("label", "ha", "hb").agg(F.min(F.struct("id", "vec")).alias("x"), F.count("*").alias("size"))
     space = F.xxhash64("label", F.size("x.vec")).alias("space")
-    classes = stored(classes.select("label", "ha", "hb", F.col("x.id").alias("cls"), "size", F.col("x.vec").alias("vec"), space, F.lit(0).cast("long").alias("grp")))
+    classes = stored(classes.select("label", "ha", "hb", F.col("x.id").alias("first_id"), "size", F.col("x.vec").alias("vec"), space, F.lit(0).cast("long").alias("grp")).withColumn("cls", F.monotonically_increasing_id()))
     most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bits, tables = plan_tables(most, threshold)
     limit, wide = _most_differing(bits, tables, threshold), bits > 16
@@ -225,11 +225,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = _compare(near.join(classes.select("cls", "size", "vec"), "cls"), threshold, limit, wide)
     found = stored(found if known is None else found.unionAll(known))
     degree = stored(found.groupBy("cls").agg(F.sum("links").alias("links")))
-    component = connected_components(found.select(F.col("cls").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "cls")
+    component = stored(connected_components(found.select(F.col("cls").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "cls"))
+    # classes have names of their own, as rows that share an id may hold different vectors
+    named = component.join(classes.select("cls", "first_id"), "cls").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    names = component.join(named, "component").select("cls", "component_id")
     # stored, so that adaptive execution can split the rows of a much repeated vector
-    facts = stored(classes.select("label", "ha", "hb", "cls", "size").join(degree, "cls", "left").join(component, "cls", "left"))
-    discard(found, degree)
+    facts = stored(classes.select("label", "ha", "hb", "cls", "size", "first_id").join(degree, "cls", "left").join(names, "cls", "left"))
+    discard(found, degree, component)
     joined = marked.where("good").select("id", "label", "ha", "hb").join(facts, ["label", "ha", "hb"])
-    linked = joined.select("id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    linked = joined.select("id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id"))
     alone = marked.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.col("id") == F.col("component_id"))
