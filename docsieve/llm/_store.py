@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .._ship import ship
 
@@ -61,6 +62,11 @@ def col(name: str):
     return F.col(quoted(name))
 
 
+def with_row(packed: DataFrame, more: str) -> T.StructType:
+    """The schema of rows that carry a struct ``row``, whatever its columns are called, and more columns as DDL."""
+    return T.StructType([packed.schema["row"], *T.StructType.fromDDL(more).fields])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Before work in Python: sends the package along, and bounds the rows and bytes of an Arrow batch, so that long texts fit a worker.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._store import col, small_batches
+from ._store import col, small_batches, with_row
 from ._text import batches, slices
 
 #: Words that a worker keeps with their ids; beyond it, it starts anew.
@@ -247,4 +247,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 )
 
     packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(text_col).alias("text"))
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids binary, n_tokens long, decoded string")
+    return packed.mapInArrow(run, with_row(packed, "ids binary, n_tokens long, decoded string"))

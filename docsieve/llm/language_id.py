@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import col, small_batches
+from ._store import col, small_batches, with_row
 from ._text import batches
 
 #: Bound of the labelled sample: texts of a language, and bytes of its dictionary.
@@ -167,4 +167,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=["row", "lang_pred", "score", "rejected"])
 
     packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(text_col).alias("text"))
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return packed.mapInArrow(run, with_row(packed, "lang_pred string, score double, rejected boolean"))

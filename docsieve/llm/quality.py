@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import col, small_batches
+from ._store import col, small_batches, with_row
 from ._text import NON_SPACE, batches, slices, word_hashes, word_spans
 
 #: Bound of the labelled sample, in rows.
@@ -184,8 +184,7 @@ def _over(df: DataFrame, name: str, schema: str, make) -> DataFrame:
             for at, data, off in slices(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(off) - 1), make(features(data, off))], names=["row", name])
 
-    kind = df.schema["row"].dataType.simpleString()
-    return df.select("row", "text").mapInArrow(run, f"row {kind}, {name} {schema}")
+    return df.select("row", "text").mapInArrow(run, with_row(df, f"{name} {schema}"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
