@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -71,24 +73,32 @@ def sparse_lines(words: DataFrame) -> DataFrame:
     """
     ship(words.sparkSession)
 
-    def page(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.assign(c=f.y + f.h / 2).sort_values(["c", "x", "text"], kind="stable")
+    def page(found: list[dict]) -> list[tuple]:
         texts, boxes, confs = [], np.zeros((0, 4)), []
-        for t, x, y, w, h, conf in f[["text", "x", "y", "w", "h", "conf"]].itertuples(index=False):
+        for f in sorted(found, key=lambda f: (f["y"] + f["h"] / 2, f["x"], f["text"])):
+            x, y, w, h = f["x"], f["y"], f["w"], f["h"]
             tall = np.maximum(boxes[:, 3], h)
             gap = x - boxes[:, 0] - boxes[:, 2]
             fits = np.flatnonzero((np.abs(y + h / 2 - boxes[:, 1] - boxes[:, 3] / 2) < tall * 0.5) & (gap >= 0) & (gap < tall * NEAR))
             if not len(fits):
-                texts.append(t), confs.append([conf])
+                texts.append(f["text"]), confs.append([f["conf"]])
                 boxes = np.vstack((boxes, (x, y, w, h)))
                 continue
             i = fits[0]
             lx, ly, lw, lh = boxes[i]
-            texts[i] += " " + t
-            confs[i].append(conf)
+            texts[i] += " " + f["text"]
+            confs[i].append(f["conf"])
             boxes[i] = lx, min(ly, y), max(lx + lw, x + w) - lx, max(ly + lh, y + h) - min(ly, y)
         order = np.lexsort((boxes[:, 0], np.rint((boxes[:, 1] + boxes[:, 3] / 2) / LEVEL)))
-        return pd.DataFrame([(f.doc_id.iloc[0], f.page.iloc[0], n + 1, texts[i], *boxes[i], float(np.mean(confs[i]))) for n, i in enumerate(order)], columns=["doc_id", "page", "place", "text", "x", "y", "w", "h", "conf"])
+        return [(n + 1, texts[i], *map(float, boxes[i]), float(np.mean(confs[i]))) for n, i in enumerate(order)]
+
+    columns = ["place", "text", "x", "y", "w", "h", "conf"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(d, p, *line) for d, p, found in f.itertuples(index=False) for line in page(list(found))]
+            yield pd.DataFrame(rows, columns=["doc_id", "page", *columns])
 
     good = words.where((F.trim("text") != "") & (F.col("conf") >= 0)).select("doc_id", F.col("page").cast("int").alias("page"), F.trim("text").alias("text"), *[F.col(c).cast("double").alias(c) for c in "xywh"], F.col("conf").cast("double").alias("conf"))
-    return good.groupBy("doc_id", "page").applyInPandas(page, f"doc_id {good.schema['doc_id'].dataType.simpleString()}, page int, place int, text string, x double, y double, w double, h double, conf double")
+    pages = good.groupBy("doc_id", "page").agg(F.collect_list(F.struct("text", "x", "y", "w", "h", "conf")).alias("found"))
+    return pages.mapInPandas(run, f"doc_id {good.schema['doc_id'].dataType.simpleString()}, page int, place int, text string, x double, y double, w double, h double, conf double")

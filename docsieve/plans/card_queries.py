@@ -87,7 +87,7 @@ SELECT k, number, CASE WHEN k % 2 = 0 AND k % 5 = 0 THEN substr(number, 1, 8) ||
 # Fronts.
 
 _FRONT = f"""
-SELECT k AS doc_id, n AS line_no, replace(replace(replace(replace(replace(replace(replace(t, '@A1', split_part(surnames, ' ', 1)), '@A2', split_part(surnames, ' ', 2)), '@NAME', given), '@DNI', translate(substr(dni, 1, 1), '012568', 'OIZSGB') || substr(dni, 2)), '@SUP', support), '@SEX', sex), '@B', substr(birth, 5, 2) || ' ' || substr(birth, 3, 2) || ' 19' || substr(birth, 1, 2)) AS text,
+SELECT k AS doc_id, n AS line_no, replace(replace(replace(replace(replace(replace(replace(t, '@A1', split_part(surnames, ' ', 1)), '@A2', split_part(surnames, ' ', 2)), '@NAME', given), '@DNI', translate(substr(dni, 1, 1), '012568', 'OIZSGB') || substr(dni, 2)), '@SUP', 'A' || substr(support, 2)), '@SEX', sex), '@B', substr(birth, 5, 2) || ' ' || substr(birth, 3, 2) || ' 19' || substr(birth, 1, 2)) AS text,
   cast(x as double) AS x, cast(y as double) AS y, cast(w as double) AS w, cast(20 as double) AS h
 FROM ({X.IDENTITY}) i, (VALUES (0, 'ESPAÑA DOCUMENTO NACIONAL DE IDENTIDAD', 10, 10, 600), (1, 'APELLID0S', 200, 60, 110), (2, '@A1', 200, 82, 150), (3, '@A2', 200, 104, 150), (4, 'NOMBRE', 200, 150, 80), (5, '@NAME', 200, 174, 150),
   (6, 'SEXO @SEX', 200, 220, 90), (7, 'NACIONALIDAD', 420, 220, 130), (8, 'ESP', 420, 244, 50), (9, 'NACIMIENTO', 200, 290, 120), (10, '@B', 200, 314, 120), (11, 'EMISION', 420, 290, 90), (12, '03 04 2022', 420, 314, 120), (13, 'VALIDEZ', 620, 290, 90), (14, '03 04 2032', 620, 314, 120),
@@ -95,7 +95,7 @@ FROM ({X.IDENTITY}) i, (VALUES (0, 'ESPAÑA DOCUMENTO NACIONAL DE IDENTIDAD', 10
 WHERE (n NOT IN (9, 11, 13) OR k % 3 <> 0) AND (n <> 19 OR k % 4 <> 0) AND (n <> 3 OR k % 5 <> 0)
 """
 _FIELDS_SQL = """
-CASE WHEN k % 4 <> 0 THEN dni END AS dni, support AS num_soporte, CASE WHEN k % 5 = 0 THEN split_part(surnames, ' ', 1) ELSE surnames END AS apellidos, given AS nombre, sex AS sexo, 'ESP' AS nacionalidad,
+CASE WHEN k % 4 <> 0 THEN dni END AS dni, 'A' || substr(support, 2) AS num_soporte, CASE WHEN k % 5 = 0 THEN split_part(surnames, ' ', 1) ELSE surnames END AS apellidos, given AS nombre, sex AS sexo, 'ESP' AS nacionalidad,
 substr(birth, 5, 2) || '/' || substr(birth, 3, 2) || '/19' || substr(birth, 1, 2) AS fecha_nacimiento, '03/04/2022' AS fecha_expedicion, '03/04/2032' AS fecha_caducidad, '123456' AS can
 """
 
@@ -154,9 +154,12 @@ def card_answer(spark: SparkSession, d: str) -> DataFrame:
     first_engine, second = front.read_fronts(full.where("line_no <> 19 OR doc_id % 4 <> 0"), _as_of()), front.read_fronts(full, _as_of())
     both = first_engine.withColumn("turn", F.lit(1)).unionByName(second.withColumn("turn", F.lit(2))).withColumnRenamed("doc_id", "photo_id")
     fronts = front.front_candidates(both)
+    # a support number of look-alikes only could be taken for a person's number
+    i = X.view(spark, d, X.IDENTITY, "customer").withColumn("support", F.concat(F.lit("A"), F.substring("support", 2, 8)))
+    built = zone.build_zone(F.col("support"), F.col("dni"), F.col("birth"), F.col("sex"), F.col("expiry"), F.translate("surnames", "Ñ", "N"), F.col("given"))
     b = F.col("l2")
     wrong = F.concat(F.substring(b, 1, 3), ((F.substring(b, 4, 1).cast("int") + 1) % 10).cast("string"), F.substring(b, 5, 26))
-    z = _zones(spark, d).withColumn("l2", F.when(F.col("k") % 7 == 0, wrong).otherwise(b)).withColumn("c", F.array("l1", "l2", "l3"))
+    z = i.select("*", built.alias("z")).select("k", "dni", "z.*").withColumn("l2", F.when(F.col("k") % 7 == 0, wrong).otherwise(b)).withColumn("c", F.array("l1", "l2", "l3"))
     read = zone.read_zones(z, "k", "c", _as_of()).withColumnRenamed("k", "photo_id")
     declared = z.select(F.col("k").alias("photo_id"), F.when(F.col("k") % 11 == 0, "00000000T").otherwise(F.col("dni")).alias("declared"))
     case = fronts.join(read, "photo_id").join(declared, "photo_id")
