@@ -58,3 +58,19 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {r["case_id"]: (r["status"], r["reason"]) for r in spark.table("verified").collect()}
     assert got == {1: ("VERIFICADO", "OK"), 2: ("REPETIR", "MALA_CALIDAD"), 3: ("REVISION_ADMIN", "INTENTOS_AGOTADOS"), 4: ("REVISION_ADMIN", "DATOS_NO_COINCIDEN"), 5: ("REVISION_ADMIN", "DATOS_NO_COINCIDEN"), 6: ("VERIFICADO", "OK")}
+
+
+def test_rules_of_a_file(tmp_path):
+    p = tmp_path / "rules.yaml"
+    p.write_text("# limits\nglobal:\n  nitidez:   {sentido: min, dudoso: 60, mal: 25}  # sharp\n  reflejo: {sentido: max, dudoso: 0.004, mal: 0.015, solo_aviso: true}\nmrz:\n  quemados:\n    sentido: max\n    dudoso: 0.1\n    mal: 0.25\n", encoding="utf-8")
+    assert files.read_rules(str(p)) == (("global", "nitidez", "min", 60.0, 25.0, False), ("global", "reflejo", "max", 0.004, 0.015, True), ("mrz", "quemados", "max", 0.1, 0.25, False))
+
+
+def test_reports_and_long_truth(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "ñ")], "k int, x string"), spark.createDataFrame([(2, 3)], "k int, y int")
+    files.export_report([a, b], f"{tmp_path}/r.csv")
+    raw = (tmp_path / "r.csv").read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbf") and raw.decode("utf-8-sig").splitlines()[0] == "k;x;y"
+    (tmp_path / "t.csv").write_text("archivo;tipo;campo;valor\nf1;seguro_rc;poliza;RC1\nf1;otro;tomador;X\nf2;otro;fecha;2024-01-01\n", encoding="utf-8")
+    got = {(r["file"], r["kind"], r["field"], r["truth"]) for r in files.read_truth_long(spark, f"{tmp_path}/t.csv").collect()}
+    assert got == {("f1", "seguro_rc", "poliza", "RC1"), ("f1", "seguro_rc", "tomador", "X"), ("f2", "otro", "fecha", "2024-01-01")}
