@@ -95,10 +95,8 @@ def metrics(image: np.ndarray, zone: str = "global", line_height: float | None =
     if zone != "mrz":
         m |= {"oscuros": (g < DARK).mean(), "lado_min_px": min(g.shape)}
     if zone == "documento":
-        from .geometry import paper_glare
-
-        # white paper is no glare: only what is lighter than the paper round it counts
-        m["reflejo"] = paper_glare(image)
+        # white paper is no glare, and telling the two apart needs the sheet's own ground
+        del m["reflejo"]
         if line_height is not None:
             m["altura_letra_px"] = round(line_height, 1)
     elif zone == "mrz" and line_height is not None:

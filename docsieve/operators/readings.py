@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .._ship import ship
+from ..functions.text import let
+from .labels import alike
 
 COVER, GOOD_CONFIDENCE = 0.9, 0.9
 
@@ -69,12 +66,10 @@ def unmatched(extra: DataFrame, lines: DataFrame) -> DataFrame:
 ALIKE = 0.8
 
 
-@F.pandas_udf(DoubleType())
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The ratio of matching blocks of two readings in upper case without signs; 0 if one is empty."""
-    plain = lambda t: "".join(c for c in (t or "").upper() if c.isalnum() or c == "_")
-    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio() if x and y else 0.0
-    return pd.Series([ratio(plain(x), plain(y)) for x, y in zip(a, b)])
+def same_reading(a: Column, b: Column) -> Column:
+    """Are two readings alike in upper case, without signs? Empty ones are alike to nothing."""
+    plain = lambda t: F.regexp_replace(F.upper(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}_]", "")
+    return let(F.struct(plain(a).alias("a"), plain(b).alias("b")), lambda p: alike(p["a"], p["b"], ALIKE))
 
 
 def chosen_lines(readings: DataFrame) -> DataFrame:
@@ -84,15 +79,14 @@ def chosen_lines(readings: DataFrame) -> DataFrame:
     stands unless it is empty, or b was asked, differs, and is surer. Where they agree the
     surer confidence counts; the other text stays as an alternative.
     """
-    ship(readings.sparkSession)
-    d = readings.withColumn("_same", F.when(F.col("reread"), likeness("text_a", "text_b")).otherwise(F.lit(0.0)))
+    d = readings.withColumn("_same", F.col("reread") & same_reading(F.col("text_a"), F.col("text_b")))
     b = F.when(F.col("reread"), F.coalesce("text_b", F.lit(""))).otherwise("")
     cb = F.when(F.col("reread"), F.coalesce("conf_b", F.lit(0.0))).otherwise(0.0)
-    first_one = (F.coalesce("text_a", F.lit("")) != "") & (~F.col("reread") | (F.col("_same") >= ALIKE) | (F.col("conf_a") >= cb))
+    first_one = (F.coalesce("text_a", F.lit("")) != "") & (~F.col("reread") | F.col("_same") | (F.col("conf_a") >= cb))
     other = F.when(first_one, b).otherwise(F.coalesce("text_a", F.lit("")))
     d = d.withColumns({
         "text": F.when(first_one, F.col("text_a")).otherwise(b), "origin": F.when(first_one, "a").otherwise("b"),
-        "conf": F.bround(F.when(first_one, F.greatest(F.col("conf_a"), F.when(F.col("_same") >= ALIKE, cb).otherwise(0.0))).otherwise(cb), 3),
+        "conf": F.bround(F.when(first_one, F.greatest(F.col("conf_a"), F.when(F.col("_same"), cb).otherwise(0.0))).otherwise(cb), 3),
     })
     return d.withColumn("alt", F.when((other != "") & (other != F.col("text")), other)).drop("_same").where(F.trim("text") != "")
 

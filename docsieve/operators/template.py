@@ -51,36 +51,36 @@ def fit_error(measured: DataFrame, template: DataFrame) -> DataFrame:
     return got.withColumn("turned", F.col("error_turned") < F.col("error"))
 
 
-def zone_boxes(template: DataFrame) -> DataFrame:
+def zone_boxes(template: DataFrame, *of: str) -> DataFrame:
     """Each box with its margins: more to the right for names, which may be longer than the learned one."""
     right = F.when(F.col("key").isin("nombre", "apellidos"), 0.30).otherwise(0.03)
     x0, y0 = F.greatest(F.lit(0.0), F.col("x") - 0.015), F.greatest(F.lit(0.0), F.col("y") - 0.012)
     x1, y1 = F.least(F.lit(1.0), F.col("x") + F.col("w") + right), F.least(F.lit(1.0), F.col("y") + F.col("h") + 0.012)
-    return template.select("key", x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
+    return template.select(*of, "key", x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
 
 
 #: Labels above a field of free text, the first that is known.
 LABEL_OF = {"apellidos": ("apellidos", "primer_apellido"), "nombre": ("nombre",)}
 
 
-def name_zones(template: DataFrame) -> DataFrame:
+def name_zones(template: DataFrame, *of: str) -> DataFrame:
     """Zones of names from their printed label to the next label below it in its column, whatever the learned photo held.
 
-    template: key, x, y, w, h, with labels as ``etiqueta.<name>``. Names without their label have no row here.
-    A template has a few dozen rows, so the join is a broadcast of it.
+    template: key, x, y, w, h, with labels as ``etiqueta.<name>``, and columns ``of`` that
+    tell templates apart. Names without their label have no row here. A template has a
+    few dozen rows, so it is one array.
     """
-    options = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(f"etiqueta.{n}").alias("label"), F.lit(i).alias("turn")) for k, names in LABEL_OF.items() for i, n in enumerate(names)])
-    wanted = template.sparkSession.range(1).select(F.explode(options).alias("o")).select("o.*")
-    lab = template.where(F.col("key").startswith("etiqueta.")).select(F.col("key").alias("label"), *[F.col(c).alias(f"l{c}") for c in "xywh"])
-    own = wanted.join(lab, "label").groupBy("key").agg(F.min_by(F.struct("lx", "ly", "lw", "lh"), "turn").alias("l")).select("key", "l.*")
-    d = template.join(F.broadcast(own), "key")
-    under = lab.select(F.col("lx").alias("ox"), F.col("ly").alias("oy"), F.col("lw").alias("ow"))
-    near = (F.col("oy") > F.col("ly") + F.col("lh") * 1.5) & (F.col("ox") < F.col("lx") + F.greatest("lw", F.lit(0.25))) & (F.col("ox") + F.col("ow") > F.col("lx") - 0.02)
-    got = d.join(F.broadcast(under), near, "left").groupBy("key", "x", "y", "w", "h", "lx", "ly", "lw", "lh").agg(F.min("oy").alias("next"))
-    x0, y0 = F.greatest(F.lit(0.0), F.least("lx", "x") - 0.015), F.col("ly") + F.col("lh") * 0.9
-    y1 = F.when(F.col("next").isNull(), F.col("y") + F.col("h") + 0.012).otherwise(F.greatest(F.col("next") - 0.004, y0 + F.col("h")))
-    x1 = F.least(F.lit(1.0), F.greatest(F.col("x") + F.col("w"), F.col("lx") + F.col("lw")) + 0.30)
-    return got.select("key", x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (F.least(F.lit(1.0), y1) - y0).alias("h"))
+    boxes = template.groupBy(*of).agg(F.collect_list(F.struct("key", *"xywh")).alias("b"))
+    named = lambda k: F.get(F.filter("b", lambda o: o["key"] == k), F.lit(0))
+    own = lambda names: F.coalesce(*[named(f"etiqueta.{n}") for n in names])
+    d = boxes.select(*of, "b", F.explode(F.array(*[F.struct(named(k).alias("v"), own(names).alias("l")) for k, names in LABEL_OF.items()])).alias("z")).where("z.v is not null and z.l is not null")
+    v, lab = (lambda c: F.col("z.v")[c]), (lambda c: F.col("z.l")[c])
+    under = lambda o: o["key"].startswith("etiqueta.") & (o["y"] > lab("y") + lab("h") * 1.5) & (o["x"] < lab("x") + F.greatest(lab("w"), F.lit(0.25))) & (o["x"] + o["w"] > lab("x") - 0.02)
+    d = d.withColumn("next", F.array_min(F.transform(F.filter("b", under), lambda o: o["y"])))
+    x0, y0 = F.greatest(F.lit(0.0), F.least(lab("x"), v("x")) - 0.015), lab("y") + lab("h") * 0.9
+    y1 = F.when(F.col("next").isNull(), v("y") + v("h") + 0.012).otherwise(F.greatest(F.col("next") - 0.004, y0 + v("h")))
+    x1 = F.least(F.lit(1.0), F.greatest(v("x") + v("w"), lab("x") + lab("w")) + 0.30)
+    return d.select(*of, v("key").alias("key"), x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (F.least(F.lit(1.0), y1) - y0).alias("h"))
 
 
 def homography(corners: np.ndarray) -> np.ndarray:

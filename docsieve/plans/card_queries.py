@@ -122,13 +122,39 @@ def front_boxes(spark: SparkSession, d: str) -> DataFrame:
 FRONT_BOXES = "SELECT c_custkey AS k, 200.0::double AS x, 82.0::double AS y, 150.0::double AS w, CASE WHEN c_custkey % 5 = 0 THEN 20.0 ELSE 42.0 END::double AS h FROM customer"
 
 
-def front_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of lines that are misread, glued, or in other languages."""
-    t = "SELECT c_custkey AS k, split_part('APELLID0S|PRIMERAPELLIDO|NOM|NOMS|ABIZENAK COGNOMS|FECHA DE NACIMIENT0|CALLE MAYOR|VALIDO HASTA', '|', cast(c_custkey % 8 as int) + 1) AS text, 0 AS line_no FROM customer"
-    return front.labelled_lines(X.view(spark, d, t, "customer")).select("k", F.array_join(F.array_sort("labels"), ",").alias("labels"))
+#: Names of labels, one for each kind of damage by the key: none, an O as zero, a letter left out, one put in, two changed, two left out, glued in front.
+_NAMES = "APELLIDOS,PRIMER APELLIDO,NOMBRE,IZENA,SEXO,NACIONALIDAD,FECHA DE NACIMIENTO,NACIMIENTO,NUM SOPORTE,EUSKARRI,VALIDEZ,VALIDO HASTA,BALIOZTASUNA,EXPEDICION,CAN,DOCUMENTO NACIONAL,CALLE MAYOR"
+_DAMAGED = f"""
+SELECT *, CASE kind WHEN 0 THEN name WHEN 1 THEN replace(name, 'O', '0') WHEN 2 THEN substr(name, 1, p) || substr(name, p + 2) WHEN 3 THEN substr(name, 1, p) || 'X' || substr(name, p + 1)
+  WHEN 4 THEN substr(name, 1, p) || 'QQ' || substr(name, p + 3) WHEN 5 THEN substr(name, 1, p) || substr(name, p + 3) ELSE 'XX' || replace(name, ' ', '') || 'YY' END AS text
+FROM (SELECT k, kind, name, cast(1 + k % (length(name) - 1) as int) AS p FROM (SELECT c_custkey AS k, cast(floor(c_custkey / 17.0) as int) % 7 AS kind, split_part('{_NAMES}', ',', cast(c_custkey % 17 as int) + 1) AS name FROM customer) a) b
+"""
 
 
-FRONT_LABELS = "SELECT c_custkey AS k, split_part('apellidos|primer_apellido|nombre||apellidos|fecha_nacimiento||fecha_caducidad', '|', cast(c_custkey % 8 as int) + 1) AS labels FROM customer"
+def front_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of lines that are damaged by their keys, in several languages; no Python runs."""
+    lines = X.view(spark, d, _DAMAGED, "customer").withColumn("line_no", F.lit(0))
+    return front.labelled_lines(lines).select("k", "text", F.array_join(F.array_sort("labels"), ",").alias("labels"))
+
+
+_BLOCK = "list_sort(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(list_filter(range(1, length(x) - i + 2), lambda n: contains(y, substr(x, i, n))), lambda n: {'n': n, 'i': -i}))), 'DESC')[1]"
+FRONT_LABELS = f"""
+WITH RECURSIVE f AS ({_DAMAGED}), names(label, name) AS (VALUES {", ".join(f"('{k}', '{n}')" for k, names in front.LABELS.items() for n in names)}),
+t AS (SELECT text, list_filter(string_split(regexp_replace(text, '[^0-9A-ZÑ]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM (SELECT DISTINCT text FROM f) u),
+win AS (SELECT DISTINCT text, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win FROM t, (VALUES (1), (2), (3)) v(n) WHERE len(w) >= n),
+pairs AS (SELECT DISTINCT win AS x, name AS y FROM win JOIN names ON n = length(name) - length(replace(name, ' ', '')) + 1 AND length(name) > 4 AND levenshtein(win, name) <= 0.16 * (length(win) + length(name)) + 1e-9),
+r AS (
+  SELECT x AS a, y AS b, x, y FROM pairs
+  UNION ALL SELECT a, b, s.x, s.y FROM (
+    SELECT a, b, unnest([{{'x': substr(x, 1, i - 1), 'y': substr(y, 1, j - 1)}}, {{'x': substr(x, i + n), 'y': substr(y, j + n)}}]) AS s
+    FROM (SELECT a, b, x, y, m.n AS n, -m.i AS i, strpos(y, substr(x, -m.i, m.n)) AS j FROM (SELECT *, {_BLOCK} AS m FROM r) c WHERE m IS NOT NULL) e) g WHERE s.x <> '' AND s.y <> ''),
+near AS (SELECT a, b FROM (SELECT a, b, sum({_BLOCK}.n) AS hits FROM r GROUP BY a, b) h WHERE 2.0 * hits / (length(a) + length(b)) >= 0.84),
+got AS (
+  SELECT text, label FROM win JOIN near ON win = a JOIN names ON name = b
+  UNION SELECT text, label FROM win JOIN names ON win = name
+  UNION SELECT text, label FROM t JOIN names ON length(name) >= 6 AND contains(array_to_string(w, ''), replace(name, ' ', '')))
+SELECT k, f.text, coalesce(labels, '') AS labels FROM f LEFT JOIN (SELECT text, string_agg(label, ',' ORDER BY label) AS labels FROM got GROUP BY text) g ON f.text = g.text
+"""
 
 
 def zone_values(spark: SparkSession, d: str) -> DataFrame:
@@ -398,16 +424,28 @@ def template_fit(spark: SparkSession, d: str) -> DataFrame:
 TEMPLATE_FIT = "SELECT c_custkey AS photo_id, round_even((c_custkey % 7) / 1000.0, 6)::double AS error, c_custkey % 3 = 0 AS turned FROM customer"
 
 
-def template_zones(spark: SparkSession, d: str) -> DataFrame:
-    """Zones with margins, and the zone of a name from its label to the next one, for every region as a card."""
-    t = _template(spark)
-    z = template.zone_boxes(t.where("not startswith(key, 'etiqueta.')")).withColumn("how", F.lit("box")).unionByName(template.name_zones(t).withColumn("how", F.lit("labels")))
-    return z.select("how", "key", *[F.bround(c, 6).alias(c) for c in "xywh"])
+#: Boxes and labels of a card as every supplier's photos place them, a little differently for each.
+_PLACED = """
+SELECT s_suppkey AS k, key, x + (s_suppkey % 11) / 1000.0 AS x, y + (s_suppkey % 7) / 1000.0 AS y, w + (s_suppkey % 5) / 1000.0 AS w, h AS h
+FROM supplier, (VALUES ('dni', 0.1, 0.8, 0.3, 0.08), ('can', 0.7, 0.8, 0.2, 0.06), ('nombre', 0.4, 0.3, 0.3, 0.07), ('etiqueta.nombre', 0.4, 0.24, 0.15, 0.04), ('etiqueta.sexo', 0.4, 0.45, 0.1, 0.04)) v(key, x, y, w, h)
+WHERE key <> 'etiqueta.sexo' OR s_suppkey % 3 <> 0
+"""
 
 
-TEMPLATE_ZONES = """
-SELECT * FROM (VALUES ('box', 'dni', 0.085::double, 0.788::double, 0.345::double, 0.104::double), ('box', 'can', 0.685::double, 0.788::double, 0.245::double, 0.084::double),
-  ('box', 'nombre', 0.385::double, 0.288::double, 0.615::double, 0.094::double), ('labels', 'nombre', 0.385::double, 0.276::double, 0.615::double, 0.17::double)) v(how, key, x, y, w, h)
+def template_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Zones with margins, and the zone of a name from its label to the next one, in the template of every supplier."""
+    t = X.view(spark, d, _PLACED, "supplier").select("k", "key", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    z = template.zone_boxes(t.where("not startswith(key, 'etiqueta.')"), "k").withColumn("how", F.lit("box")).unionByName(template.name_zones(t, "k").withColumn("how", F.lit("labels")))
+    return z.select("k", "how", "key", *[F.bround(c, 6).alias(c) for c in "xywh"])
+
+
+TEMPLATE_ZONES = f"""
+WITH p AS (SELECT k, key, x::double AS x, y::double AS y, w::double AS w, h::double AS h FROM ({_PLACED}) t), b AS (SELECT * FROM p WHERE key NOT LIKE 'etiqueta.%'),
+l AS (SELECT n.k, n.x, n.y, n.w, n.h, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, s.y AS below FROM p n JOIN p a ON a.k = n.k AND a.key = 'etiqueta.nombre' LEFT JOIN p s ON s.k = n.k AND s.key = 'etiqueta.sexo' WHERE n.key = 'nombre'),
+m AS (SELECT k, greatest(0, least(ax, x) - 0.015) AS x0, ay + 0.9 * ah AS y0, least(1, greatest(x + w, ax + aw) + 0.3) AS x1, CASE WHEN below IS NULL THEN y + h + 0.012 ELSE greatest(below - 0.004, ay + 0.9 * ah + h) END AS y1 FROM l)
+SELECT k, how, key, round_even(x, 6) AS x, round_even(y, 6) AS y, round_even(w, 6) AS w, round_even(h, 6) AS h FROM (
+  SELECT k, 'box' AS how, key, x - 0.015 AS x, y - 0.012 AS y, least(1, x + w + CASE key WHEN 'nombre' THEN 0.3 ELSE 0.03 END) - (x - 0.015) AS w, least(1, y + h + 0.012) - (y - 0.012) AS h FROM b
+  UNION ALL SELECT k, 'labels', 'nombre', x0, y0, x1 - x0, least(1, y1) - y0 FROM m) z
 """
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import card_queries, document_queries, extract_queries, picture_queries, relational_queries, scalar_queries
+from . import card_queries, document_queries, extract_queries, relational_queries, scalar_queries
 
-MODULES = (scalar_queries, relational_queries, document_queries, extract_queries, card_queries, picture_queries)
+MODULES = (scalar_queries, relational_queries, document_queries, extract_queries, card_queries)
 
 
 def queries() -> dict:
