@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, zone
-from ..operators import front, layout, lookup, provenance, quality, readings, reports, template, verify, words
+from ..operators import cascade, front, layout, lookup, provenance, quality, readings, reports, template, verify, words
 from ..sources import files
 from . import extract_queries as E
 from . import fixtures as X
@@ -170,16 +170,70 @@ FROM i, (VALUES ('dni'), ('num_soporte'), ('apellidos'), ('sexo'), ('fecha_nacim
 """
 
 
+def _back_readers() -> list:
+    """Two engines over a photo as it is and straightened; what each of them reads well, and finds at all, goes by the key."""
+    def reader(turn: int, well: int, blind: int):
+        def read(photos: DataFrame) -> DataFrame:
+            k, l2 = F.col("photo_id"), F.col("l2")
+            wrong = F.concat(F.substring(l2, 1, 3), ((F.substring(l2, 4, 1).cast("int") + 1) % 10).cast("string"), F.substring(l2, 5, 26))
+            got = photos.where(k % blind != turn).withColumn("l2", F.when(k % well == 0, l2).otherwise(wrong))
+            # the first attempt of an engine loses the last line
+            tries = F.array(F.struct(F.lit(1).alias("attempt"), F.array("l1", "l2").alias("candidates")), F.struct(F.lit(2).alias("attempt"), F.array("l1", "l2", "l3").alias("candidates")))
+            return got.select("photo_id", F.inline(tries))
+
+        return read
+
+    named = (("a", 3, 13), ("a straightened", 4, 11), ("b", 5, 9), ("b straightened", 7, 8))
+    return [(name, reader(i, well, blind)) for i, (name, well, blind) in enumerate(named)]
+
+
+def back_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Zones by engine and variant in turn: who reads a card, how many were asked, and what the best reading holds."""
+    photos = _zones(spark, d).select(F.col("k").alias("photo_id"), "l1", "l2", "l3")
+    r = cascade.read_backs(photos, _back_readers(), _as_of())
+    return r.select(F.col("photo_id").alias("k"), "valid", F.col("checks").cast("long").alias("checks"), "reader", "readings", F.col("zone.dni").alias("dni"))
+
+
+_TURNS = [(0, "a", 3, 13), (1, "a straightened", 4, 11), (2, "b", 5, 9), (3, "b straightened", 7, 8)]
+BACK_CASCADE = f"""
+WITH i AS ({X.IDENTITY}), r AS (SELECT k, dni, birth, turn, reader, k % well = 0 AS valid FROM i, (VALUES {", ".join(f"({t}, '{n}', {w}, {b})" for t, n, w, b in _TURNS)}) v(turn, reader, well, blind) WHERE k % blind <> turn),
+b AS (SELECT *, 6 + CASE WHEN valid THEN 3 WHEN substr(birth, 3, 1) || cast((cast(substr(birth, 4, 1) AS int) + 1) % 10 AS varchar) BETWEEN '01' AND '12' THEN 1 ELSE 0 END AS checks FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY NOT valid, turn) = 1)
+SELECT k, coalesce(valid, false) AS valid, cast(checks AS bigint) AS checks, reader, cast(CASE WHEN valid THEN turn + 1 ELSE 4 END AS bigint) AS readings, b.dni FROM i LEFT JOIN b USING (k)
+"""
+
+
+def _front_readers(lines: DataFrame, texts: DataFrame) -> list:
+    """Two engines by labels, then the zones of a template; they lose the number of every fourth, eighth and twenty-fourth card."""
+    pick = lambda of, keep: lambda photos: of.join(photos.select("photo_id"), "photo_id", "left_semi").where(keep)
+    without = lambda n: (F.col("line_no") != 19) | (F.col("photo_id") % n != 0)
+    zones = pick(texts, (F.col("key") != "dni") | (F.col("photo_id") % 24 != 0))
+    return [("a", cascade.front_lines(pick(lines, without(4)), _as_of())), ("b", cascade.front_lines(pick(lines, without(8)), _as_of())), ("zones", cascade.front_zones(zones))]
+
+
+def front_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Fronts by labels with two engines, then by place: candidates, whether the card is complete, and how many readings it took."""
+    lines = X.view(spark, d, _FRONT.replace("(n <> 19 OR k % 4 <> 0) AND ", ""), "customer").withColumnRenamed("doc_id", "photo_id")
+    texts = X.view(spark, d, f"SELECT k AS photo_id, key, replace(replace(t, '@DNI', dni), '@SUP', 'A' || substr(support, 2)) AS text FROM ({X.IDENTITY}) i, (VALUES ('dni', 'DNI @DNI'), ('num_soporte', 'SOPORTE @SUP')) v(key, t)", "customer")
+    photos = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("photo_id"))
+    r = cascade.read_fronts(photos, _front_readers(lines, texts))
+    return r.select(F.col("photo_id").alias("k"), F.array_join("dnis", ",").alias("dnis"), F.array_join("supports", ",").alias("supports"), "complete", "readings")
+
+
+FRONT_CASCADE = f"""
+WITH i AS ({X.IDENTITY}) SELECT k, CASE WHEN k % 24 <> 0 THEN dni ELSE '' END AS dnis, 'A' || substr(support, 2) AS supports, k % 24 <> 0 AS complete, cast(CASE WHEN k % 4 <> 0 THEN 1 WHEN k % 8 = 0 THEN 3 ELSE 2 END AS bigint) AS readings FROM i
+"""
+
+
 def card_answer(spark: SparkSession, d: str) -> DataFrame:
     """A card from its lines to its status: fronts of two engines in turn, the zone of its back, and what is declared.
 
-    The first engine loses every fourth number, and then the second one reads it; every
-    seventh zone has a wrong digit, and every eleventh card is declared with another number.
+    The first engine loses every fourth number, and then only these cards go to the second
+    one; every seventh zone has a wrong digit, and every eleventh card is declared with another number.
     """
-    full = X.view(spark, d, _FRONT.replace("(n <> 19 OR k % 4 <> 0) AND ", ""), "customer")
-    first_engine, second = front.read_fronts(full.where("line_no <> 19 OR doc_id % 4 <> 0"), _as_of()), front.read_fronts(full, _as_of())
-    both = first_engine.withColumn("turn", F.lit(1)).unionByName(second.withColumn("turn", F.lit(2))).withColumnRenamed("doc_id", "photo_id")
-    fronts = front.front_candidates(both)
+    full = X.view(spark, d, _FRONT.replace("(n <> 19 OR k % 4 <> 0) AND ", ""), "customer").withColumnRenamed("doc_id", "photo_id")
+    photos = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("photo_id"))
+    pick = lambda keep: cascade.front_lines(lambda left: full.join(left, "photo_id", "left_semi").where(keep), _as_of())
+    fronts = cascade.read_fronts(photos, [("a", pick("line_no <> 19 OR photo_id % 4 <> 0")), ("b", pick("true"))])
     # a support number of look-alikes only could be taken for a person's number
     i = X.view(spark, d, X.IDENTITY, "customer").withColumn("support", F.concat(F.lit("A"), F.substring("support", 2, 8)))
     built = zone.build_zone(F.col("support"), F.col("dni"), F.col("birth"), F.col("sex"), F.col("expiry"), F.translate("surnames", "Ñ", "N"), F.col("given"))
@@ -495,7 +549,7 @@ SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.1 WHEN 2
 """
 
 QUERIES = (
-    zone_lines_chosen, zone_versions, zone_variants, zone_mended, front_fields, front_boxes, front_labels, zone_values, card_answer, card_identifiers, label_tests, field_provenance, lines_of_spans, result_row,
+    zone_lines_chosen, zone_versions, zone_variants, zone_mended, front_fields, front_boxes, front_labels, zone_values, back_cascade, front_cascade, card_answer, card_identifiers, label_tests, field_provenance, lines_of_spans, result_row,
     best_attempts, page_enough, card_side, word_lines, merged_segments, sparse_lines, hybrid_lines, reused_lines, worst_pages, template_fit, template_zones, template_straightened, pdf_bytes, page_boxes,
 )
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES}
