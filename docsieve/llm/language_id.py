@@ -1,10 +1,9 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary of labelled text is made; a
+For each language a zstandard raw-content dictionary of labelled texts is made; a
 text is encoded with every dictionary, in blocks, and the language whose dictionary
 gives the fewest bytes wins. A narrow margin to the second one rejects the text.
-Texts are reduced to lower-case words first. A quick level decides clear cases; the
-others are encoded once more at a level that searches longer.
+Texts are reduced to lower-case words first.
 """
 
 from __future__ import annotations
@@ -21,14 +20,11 @@ from pyspark.sql.window import Window
 from ._store import col, small_batches, with_row
 from ._text import batches
 
-#: Bound of the labelled sample: texts of a language, and bytes of its dictionary.
-SAMPLE_TEXTS = 1000
-DICT_BYTES = 64 * 1024
+#: Bound of the labelled sample: distinct texts of a language.
+SAMPLE_TEXTS = 512
 #: A text is encoded in blocks of so many bytes, so that its own words do not crowd out the dictionary.
 BLOCK = 4096
-#: Levels for clear cases and for the others, and the margin from which a case is clear.
-LEVELS = (3, 12)
-CLEAR = 0.08
+LEVEL = 6
 #: Rejected if the second-best size is not larger by this share of the best.
 MARGIN = 0.002
 
@@ -54,15 +50,12 @@ def _remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
-def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """A dictionary for each label, from at most ``sample_texts`` of its distinct texts in the order of their hashes.
+def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
+    """A dictionary for each label: ``sample_texts`` of its distinct texts, those of the smallest hashes, whole and in that order.
 
     Rows without text or label teach nothing, and copies of a text teach as much as one
-    of them. Each text has the same share of the dictionary, ``dict_bytes`` divided by
-    the number of texts and 64 bytes at least: 65 bytes of each of 1,000 texts. It is
-    taken from a place that the hash chooses, so that openings that texts have in common
-    are not all that is learned. What reaches the driver is bounded by the number of
-    labels: about twice ``dict_bytes`` for each. An empty table teaches no label.
+    of them; a label of fewer texts has all of them. What reaches the driver is bounded
+    by the number of labels and that of texts of each. An empty table teaches no label.
     """
     texts = labelled.where(col(lang_col).isNotNull() & (F.length(col(text_col)) > 0)).select(col(lang_col).cast("string").alias("lang"), F.xxhash64(col(text_col)).alias("h"), col(text_col).alias("text"))
     # bits of a hash above the smallest one: counts of distinct texts by them tell how many bits hold a whole sample
@@ -72,30 +65,20 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
         count.setdefault(r["lang"], {})[r["bits"]] = r["n"]
     if not count:
         return {}
-    limit, share = {}, {}
+    limit = {}
     for lang, own in count.items():
         below = 0
         for limit[lang] in sorted(own):
             below += own[limit[lang]]
             if below >= sample_texts:
                 break
-        # the same share of every text, so that no long one fills the dictionary
-        share[lang] = max(64, dict_bytes // max(1, min(sample_texts, below)))
-    of = lambda d: F.create_map(*[F.lit(x) for item in d.items() for x in item])[F.col("lang")]
-    # twice each text's share, as the normal form is shorter
-    width = of(share) * 2
-    place = F.pmod(F.xxhash64(F.lit(17), F.col("h")), F.greatest(F.lit(1), F.length("text") - of(share) + 1)).cast("int") + 1
-    rows = texts.where(bits <= of(limit)).select("lang", "h", F.substring("text", place, width.cast("int")).alias("text")).groupBy("lang", "h").agg(F.array_min(F.collect_set("text")).alias("text"))
+    most = F.create_map(*[F.lit(x) for item in limit.items() for x in item])[F.col("lang")]
+    rows = texts.where(bits <= most).groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked: dict[str, list[str]] = {}
+    picked: dict[str, list[bytes]] = {}
     for r in rows.withColumn("n", order).where(F.col("n") <= sample_texts).orderBy("lang", "n").toLocalIterator():
-        picked.setdefault(r["lang"], []).append(r["text"])
-    out = {}
-    for lang, parts in picked.items():
-        data = b"".join(normal(t).encode()[: share[lang]] for t in parts)[:dict_bytes]
-        if len(data) >= 8:
-            out[lang] = data
-    return out
+        picked.setdefault(r["lang"], []).append(normal(r["text"]).encode())
+    return {lang: data for lang, parts in picked.items() if len(data := b"".join(parts)) >= 8}
 
 
 class Sizer:
@@ -103,30 +86,25 @@ class Sizer:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = sorted(dictionaries)
-        self.zip = [[self._compressor(dictionaries[x], level) for x in self.langs] for level in LEVELS]
+        self.zip = [self._compressor(dictionaries[x]) for x in self.langs]
 
     @staticmethod
-    def _compressor(data: bytes, level: int):
+    def _compressor(data: bytes):
         import zstandard as z
 
         d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        return z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        # parameters for the whole dictionary, so that all of it can be referred to
+        p = z.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(data), source_size=BLOCK, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d.precompute_compress(compression_params=p)
+        return z.ZstdCompressor(dict_data=d, compression_params=p)
 
-    def _sizes(self, zips: list, data: bytes) -> np.ndarray:
-        return np.array([sum(len(c.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK)) for c in zips], float)
+    def sizes(self, text: str) -> np.ndarray:
+        data = normal(text).encode()
+        return np.array([sum(len(c.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK)) for c in self.zip], float)
 
     def decide(self, text: str) -> tuple[str, float, float]:
         """(label, score, relative margin); ties go to the first label in order."""
-        data = normal(text).encode()
-        for zips in self.zip:
-            sizes = self._sizes(zips, data)
-            if _margin(sizes) >= CLEAR:
-                break
-        if _margin(sizes) < MARGIN:
-            # words that only repeat themselves say nothing more: each of them once
-            once = self._sizes(self.zip[-1], normal(" ".join(dict.fromkeys(_WORDS.findall(text.lower())))).encode())
-            sizes = once if _margin(once) > _margin(sizes) else sizes
+        sizes = self.sizes(text)
         best = int(np.argmin(sizes))
         # half a bit of evidence for each byte that is saved
         return self.langs[best], float(1.0 / np.exp2(-0.5 * np.minimum(200, sizes - sizes[best])).sum()), _margin(sizes)

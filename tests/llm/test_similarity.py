@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docsieve.llm import ngram_join as N
 from docsieve.llm._graph import connected_components
 from docsieve.llm.embedding_dedup import near_duplicates, plan_tables
-from docsieve.llm.language_id import Sizer, fit_languages, identify
+from docsieve.llm.language_id import Sizer, fit_languages, identify, normal
 from docsieve.llm.quality import FEATURES, features, fit, fit_quality, score_quality
 
 
@@ -171,16 +171,43 @@ def test_languages(spark):
 def test_languages_are_learned_from_distinct_texts(spark):
     few = [(i, f"word{'abcdefghijkl'[i % 12]} same", "en") for i in range(6000)]
     hot = [(i, "hot copied text", "de") for i in range(3000)] + [(i, " ".join(random.Random(i).choices("abcdefgh", k=40)) + f" tail{chr(97 + i)}", "de") for i in range(20)]
-    learned = fit_languages(spark.createDataFrame(few + hot, "doc_id long, text string, lang string"), sample_texts=100, dict_bytes=20_000)
+    learned = fit_languages(spark.createDataFrame(few + hot, "doc_id long, text string, lang string"), sample_texts=100)
     assert all(f"word{x}".encode() in learned["en"] for x in "abcdefghijkl") and learned["en"].count(b"same") == 12
     assert all(f"tail{chr(97 + i)}".encode() in learned["de"] for i in range(20)) and learned["de"].count(b"hot") == 1
 
 
-def test_languages_are_learned_from_all_places(spark):
-    docs = [(i, "licence line " * 40 + " ".join("abcdefghij"[int(c)] * 3 for c in str(i * 7919 + 10**6)) * 8, "fr") for i in range(300)]
-    learned = fit_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample_texts=100, dict_bytes=20_000)
-    # the texts share an opening that is longer than a share
-    assert any(x * 3 in learned["fr"].decode() for x in "abcdefghij") and len(learned["fr"]) > 15_000
+def test_languages_are_learned_from_whole_texts(spark):
+    docs = [(i, "licence line " * 40 + " ".join("abcdefghij"[int(c)] * 3 for c in str(i * 7919 + 10**6)) * 8 + f" end{'abcdefghij'[i % 10]}", "fr") for i in range(60)]
+    docs += [(100, "une phrase " * 30_000 + "finale", "fr")]
+    learned = fit_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert sorted(learned["fr"].decode().split()) == sorted(w for _, t, _ in docs for w in normal(t).split())
+    # no more texts than the bound, each of them whole
+    some = fit_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample_texts=7)
+    assert sum(some["fr"].count(f" end{c} ".encode()) for c in "abcdefghij") in (6, 7) and set(some["fr"].split()) <= set(learned["fr"].split())
+
+
+def test_sizes_equal_plain_compression(spark):
+    """Every size, choice and margin against one call of the library for each block and dictionary."""
+    import zstandard as z
+
+    rnd = random.Random(4)
+    vocab = {lang: ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(80)] for lang in ("aa", "bb", "cc")}
+    text = lambda lang, n: " ".join(rnd.choices(vocab[lang], k=n))
+    docs = [(i, text(lang, 40), lang) for i, lang in enumerate([*vocab] * 30)]
+    asked = [(1000 + i, text(lang, n), lang) for i, (lang, n) in enumerate([(x, n) for x in vocab for n in (1, 2, 5, 40, 3000)])] + [(2000, "zz " * 400, None), (2001, "q", None)]
+    learned = fit_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    got = {r["row"]["doc_id"]: r for r in identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), learned).collect()}
+    for i, t, _ in asked:
+        data = normal(t).encode()
+        sizes = []
+        for lang in sorted(learned):
+            p = z.ZstdCompressionParameters.from_level(6, dict_size=len(learned[lang]), source_size=4096, write_content_size=False, write_checksum=False, write_dict_id=False)
+            own = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(learned[lang], dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p)
+            sizes.append(sum(len(own.compress(data[k : k + 4096])) for k in range(0, len(data), 4096)))
+        best, second = sorted(sizes)[:2]
+        assert Sizer(learned).sizes(t).tolist() == sizes
+        assert got[i]["lang_pred"] == sorted(learned)[sizes.index(best)] and got[i]["rejected"] == (second - best < 0.002 * best)
+    assert got[2000]["rejected"] or got[2001]["rejected"]
 
 
 def test_quality(spark):
