@@ -24,27 +24,46 @@ from ._text import ALNUM, batches, slices, word_hashes, word_spans
 #: UTF-8 bytes of phrase texts that are looked up at once; more are looked up block by block.
 BLOCK_BYTES = 4 << 20
 
-_SEGMENT = "seg long, rows array<struct<id:{id},n:bigint>>, first binary, terms binary, counts binary, postings binary"
+_SEGMENT = "seg long, rows array<struct<id:{id},n:bigint>>, first binary, terms binary, counts binary, ends binary, postings binary"
 
 
-def _pack(positions: np.ndarray, heads: np.ndarray) -> bytes:
-    import zstandard
-
+def _pack(positions: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending positions of one term after the other as deltas of 7 bits a byte, the last byte of each with its high bit; and where each term ends."""
+    heads = np.cumsum(counts) - counts
     delta = np.diff(positions, prepend=0).astype(np.int64)
     delta[heads] = positions[heads]
-    return zstandard.ZstdCompressor(level=1).compress(delta.astype(np.uint32).tobytes())
-
-
-def _unpack(data: bytes, heads: np.ndarray) -> np.ndarray:
-    import zstandard
-
-    delta = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32).astype(np.int64)
+    width = 1 + sum((delta >> (7 * i) > 0).astype(np.int64) for i in range(1, 6))
+    end = np.cumsum(width)
+    out = np.zeros(end[-1] if len(end) else 0, np.uint8)
+    for i in range(6):
+        some = width > i
+        out[end[some] - 1 - i] = (delta[some] >> (7 * i)) & 127
+    out[end - 1] |= 128
+    return out, end[heads + counts - 1] if len(counts) else np.zeros(0, np.int64)
+
+
+def _lists(seg: dict, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The positions of the wanted terms of a segment, one list after the other; other lists are not read."""
+    data, ends = np.frombuffer(seg["postings"], np.uint8), np.frombuffer(seg["ends"], "<u4").astype(np.int64)
+    begins = np.concatenate(([0], ends[:-1]))[wanted]
+    n = ends[wanted] - begins
+    b = data[np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int64)
+    last = np.flatnonzero(b >= 128)
+    # the 7 bits of a byte stand above those of the bytes after it
+    first = np.concatenate(([0], last[:-1] + 1))
+    shift = 7 * (np.repeat(last, last - first + 1) - np.arange(len(b)))
+    delta = np.add.reduceat((b & 127) << shift, first)
+    heads = np.cumsum(counts[wanted]) - counts[wanted]
     total = np.cumsum(delta)
-    return total - np.repeat(total[heads] - delta[heads], np.diff(np.append(heads, len(delta))))
+    return total - np.repeat(total[heads] - delta[heads], counts[wanted])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: np.ndarray = ALNUM) -> DataFrame:
-    """Stores the postings of all words of all texts; each row is a segment."""
+    """Stores the postings of all words of all texts; each row is a segment, in which a term's list is read by itself.
+
+    ``rows`` are the ids and word counts of a segment's texts. Null and empty texts have no
+    words, null and repeated ids are rows of their own, and an empty table is an empty index.
+    """
     small_batches(docs.sparkSession)
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
 
@@ -59,8 +78,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n = len(off) - 1
                 rows = pa.StructArray.from_arrays([b.column(0).slice(at, n), pa.array(np.diff(first), pa.int64())], names=["id", "n"])
                 one = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows)]
-                one += [pa.array([x], pa.binary()) for x in (first.astype("<i8").tobytes(), h[heads].tobytes(), np.diff(np.append(heads, len(h))).astype("<u4").tobytes(), _pack(order, heads))]
-                yield pa.RecordBatch.from_arrays(one, names=["rows", "first", "terms", "counts", "postings"])
+                counts = np.diff(np.append(heads, len(h)))
+                packed, ends = _pack(order, counts)
+                one += [pa.array([x], pa.binary()) for x in (first.astype("<i8").tobytes(), h[heads].tobytes(), counts.astype("<u4").tobytes(), ends.astype("<u4").tobytes(), packed.tobytes())]
+                yield pa.RecordBatch.from_arrays(one, names=["rows", "first", "terms", "counts", "ends", "postings"])
 
     source = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     made = source.mapInArrow(run, _SEGMENT.format(id=kind).removeprefix("seg long, "))
@@ -88,47 +109,70 @@ def _phrases(items: list[tuple[str | None, str]], window: int, table: np.ndarray
     return distinct[:, 1:], distinct[:, 0].astype(np.int64), np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1]
 
 
-def _occurrences(seg: dict, terms: np.ndarray, lengths: np.ndarray, order: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, first word) of all occurrences in a segment."""
-    own = np.frombuffer(seg["terms"], np.uint64)
-    counts = np.frombuffer(seg["counts"], "<u4").astype(np.int64)
+def _occurrences(seg: dict, terms: np.ndarray, lengths: np.ndarray, order: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, document, first word, end) of all occurrences in a segment.
+
+    An occurrence has a beginning, from which every term stands within ``slop`` words of
+    its place, all in one document. Of a term's places the nearest counts, the earlier of
+    two; the words from the least of them to the largest are found. All beginnings that
+    the places of a phrase's rarest term allow are tried, so that the result does not
+    depend on which term that is.
+    """
+    own, none = np.frombuffer(seg["terms"], np.uint64), np.zeros(0, np.int64)
+    counts, edge = np.frombuffer(seg["counts"], "<u4").astype(np.int64), np.frombuffer(seg["first"], "<i8")
     if not len(own) or not len(terms):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none, none
     place = np.minimum(np.searchsorted(own, terms), len(own) - 1)
     used = np.arange(terms.shape[1]) < lengths[:, None]
     live = np.flatnonzero(((own[place] == terms) | ~used).all(axis=1))
     if not len(live):
-        return live, live
+        return none, none, none, none
+    wanted = np.unique(place[live][used[live]])
+    positions = _lists(seg, counts, wanted)
+    place = np.searchsorted(wanted, place)
+    counts = counts[wanted]
     heads = np.cumsum(counts) - counts
-    positions = _unpack(seg["postings"], heads)
-    key = np.repeat(np.arange(len(own)), counts) << 40 | positions
+    key = np.repeat(np.arange(len(wanted)), counts) << 40 | positions
     rare = order[live, 0]
     term = place[live, rare]
     n = counts[term]
     phrase = np.repeat(live, n)
-    start = positions[np.repeat(heads[term] - np.cumsum(n) + n, n) + np.arange(n.sum())] - np.repeat(rare, n)
-    for j in range(1, terms.shape[1]):
-        at = order[phrase, j]
+    at = positions[np.repeat(heads[term] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    doc = np.searchsorted(edge, at, "right") - 1
+    begin = at - np.repeat(rare, n)
+    if slop:
+        each = np.arange(-slop, slop + 1)
+        phrase, doc, begin = np.unique(np.stack([np.repeat(phrase, len(each)), np.repeat(doc, len(each)), (begin[:, None] + each).ravel()]), axis=1)
+    low, high = np.full(len(begin), np.iinfo(np.int64).max), np.full(len(begin), -1)
+    for j in range(terms.shape[1]):
         more = j < lengths[phrase]
-        want = (place[phrase, at] << 40) + start + at
-        low = np.maximum(want - slop, place[phrase, at] << 40)
-        i = np.minimum(np.searchsorted(key, low), len(key) - 1)
-        ok = ((key[i] >= low) & (key[i] <= want + slop) & (start + at + slop >= 0)) | ~more
-        phrase, start = phrase[ok], start[ok]
-    first = np.frombuffer(seg["first"], "<i8")
-    doc = np.searchsorted(first, start, "right") - 1
-    ok = (start >= 0) & (start + lengths[phrase] <= first[np.minimum(doc + 1, len(first) - 1)])
-    return phrase[ok], start[ok]
+        term, want = place[phrase, order[phrase, j]], begin + order[phrase, j]
+        right = np.searchsorted(key, (term << 40) + want)
+
+        def away(i: np.ndarray, term=term, want=want) -> tuple[np.ndarray, np.ndarray]:
+            """How far the i-th place is off, and the place; beyond the slop if it is another term's or document's."""
+            k = key[np.clip(i, 0, len(key) - 1)]
+            p = k & ((1 << 40) - 1)
+            far = np.abs(p - want)
+            return np.where((i >= 0) & (i < len(key)) & (k >> 40 == term) & (p >= edge[doc]) & (p < edge[doc + 1]), far, slop + 1), p
+
+        (a, left), (b, then) = away(right - 1), away(right)
+        found, ok = np.where(a <= b, left, then), (np.minimum(a, b) <= slop) | ~more
+        low, high = np.where(more, np.minimum(low, found), low)[ok], np.where(more, np.maximum(high, found), high)[ok]
+        phrase, doc, begin = phrase[ok], doc[ok], begin[ok]
+    return phrase, doc, low, high + 1
 
 
 def find_phrases(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10, slop: int = 0, table: np.ndarray = ALNUM) -> DataFrame:
     """Spans of words where windows of the items occur: (seg, row, item, start, end), end exclusive.
 
     With ``slop`` above 0 a window also matches where each term lies within so many
-    words of its place. Overlapping occurrences of an item's windows in a document
-    are one span. Items without words match nothing. A phrase that several items hold,
-    or one holds often, is looked up once. Items are read in blocks of ``BLOCK_BYTES``;
-    each block is one more pass over the index, and all that a task holds of the items.
+    words of its place, in the same document. Overlapping occurrences of an item's
+    windows in a document are one span. Items that are null or without words match
+    nothing, equal rows of items count once, and an empty index or no items give no
+    rows. A phrase that several items hold, or one holds often, is looked up once. Items
+    are read in blocks of ``BLOCK_BYTES``; each block is one more pass over the index,
+    and all that a task holds of the items.
     """
     spark = index.sparkSession
     small_batches(spark)
@@ -154,20 +198,23 @@ def find_phrases(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
             terms, lengths, cut, owners, owner, order, names = sent.value
             for batch in batches(it):
                 for seg in batch.to_pylist():
-                    phrase, start = _occurrences(seg, terms, lengths, order, slop)
+                    phrase, doc, start, end = _occurrences(seg, terms, lengths, order, slop)
                     if not len(phrase):
                         continue
                     first = np.frombuffer(seg["first"], "<i8")
                     # each occurrence counts for all items that hold the phrase
                     n = owners[phrase]
                     item = owner[np.repeat(cut[phrase] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    start, end = np.repeat(start, n), np.repeat(start + lengths[phrase], n)
-                    doc = np.searchsorted(first, start, "right") - 1
+                    doc, start, end = np.repeat(doc, n), np.repeat(start, n), np.repeat(end, n)
                     o = np.lexsort((start, item, doc))
                     doc, item, start, end = doc[o], item[o], start[o], end[o]
-                    # all windows of an item are of one length, so ends are in order too
-                    new = np.ones(len(doc), bool)
-                    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > end[:-1])
+                    same = np.zeros(len(doc), bool)
+                    same[1:] = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1])
+                    # the furthest end so far, in each run of a document and an item
+                    run = np.cumsum(~same)
+                    end = np.maximum.accumulate(run * (1 << 42) + end) - run * (1 << 42)
+                    new = ~same
+                    new[1:] |= start[1:] > end[:-1]
                     heads = np.flatnonzero(new)
                     last = np.append(heads[1:], len(doc)) - 1
                     begin = first[doc[heads]]
@@ -176,7 +223,7 @@ def find_phrases(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
                         names=["seg", "row", "item", "start", "end"],
                     )
 
-        found = index.select("seg", "first", "terms", "counts", "postings").mapInArrow(run, "seg long, row int, item string, start long, end long")
+        found = index.select("seg", "first", "terms", "counts", "ends", "postings").mapInArrow(run, "seg long, row int, item string, start long, end long")
         out = found if out is None else out.unionAll(found)
     return out
 

@@ -105,6 +105,55 @@ RULES = {
 }
 
 
+
+def near_spans(docs: dict, phrases: list, slop: int) -> dict:
+    """Words of each document inside an occurrence: from some beginning, each term within the slop of its place, the nearest one counts."""
+    out = {}
+    for i, words in docs.items():
+        hit = set()
+        for terms in phrases:
+            for begin in range(-slop - len(terms), len(words) + slop + 1):
+                places = []
+                for j, t in enumerate(terms):
+                    own = [p for p, w in enumerate(words) if w == t and abs(p - begin - j) <= slop]
+                    if not own:
+                        break
+                    places.append(min(own, key=lambda p: (abs(p - begin - j), p)))
+                else:
+                    hit |= set(range(min(places), max(places) + 1))
+        out[i] = len(hit)
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2, 3])
+def test_proximity_equals_brute_force(spark, slop):
+    import random
+
+    rnd = random.Random(slop)
+    vocab = ["alpha", "beta", "gamma", "delta", "x", "x", "x", "y"]
+    docs = {i: [rnd.choice(vocab) for _ in range(rnd.randint(0, 14))] for i in range(120)}
+    # terms at the ends, in reverse, and over the end of a document
+    docs |= {900: ["alpha", "zulu"], 901: ["beta", "quebec"], 902: ["alpha", "x", "beta"], 903: ["beta", "x", "alpha"], 904: ["beta"], 905: ["alpha", "beta"]}
+    items = [["alpha", "beta"], ["gamma", "x", "delta", "x"], ["y", "y"], ["alpha", "beta", "gamma", "delta", "x", "y"]]
+    phrases = [i[k : k + 4] for i in items for k in range(max(1, len(i) - 3))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").coalesce(1)
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["id"]: r["n_hit"] for r in contamination(df, it, window=4, slop=slop).collect()}
+    assert got == near_spans(docs, phrases, slop)
+    assert sum(n > 0 for n in got.values()) > 10
+
+
+def test_lists_of_postings_are_read_one_by_one():
+    from docsieve.llm.decontamination import _lists, _pack
+
+    lists = [[0], [1, 2, 300, 70_000, 5_000_000], [127, 128, 129], [2**33]]
+    counts = np.array([len(x) for x in lists])
+    data, ends = _pack(np.array([p for x in lists for p in x]), counts)
+    seg = {"postings": data.tobytes(), "ends": ends.astype("<u4").tobytes()}
+    for wanted in ([0], [1], [1, 3], [0, 1, 2, 3], [2]):
+        assert _lists(seg, counts, np.array(wanted)).tolist() == [p for i in wanted for p in lists[i]]
+
+
 def rule_spans(text):
     """The base spans by the patterns as they stand."""
     found = [(m.start(), m.end(), k) for k, p in RULES.items() for m in p.finditer(text or "") if len(m.group(2 if k == "assign" else 0)) >= LEAST[k]]
