@@ -140,9 +140,17 @@ def _occurrences(seg: dict, terms: np.ndarray, lengths: np.ndarray, order: np.nd
     at = positions[np.repeat(heads[term] - np.cumsum(n) + n, n) + np.arange(n.sum())]
     doc = np.searchsorted(edge, at, "right") - 1
     begin = at - np.repeat(rare, n)
-    if slop:
-        each = np.arange(-slop, slop + 1)
-        phrase, doc, begin = np.unique(np.stack([np.repeat(phrase, len(each)), np.repeat(doc, len(each)), (begin[:, None] + each).ravel()]), axis=1)
+    if not slop:
+        # every term stands in its place, so its key is known
+        for j in range(1, terms.shape[1]):
+            at = order[phrase, j]
+            want = (place[phrase, at] << 40) + begin + at
+            ok = (key[np.minimum(np.searchsorted(key, want), len(key) - 1)] == want) | (j >= lengths[phrase])
+            phrase, doc, begin = phrase[ok], doc[ok], begin[ok]
+        ok = (begin >= edge[doc]) & (begin + lengths[phrase] <= edge[doc + 1])
+        return phrase[ok], doc[ok], begin[ok], (begin + lengths[phrase])[ok]
+    each = np.arange(-slop, slop + 1)
+    phrase, doc, begin = np.unique(np.stack([np.repeat(phrase, len(each)), np.repeat(doc, len(each)), (begin[:, None] + each).ravel()]), axis=1)
     low, high = np.full(len(begin), np.iinfo(np.int64).max), np.full(len(begin), -1)
     for j in range(terms.shape[1]):
         more = j < lengths[phrase]
