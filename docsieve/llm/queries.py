@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from .bpe import bpe_round_trip
 from .decontamination import contamination
 from .embedding_dedup import near_duplicates
@@ -88,7 +89,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     learned = fit_languages(docs.where(held_in("doc_id")))
-    out = identify(docs.select("doc_id", "text"), learned)
+    out = identify(spread(docs.select("doc_id", "text")), learned)
     return out.select("row.doc_id", is_held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
