@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import json
 import re._constants as _sre
-from functools import reduce
+import zlib
+from dataclasses import dataclass
 from re._parser import parse as _parse
 
 from pyspark.sql import Column
@@ -58,30 +59,83 @@ def _needs(tree) -> list[str] | None:
     return best
 
 
-def occurs(text: Column, pattern: str) -> Column:
-    """Does the pattern occur? Texts without a literal that it needs are passed over without the expression."""
-    if re.fullmatch(r"[A-ZÑ0-9 /]+", pattern):
-        return F.contains(text, F.lit(pattern))
-    needed = _needs(_parse(pattern))
-    if not needed:
-        return text.rlike(pattern)
-    some = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in dict.fromkeys(needed)])
-    return some & text.rlike(pattern)
+#: Signs of a word that lead to patterns, and lists of the index; words that are shorter lead by fewer signs.
+GRAMS, LISTS = (4, 3), 1024
+
+
+def _gram(literal: str, taken: dict[str, list[int]]) -> str | None:
+    """Signs in a row that every text with the literal has in one of its words: of those as long as can be, one that fewest patterns have."""
+    for n in GRAMS:
+        some = [w[i : i + n] for w in literal.split() for i in range(len(w) - n + 1)]
+        if some:
+            return min(some, key=lambda g: len(taken.get(g, ())))
+    return None
+
+
+@dataclass(frozen=True)
+class Index:
+    """Patterns of types by what a text needs to match them, as an inverted list; it is a constant of the plan."""
+
+    kinds: list[str]
+    patterns: list[str]
+    lists: list[list[dict]]
+    open: list[int]
+    points: list[list[dict]]
+
+    @classmethod
+    def of(cls, keys: dict[str, dict[str, float]]) -> Index:
+        patterns = list(dict.fromkeys(p for table in keys.values() for p in table))
+        grams: dict[str, list[int]] = {}
+        free = []
+        for i, p in enumerate(patterns):
+            own = [_gram(x, grams) for x in _needs(_parse(p)) or [""]]
+            if not all(own):
+                free.append(i)
+                continue
+            for g in dict.fromkeys(own):
+                grams.setdefault(g, []).append(i)
+        lists: list[list[dict]] = [[] for _ in range(LISTS)]
+        for g, of in grams.items():
+            lists[zlib.crc32(g.encode()) % LISTS].append({"gram": g, "of": of})
+        place = {p: i for i, p in enumerate(patterns)}
+        points: list[list[dict]] = [[] for _ in patterns]
+        for k, table in enumerate(keys.values()):
+            for p, w in table.items():
+                points[place[p]].append({"kind": k, "points": float(w)})
+        return cls(list(keys), patterns, lists, free, points)
+
+    def hits(self, text: Column) -> Column:
+        """The patterns that occur, by their numbers. Words of the text lead to those that may, and only these are looked for."""
+        lists = _constant(self.lists, "array<array<struct<gram:string,of:array<int>>>>")
+        patterns = _constant(self.patterns, "array<string>")
+        of = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))
+        grams = lambda w: F.concat(*[of(w, n) for n in GRAMS])
+        words = F.filter(F.array_distinct(F.split(text, r"\s+")), lambda w: F.length(w) >= min(GRAMS))
+        held = F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= max(GRAMS), grams(w)).otherwise(F.array(w)))))
+        led = lambda g: F.flatten(F.transform(F.filter(F.get(lists, (F.crc32(g.cast("binary")) % LISTS).cast("int")), lambda x: x["gram"] == g), lambda x: x["of"]))
+        may = F.array_distinct(F.concat(_constant(self.open, "array<int>"), F.flatten(F.transform(held, led))))
+        return F.filter(may, lambda p: F.regexp_like(text, F.get(patterns, p)))
+
+
+def _constant(value: list, kind: str) -> Column:
+    """A value as one constant, however large; the optimiser reads it once."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
 
 
 def scores(text: Column, keys: dict[str, dict[str, float]] = KEYS) -> Column:
-    """array<struct<kind, points>> in registry order; a pattern counts once however often it occurs.
+    """array<struct<kind, points>> of the types with points, in registry order; a pattern counts once however often it occurs.
 
-    A pattern that several types share is looked for once.
+    What a text costs depends on its words and on the patterns that occur, not on how many types there are.
     """
-    patterns = list(dict.fromkeys(p for table in keys.values() for p in table))
-    place = {p: i for i, p in enumerate(patterns)}
+    index = Index.of(keys)
+    kinds, points = _constant(index.kinds, "array<string>"), _constant(index.points, "array<array<struct<kind:int,points:double>>>")
+    all_ = F.flatten(F.transform(index.hits(text), lambda p: F.get(points, p)))
 
-    def points(hit: Column, table: dict[str, float]) -> Column:
-        return F.bround(reduce(lambda a, b: a + b, [F.when(F.get(hit, F.lit(place[p])), float(w)).otherwise(0.0) for p, w in table.items()]), 2)
+    def summed(a: Column) -> Column:
+        total = lambda k: F.aggregate(F.filter(a, lambda x: x["kind"] == k), F.lit(0.0), lambda s, x: s + x["points"])
+        return F.transform(F.array_sort(F.array_distinct(F.transform(a, lambda x: x["kind"]))), lambda k: F.struct(F.get(kinds, k).alias("kind"), F.bround(total(k), 2).alias("points")))
 
-    hits = F.array(*[F.coalesce(occurs(text, p), F.lit(False)) for p in patterns])
-    return let(hits, lambda hit: F.array(*[F.struct(F.lit(k).alias("kind"), points(hit, t).alias("points")) for k, t in keys.items()]))
+    return let(all_, summed)
 
 
 def ranked(scored: Column) -> Column:

@@ -71,3 +71,21 @@ def test_rows_and_empty_table(spark):
     d = document(spark, ("b", 0.5, 0.1, 0.1), ("a", 0.1, 0.102, 0.1), ("c", 0.1, 0.2, 0.1)).first()
     assert d["rows"] == ["A B", "C"] and d["text"] == "A B\nC"
     assert layout.documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_text_meets_a_thousand_types_by_its_words(spark):
+    import random
+    import re
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("ABCDEFGHIJKLMNOPRSTU") for _ in range(rnd.randint(3, 9)))
+    words = [word() for _ in range(900)]
+    make = lambda: rnd.choice([lambda a, b: a, lambda a, b: rf"\\b{a}\\b", lambda a, b: f"{a} {b}", lambda a, b: rf"{a}(?:\\s+{b})?", lambda a, b: f"{a}|{b}", lambda a, b: rf"\\d{{2}}[AB]?", lambda a, b: f"(?:{a}|{b})X?Y"])(rnd.choice(words), rnd.choice(words)).replace("\\\\", "\\")
+    keys = {f"type{i}": {make(): rnd.choice([0.5, 1, 3]) for _ in range(4)} for i in range(1000)}
+    texts = [" ".join(rnd.choice(words) + rnd.choice(["", "", "X", " 12"]) for _ in range(30)) for _ in range(40)] + ["", "X", "12\nAB"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    d = df.select("t", classify.scores(F.col("t"), keys).alias("s"), F.size(classify.Index.of(keys).hits(F.col("t"))).alias("n"))
+    assert "from_json" not in df.select(classify.scores(F.col("t"), {"a": {"XYZW": 1}}).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    for r in d.collect():
+        want = {k: round(sum(w for p, w in table.items() if re.search(p, r["t"])), 2) for k, table in keys.items()}
+        assert [(x["kind"], x["points"]) for x in r["s"]] == [(k, p) for k, p in want.items() if p > 0]
