@@ -5,10 +5,13 @@ from __future__ import annotations
 import fnmatch
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .._ship import ship
 from ..functions.text import report_form, truth_form
 
 CARD_FIELDS = ("dni", "num_soporte", "fecha_nacimiento", "fecha_caducidad", "sexo", "apellidos", "nombre")
@@ -16,8 +19,8 @@ CARD_FIELDS = ("dni", "num_soporte", "fecha_nacimiento", "fecha_caducidad", "sex
 PROTECTED = ("dni", "soporte_digitos", "fecha_nacimiento", "fecha_caducidad")
 UNPROTECTED = ("sexo", "apellidos", "nombre", "soporte_letras")
 VERDICTS = ("apta", "riesgo", "rechazar")
-#: Globs that a table of the truth may hold: each is tried on every file that has no truth of its own.
-MOST_GLOBS = 10_000
+#: Literal signs of a glob, at its beginning or end, by which files meet it.
+GLOB_PART = 16
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -30,23 +33,44 @@ def glob_pattern(glob: str) -> str:
     return "^" + re.sub(r"\(\?s:(.*)\)\\[Zz]$", r"(?s:\1)$", fnmatch.translate(glob)).replace(r"\Z", "$").removeprefix("^")
 
 
-def truth_lookup(files: DataFrame, truth: DataFrame) -> DataFrame:
+def glob_parts(glob: str) -> tuple[str, str, str]:
+    """(literal prefix, literal suffix, pattern) of a file glob: what stands before its first and after its last wildcard."""
+    first = re.search(r"[*?\[]", glob)
+    prefix = glob[: first.start()] if first else glob
+    # a bracket may hold wildcards, and only one that is closed is one
+    last = max((m.end() for m in re.finditer(r"\*|\?|\[!?\]?[^\]]*\]|\[", glob)), default=0)
+    return prefix, glob[last:], glob_pattern(glob)
+
+
+@F.pandas_udf(StructType([StructField(c, StringType()) for c in ("prefix", "suffix", "pattern")]))
+def _parts_of(globs: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([glob_parts(g) for g in globs], columns=["prefix", "suffix", "pattern"])
+
+
+def truth_lookup(files: DataFrame, truth: DataFrame, part: int = GLOB_PART) -> DataFrame:
     """The truth of each file: by its path or name, else by the first glob that fits; files without one have nulls.
 
-    files: path; truth: ord, key, and anything else. Exact keys join by hash. Globs are
-    few and written by hand: they are put in patterns on the driver, MOST_GLOBS at most,
-    and joined by a nested loop over their broadcast rows.
+    files: path; truth: ord, key, and anything else. Exact keys join by hash. A glob goes
+    by its literal beginning or end, whichever is longer, up to ``part`` signs; a path and
+    a name have as many beginnings and ends of so many signs, so they meet globs in an
+    equi join and try the patterns of those only. Globs without any literal sign at
+    either end stand under the empty key, which every file has.
     """
-    spark = files.sparkSession
+    ship(files.sparkSession)
     name = F.element_at(F.split("path", "/"), -1)
-    exact = files.select("path", F.explode(F.array_distinct(F.array("path", name))).alias("key")).join(truth, "key").groupBy("path").agg(F.min_by(F.struct(*truth.columns), "ord").alias("t"))
-    globs = truth.where(F.col("key").rlike(r"[*?\[]"))
-    some = globs.select("ord", "key").limit(MOST_GLOBS + 1).collect()
-    if len(some) > MOST_GLOBS:
-        raise ValueError(f"more than {MOST_GLOBS} globs: name the files instead")
-    patterns = spark.createDataFrame([(r["ord"], glob_pattern(r["key"])) for r in some], "ord long, pattern string")
-    rest = files.join(exact.select("path"), "path", "left_anti")
-    hit = rest.join(F.broadcast(patterns), F.expr("path rlike pattern or element_at(split(path, '/'), -1) rlike pattern")).groupBy("path").agg(F.min("ord").alias("ord"))
+    own = F.explode(F.array_distinct(F.array("path", name)))
+    exact = files.select("path", own.alias("key")).join(truth, "key").groupBy("path").agg(F.min_by(F.struct(*truth.columns), "ord").alias("t"))
+    globs = truth.where(F.col("key").rlike(r"[*?\[]")).select("ord", _parts_of("key").alias("p")).select("ord", "p.*")
+    ahead = F.length("prefix") >= F.length("suffix")
+    key = F.when(ahead, F.substring("prefix", 1, part)).otherwise(F.right("suffix", F.lit(part)))
+    globs = globs.select("ord", "pattern", F.when(key == "", "any").when(ahead, "begins").otherwise("ends").alias("how"), key.alias("part"))
+    rest = files.join(exact.select("path"), "path", "left_anti").select("path", own.alias("text"))
+    # only beginnings and ends of lengths that globs have
+    used = [(r["how"], r["n"]) for r in globs.select("how", F.length("part").alias("n")).distinct().collect()]
+    cut = {"any": lambda n: F.lit(""), "begins": lambda n: F.substring("text", 1, n), "ends": lambda n: F.right("text", F.lit(n))}
+    sides = [F.when(F.length("text") >= n, F.struct(F.lit(how).alias("how"), cut[how](n).alias("part"))) for how, n in used] or [F.lit(None).cast("struct<how:string,part:string>")]
+    ways = rest.select("path", "text", F.explode(F.filter(F.array(*sides), lambda s: s.isNotNull())).alias("w")).select("path", "text", "w.*")
+    hit = ways.join(globs, ["how", "part"]).where(F.regexp_like("text", "pattern")).groupBy("path").agg(F.min("ord").alias("ord"))
     by_glob = hit.join(truth, "ord").select("path", F.struct(*truth.columns).alias("t"))
     return files.join(exact.unionByName(by_glob), "path", "left").select("path", F.col("t.ord").alias("ord"), F.col("t.key").alias("key"))
 
@@ -133,6 +157,50 @@ def quality_by_validity(rows: DataFrame, engines: list[str]) -> DataFrame:
     return rows.groupBy("verdict").agg(F.count_distinct("file").alias("photos")).join(got, "verdict")
 
 
+def batch_report(rows: DataFrame, most: int = 10) -> DataFrame:
+    """(report, engine, verdict, name, k, value): engine_summary, field_accuracy, filter_scenario, retry_curve and quality_by_validity from one scan.
+
+    rows: file, group_id, engine, verdict, valid, ms, has_truth, failed. Each row counts for
+    its engine and verdict, its file and its group at once. These are exchanged as sums of
+    each task, with the photos of a group, and then once more as sums of the reports. Values
+    that have no photos to go by are left out.
+    """
+    none = F.lit(None).cast("string")
+    unit = lambda kind, a, b, c: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), c.cast("string").alias("c"))
+    engine, verdict = F.col("engine"), F.col("verdict")
+    passes, truth = verdict != "rechazar", F.col("has_truth")
+    wrong = lambda names: truth & F.col("valid") & F.arrays_overlap("failed", F.array(*map(F.lit, names)))
+    counted = {
+        "n": F.lit(True), "valid": F.col("valid"), "rejected": ~passes, "passing": passes, "passing_valid": passes & F.col("valid"), "truth": truth, "all_right": truth & (F.size("failed") == 0),
+        "wrong": wrong(PROTECTED), "unprotected_wrong": wrong(UNPROTECTED), **{f"f_{f}": truth & F.array_contains("failed", f) for f in CARD_FIELDS},
+    }
+    is_group, is_sum = F.col("u.kind") == "group", F.col("u.kind") == "engine"
+    units = F.array(unit("engine", engine, verdict, none), unit("file", none, verdict, F.col("file")), F.when(F.col("group_id").isNotNull(), unit("group", engine, none, F.col("group_id"))))
+    d = rows.select("*", F.explode(F.filter(units, lambda x: x.isNotNull())).alias("u"))
+    sums = [F.count_if(is_sum & c).alias(k) for k, c in counted.items()]
+    photos = F.array_sort(F.collect_list(F.when(is_group, F.struct("file", "valid", passes.alias("passes")))))
+    d = d.groupBy("u.kind", "u.a", "u.b", "u.c").agg(*sums, F.sum(F.when(is_sum, F.col("ms"))).alias("ms"), photos.alias("photos"))
+    # the photo that solves a group, by either policy
+    at = lambda test: F.array_position(F.transform("photos", test), True)
+    d = d.withColumns({"at_A": at(lambda p: p["valid"] & p["passes"]), "at_B": at(lambda p: p["valid"])})
+    both = F.when(F.col("kind") == "engine", F.array(none, F.col("b"))).otherwise(F.array(F.col("b")))
+    solved = {f"{p}{k}": F.count_if((F.col("kind") == "group") & F.col(f"at_{p}").between(1, k)) for p in "AB" for k in range(1, most + 1)}
+    d = d.select("*", F.explode(both).alias("of")).groupBy("kind", "a", "of").agg(F.count("*").alias("units"), *[F.sum(k).alias(k) for k in [*counted, "ms"]], *[c.alias(k) for k, c in solved.items()])
+    value = lambda report, name, v, k=None: F.struct(F.lit(report).alias("report"), (name if isinstance(name, Column) else F.lit(name)).alias("name"), F.lit(k).cast("int").alias("k"), v.cast("double").alias("value"))
+    c = F.col
+    of_engine = [
+        value("engine_summary", "photos", c("n")), value("engine_summary", "pct_valid", share(c("valid"), c("n"))), value("engine_summary", "mean_ms", F.try_divide(c("ms"), c("n"))), value("engine_summary", "pct_all_right", share(c("all_right"), c("truth"))),
+        value("engine_summary", "valid_wrong", c("wrong")), value("engine_summary", "valid_unprotected_wrong", c("unprotected_wrong")), *[value("field_accuracy", f, share(c("truth") - c(f"f_{f}"), c("truth"))) for f in CARD_FIELDS],
+        value("filter_scenario", "pct_rejected", share(c("rejected"), c("n"))), value("filter_scenario", "pct_valid_passing", share(c("passing_valid"), c("passing"))),
+    ]
+    of_group = [value("retry_curve", p, share(c(f"{p}{k}"), c("units")), k) for p in "AB" for k in range(1, most + 1)]
+    report = (
+        F.when((c("kind") == "engine") & c("of").isNull(), F.array(*of_engine)).when(c("kind") == "engine", F.array(value("quality_by_validity", "pct_valid", share(c("valid"), c("n")))))
+        .when(c("kind") == "file", F.array(value("quality_by_validity", "photos", c("units")))).otherwise(F.array(*of_group))
+    )
+    return d.select("a", "of", F.explode(report).alias("r")).where("r.value is not null").select("r.report", F.col("a").alias("engine"), F.col("of").alias("verdict"), "r.name", "r.k", "r.value")
+
+
 def status_matrix(docs: DataFrame) -> DataFrame:
     """(kind, origin, n, one column per status)."""
     states = ("COMPLETA", "INCOMPLETA", "ILEGIBLE", "OTRO_DOCUMENTO")

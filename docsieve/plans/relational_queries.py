@@ -253,6 +253,21 @@ def quality_by_validity(spark: SparkSession, d: str) -> DataFrame:
 
 QUALITY_BY_VALIDITY = f"WITH b AS ({_BATCH}) SELECT verdict, count(*) // 2 AS photos, round_even(100.0 * count(*) FILTER (WHERE valid AND engine = 'a') / count(*) FILTER (WHERE engine = 'a'), 6) AS a, round_even(100.0 * count(*) FILTER (WHERE valid AND engine = 'b') / count(*) FILTER (WHERE engine = 'b'), 6) AS b FROM b GROUP BY verdict"
 
+
+def batch_report(spark: SparkSession, d: str) -> DataFrame:
+    """All five reports of a batch at once."""
+    r = reports.batch_report(_batch(spark, d))
+    return r.select("report", F.coalesce("engine", F.lit("")).alias("engine"), F.coalesce("verdict", F.lit("")).alias("verdict"), "name", F.coalesce("k", F.lit(0)).cast("long").alias("k"), F.bround("value", 6).alias("value"))
+
+
+BATCH_REPORT = f"""
+SELECT 'engine_summary' AS report, engine, '' AS verdict, name, 0::bigint AS k, value FROM (UNPIVOT (SELECT engine, photos::double AS photos, pct_valid, mean_ms, pct_all_right, valid_wrong::double AS valid_wrong, valid_unprotected_wrong::double AS valid_unprotected_wrong FROM ({ENGINE_SUMMARY}) a) ON COLUMNS(* EXCLUDE (engine)) INTO NAME name VALUE value) u
+UNION ALL SELECT 'field_accuracy', engine, '', field, 0, pct FROM ({FIELD_ACCURACY}) b
+UNION ALL SELECT 'filter_scenario', engine, '', name, 0, value FROM (UNPIVOT ({FILTER_SCENARIO}) ON COLUMNS(* EXCLUDE (engine)) INTO NAME name VALUE value) c
+UNION ALL SELECT 'retry_curve', engine, '', policy, k, pct FROM ({RETRY_CURVE}) e
+UNION ALL SELECT 'quality_by_validity', CASE name WHEN 'photos' THEN '' ELSE name END, verdict, CASE name WHEN 'photos' THEN 'photos' ELSE 'pct_valid' END, 0, value FROM (UNPIVOT (SELECT verdict, photos::double AS photos, a, b FROM ({QUALITY_BY_VALIDITY}) q) ON photos, a, b INTO NAME name VALUE value) w
+"""
+
 _READ = """
 SELECT o_orderkey AS doc_id, split_part('flc_60h,ts_prl,seguro_rc', ',', cast(o_orderkey % 3 as int) + 1) AS kind, split_part('digital,escaneado,foto', ',', cast(o_custkey % 3 as int) + 1) AS origin,
   split_part('COMPLETA,COMPLETA,INCOMPLETA,ILEGIBLE,OTRO_DOCUMENTO', ',', cast(o_orderkey % 5 as int) + 1) AS status, cast(floor(o_totalprice) as bigint) AS ms, o_orderkey % 4 AS m FROM orders
@@ -423,7 +438,7 @@ ENGINE_UNMATCHED_ANTI = f"WITH {_TWO_SQL} SELECT doc_id, cast(line_no + 100 AS b
 
 QUERIES = (
     name_similarity, name_similarity_unordered, face_match, face_decision, declared_match, verify_decision, verify_checks, quality_levels, quality_verdict, truth_lookup_glob,
-    engine_summary, field_accuracy, filter_scenario, retry_curve, quality_by_validity, measure_status_matrix, field_outcome, accepted_wrong_gate, latency_median_p95, anchor_fit,
+    engine_summary, field_accuracy, filter_scenario, retry_curve, quality_by_validity, batch_report, measure_status_matrix, field_outcome, accepted_wrong_gate, latency_median_p95, anchor_fit,
     template_running_mean, verification_codes, code_confirmed, metadata_warnings, engine_chain_first_valid, engine_merge, engine_unmatched_anti,
 )
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES}

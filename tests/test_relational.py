@@ -89,3 +89,37 @@ def test_turned_card(spark):
     m = t.select(F.lit("p").alias("photo_id"), "key", (1 - F.col("x") - F.col("w")).alias("x"), (1 - F.col("y") - F.col("h")).alias("y"), "w", "h")
     r = template.fit_error(m, t).first()
     assert r["turned"] and r["error_turned"] < 1e-9
+
+
+def test_batch_report_is_one_scan(spark, sf):
+    from docsieve.plans import relational_queries as Q
+
+    plan = Q.batch_report(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # rows are read once, exchanged once as sums of each task and once more as sums of the reports
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
+    rows = spark.createDataFrame([("f1", None, "a", "apta", True, 5, False, [])], "file string, group_id string, engine string, verdict string, valid boolean, ms long, has_truth boolean, failed array<string>")
+    from docsieve.operators import reports
+
+    got = {(r["report"], r["name"]): r["value"] for r in reports.batch_report(rows).collect()}
+    assert got[("engine_summary", "photos")] == 1 and ("engine_summary", "pct_all_right") not in got and not any(r == "retry_curve" for r, _ in got)
+    assert reports.batch_report(rows.limit(0)).count() == 0
+
+
+def test_globs_meet_files_by_their_literal_parts(spark):
+    import fnmatch
+
+    from docsieve.operators import reports
+
+    globs = [(i, f"*_{i:06d}.jpg" if i % 2 else f"batch{i:06d}*") for i in range(100_000)]
+    globs += [(200_000, "*[0-4]x.png"), (200_001, "?"), (200_002, "*"), (150_000, "[!a]*zz"), (150_001, "un[closed*"), (5, "dir/exact.jpg"), (100_500, "*.tif"), (100_400, "[]]odd?")]
+    paths = [f"dir/a_{i:06d}.jpg" for i in (1, 77_777, 99_999)] + ["batch000004/x.png", "dir/batch099998.png", "dir/exact.jpg", "q/3x.png", "bzz", "azz", "un[closed1", "a/b/c.tif", "]oddy", "none"]
+    truth, files = spark.createDataFrame(globs, "ord long, key string"), spark.createDataFrame([(p,) for p in paths], "path string")
+    found = reports.truth_lookup(files, truth)
+    got = {r["path"]: r["ord"] for r in found.collect()}
+    for p in paths:
+        name = p.rsplit("/", 1)[-1]
+        exact = [o for o, k in globs if k in (p, name)]
+        fits = [o for o, k in globs if set(k) & set("*?[") and (fnmatch.fnmatchcase(p, k) or fnmatch.fnmatchcase(name, k))]
+        assert got[p] == min(exact or fits), p
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["ord"] for r in reports.truth_lookup(files, truth.limit(0)).collect()} == {None}
