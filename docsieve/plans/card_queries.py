@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, zone
-from ..operators import cascade, front, layout, lookup, provenance, quality, readings, reports, template, verify, words
+from ..operators import authenticity, cascade, front, layout, lookup, provenance, quality, readings, reports, template, verify, words
 from ..sources import files
 from . import extract_queries as E
 from . import fixtures as X
@@ -535,6 +535,28 @@ SELECT c_custkey AS k, c_custkey % 13 <> 0 AND c_custkey % 7 <> 0 AS pdf, CASE W
 """
 
 
+def pdf_signed_and_made(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are signed, saved again after it, or signed twice, made by programs whose names are escaped, octal or Unicode strings."""
+    k = F.col("c_custkey")
+    number = k.cast("string")
+    wide = F.concat(F.lit("<FEFF00D10075"), F.regexp_replace(number, "([0-9])", "003$1"), F.lit(">"))
+    producer = F.when(k % 4 == 0, F.concat(F.lit("/Producer (Word \\(2016\\) (b) "), number, F.lit(")"))).when(k % 4 == 1, F.concat(F.lit("/Producer "), wide)).when(k % 4 == 2, F.concat(F.lit("/Producer(Acme\\056PDF\\\n"), number, F.lit(")"))).otherwise("/ProducerX (no)")
+    old = F.concat(F.lit("%PDF-1.7\n7 0 obj\n<< /Producer (old) >>\nendobj\ntrailer << /Info 7 0 R >>\n%%EOF\n7 0 obj\n<< "), producer, F.lit(" /Creator <4D79> >>\nendobj\ntrailer << /Info 7 0 R >>\n"))
+    signed = lambda before, tail: F.concat(before, F.lit("/ByteRange [0 10 20 "), F.lpad((F.length(before) + 31 + len(tail) - 20).cast("string"), 10, "0"), F.lit("]" + tail))
+    once = F.when(k % 5 == 0, old).otherwise(signed(old, "\n%%EOF\n"))
+    raw = F.when(k % 5 == 2, F.concat(once, F.lit("more\n%%EOF\n"))).when(k % 5 == 3, signed(once, "\n%%EOF\n")).when(k % 5 == 4, F.concat(signed(once, "\n%%EOF\n"), F.lit(" "))).otherwise(once)
+    f = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("k"), F.encode(raw, "ISO-8859-1").alias("c"))
+    r, i = authenticity.signature_ranges(F.col("c")), authenticity.information(F.col("c"))
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    return f.select("k", i["Producer"].alias("producer"), i["Creator"].alias("creator"), F.array_join(F.transform(r, lambda x: said(x["covers"])), ",").alias("covers"), F.array_join(F.transform(r, lambda x: said(x["changed_after"])), ",").alias("changed"))
+
+
+PDF_SIGNED_AND_MADE = """
+SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'Word (2016) (b) ' || c_custkey WHEN 1 THEN 'Ñu' || c_custkey WHEN 2 THEN 'Acme.PDF' || c_custkey END AS producer, 'My' AS creator,
+  split_part(';true;false;false,true;false,false', ';', cast(c_custkey % 5 AS int) + 1) AS covers, split_part(';false;true;?,false;true,true', ';', cast(c_custkey % 5 AS int) + 1) AS changed FROM customer
+"""
+
+
 def page_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes in points on pages turned by quarters, as fractions of the page that is shown."""
     k = F.col("s_suppkey")
@@ -550,6 +572,6 @@ SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.1 WHEN 2
 
 QUERIES = (
     zone_lines_chosen, zone_versions, zone_variants, zone_mended, front_fields, front_boxes, front_labels, zone_values, back_cascade, front_cascade, card_answer, card_identifiers, label_tests, field_provenance, lines_of_spans, result_row,
-    best_attempts, page_enough, card_side, word_lines, merged_segments, sparse_lines, hybrid_lines, reused_lines, worst_pages, template_fit, template_zones, template_straightened, pdf_bytes, page_boxes,
+    best_attempts, page_enough, card_side, word_lines, merged_segments, sparse_lines, hybrid_lines, reused_lines, worst_pages, template_fit, template_zones, template_straightened, pdf_bytes, pdf_signed_and_made, page_boxes,
 )
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES}
