@@ -62,7 +62,12 @@ def is_label(t: Column) -> Column:
 
 
 def labelled(label: str, value: str | None = None, rows_below: float = 3.0, lines: Column | None = None, valid: Callable[[Column], Column] | None = None) -> Column:
-    """The value beside a label: behind it in its line, else to its right, else below it.
+    """The value of labelled_at()."""
+    return labelled_at(label, value, rows_below, lines, valid)["value"]
+
+
+def labelled_at(label: str, value: str | None = None, rows_below: float = 3.0, lines: Column | None = None, valid: Callable[[Column], Column] | None = None) -> Column:
+    """(value, n): the value beside a label, behind it in its line, else to its right, else below it, and the number of its line.
 
     A label without a colon with something right below it is a form's box: then below
     comes before right. What is a label itself is no value; where a line does not fit,
@@ -86,11 +91,12 @@ def labelled(label: str, value: str | None = None, rows_below: float = 3.0, line
         right = F.filter(all_, lambda o: other(o) & (F.abs(o["cy"] - ln["cy"]) < tall * 0.7) & (o["x"] >= ln["x"] + ln["w"] - tall))
         below = F.filter(all_, lambda o: other(o) & (o["y"] - ln["y"] > 0) & (o["y"] - ln["y"] <= tall * (rows_below + 1)) & (o["x"] < ln["x"] + ln["w"] + 0.15) & (o["x"] + o["w"] > ln["x"] - 0.02))
         boxed = ~F.endswith(F.rtrim(ln["norm"]), F.lit(":")) & F.exists(below, lambda o: (F.abs(o["x"] - ln["x"]) < 0.03) & (o["y"] - ln["y"] - ln["h"] < tall * 2.5))
-        keyed = lambda a, *k: F.transform(F.array_sort(F.transform(a, lambda o: F.struct(*[f(o).alias(f"k{i}") for i, f in enumerate(k)], o["line_no"].alias("n"), o["text"].alias("text"), o["alt"].alias("alt"), o["norm"].alias("norm")))), lambda s: F.struct(s["text"].alias("text"), s["alt"].alias("alt"), s["norm"].alias("norm")))
+        keyed = lambda a, *k: F.transform(F.array_sort(F.transform(a, lambda o: F.struct(*[f(o).alias(f"k{i}") for i, f in enumerate(k)], o["line_no"].alias("n"), o["text"].alias("text"), o["alt"].alias("alt"), o["norm"].alias("norm")))), lambda s: F.struct(s["text"].alias("text"), s["alt"].alias("alt"), s["norm"].alias("norm"), s["n"].alias("n")))
         to_right, under = keyed(right, lambda o: o["x"]), keyed(below, lambda o: o["y"], lambda o: F.abs(o["x"] - ln["x"]))
         tried = F.when(boxed, F.concat(under, to_right)).otherwise(F.concat(to_right, under))
-        others = F.flatten(F.transform(F.filter(tried, lambda o: ~o["norm"].rlike(label)), lambda o: F.array(o["text"], o["alt"])))
-        return first(F.filter(F.transform(F.concat(F.array(rest), others), accept), lambda v: v.isNotNull()))
+        said = lambda t, n: F.struct(accept(t).alias("value"), n.alias("n"))
+        others = F.flatten(F.transform(F.filter(tried, lambda o: ~o["norm"].rlike(label)), lambda o: F.array(said(o["text"], o["n"]), said(o["alt"], o["n"]))))
+        return first(F.filter(F.concat(F.array(said(rest, ln["line_no"])), others), lambda v: v["value"].isNotNull()))
 
     hits = F.transform(F.filter(all_, lambda ln: ln["norm"].rlike(label)), of)
     return first(F.filter(hits, lambda v: v.isNotNull()))
@@ -137,12 +143,18 @@ def company_like(t: Column) -> Column:
 
 
 def date_at(pattern: str, rows: int, as_of: Column) -> Column:
-    """The first date after the pattern in its row, else in the next rows, there only below the label's own column."""
+    """The date of date_at_row()."""
+    return date_at_row(pattern, rows, as_of)["date"]
+
+
+def date_at_row(pattern: str, rows: int, as_of: Column) -> Column:
+    """(date, row): the first date after the pattern in its row, else in the next rows, there only below the label's own column."""
     def of(i: Column) -> Column:
         r = F.get("rows", i)
         rest = F.regexp_extract(r, rf"(?:{pattern})(.*)", _groups(pattern) + 1)
         mark = first(F.filter("lines", lambda ln: (ln["row"] == i) & ln["norm"].rlike(pattern)))
-        return F.coalesce(first_date(rest, as_of), *[first_date(_under(mark, i, j), as_of) for j in range(1, rows + 1)])
+        dates = [first_date(rest, as_of), *[first_date(_under(mark, i, j), as_of) for j in range(1, rows + 1)]]
+        return first(F.filter(F.array(*[F.struct(d.alias("date"), (i + j).alias("row")) for j, d in enumerate(dates)]), lambda s: s["date"].isNotNull()))
 
     hits = F.filter(F.transform("rows", lambda r, i: F.when(r.rlike(pattern), i)), lambda i: i.isNotNull())
     return first(F.filter(F.transform(hits, of), lambda v: v.isNotNull()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, zone
-from ..operators import authenticity, cascade, front, layout, lookup, provenance, quality, readings, reports, template, verify, words
+from ..operators import authenticity, cascade, front, layout, lookup, provenance, quality, readings, reports, template, traced, verify, words
 from ..sources import files
 from . import extract_queries as E
 from . import fixtures as X
@@ -301,6 +301,28 @@ FROM customer, (VALUES ('razon_social', 0.10, 0.6), ('identificador', 0.15, 0.3)
 """
 
 
+#: Documents whose values also stand in an earlier row, from the second to the eighth part of the page by the key.
+_REPEATED = [
+    ("COMUNICACIÓN DE APERTURA DEL CENTRO", 10, 5, 60), ("Ref. @FIRM - @CIF - CALLE MAYOR @DAY, MADRID - @DAY/05/2026", 10, 8, 90), ("Razón social: @FIRM", 10, 20, 60, "k % 2 = 0"), ("Razón social:", 10, 20, 20, "k % 2 = 1"), ("@FIRM", 40, 20, 40, "k % 2 = 1"),
+    ("CIF:", 10, 30, 20, "k % 3 = 0"), ("@CIF", 10, 32, 30, "k % 3 = 0"), ("CIF: @CIF", 10, 35, 30, "k % 3 <> 0"), ("Dirección de la obra: CALLE MAYOR @DAY, MADRID", 10, 50, 80), ("Fecha de inicio: @DAY/05/2026", 10, 60, 60, "k % 4 <> 0"), ("Fecha de inicio:", 10, 60, 30, "k % 4 = 0"), ("@DAY/05/2026", 10, 64, 60, "k % 4 = 0"),
+]
+
+
+def field_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places of values that stand twice: the one that the rule has read, beside or below its label, and not the first."""
+    docs = layout.documents(X.view(spark, d, E.lines_sql("apertura_centro_trabajo", _REPEATED), "customer"))
+    p = traced.traced_fields(docs, "apertura_centro_trabajo", _as_of())
+    return p.select("doc_id", "field", "value", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"), F.bround("w", 6).alias("w"))
+
+
+FIELD_PLACES = f"""
+WITH p AS ({E.PARTY}) SELECT k AS doc_id, field, CASE field WHEN 'razon_social' THEN firm WHEN 'identificador' THEN cif WHEN 'direccion_obra' THEN 'CALLE MAYOR ' || day || ', MADRID' ELSE '2026-05-' || day END AS value,
+  CASE WHEN field = 'razon_social' AND k % 2 = 1 THEN 0.4 ELSE 0.1 END::double AS x, CASE field WHEN 'razon_social' THEN 0.2 WHEN 'identificador' THEN CASE WHEN k % 3 = 0 THEN 0.32 ELSE 0.35 END WHEN 'direccion_obra' THEN 0.5 ELSE CASE WHEN k % 4 = 0 THEN 0.64 ELSE 0.6 END END::double AS y,
+  CASE field WHEN 'razon_social' THEN CASE WHEN k % 2 = 0 THEN 0.6 ELSE 0.4 END WHEN 'identificador' THEN 0.3 WHEN 'direccion_obra' THEN 0.8 ELSE 0.6 END::double AS w
+FROM p, (VALUES ('razon_social'), ('identificador'), ('direccion_obra'), ('fecha')) v(field)
+"""
+
+
 def lines_of_spans(spark: SparkSession, d: str) -> DataFrame:
     """Offsets of rows in the running text, and the lines that a span over two rows touches."""
     docs = documents(spark, d, "apertura_centro_trabajo")
@@ -571,7 +593,7 @@ SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.1 WHEN 2
 """
 
 QUERIES = (
-    zone_lines_chosen, zone_versions, zone_variants, zone_mended, front_fields, front_boxes, front_labels, zone_values, back_cascade, front_cascade, card_answer, card_identifiers, label_tests, field_provenance, lines_of_spans, result_row,
+    zone_lines_chosen, zone_versions, zone_variants, zone_mended, front_fields, front_boxes, front_labels, zone_values, back_cascade, front_cascade, card_answer, card_identifiers, label_tests, field_provenance, field_places, lines_of_spans, result_row,
     best_attempts, page_enough, card_side, word_lines, merged_segments, sparse_lines, hybrid_lines, reused_lines, worst_pages, template_fit, template_zones, template_straightened, pdf_bytes, pdf_signed_and_made, page_boxes,
 )
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES}

@@ -89,3 +89,26 @@ def test_a_text_meets_a_thousand_types_by_its_words(spark):
     for r in d.collect():
         want = {k: round(sum(w for p, w in table.items() if re.search(p, r["t"])), 2) for k, table in keys.items()}
         assert [(x["kind"], x["points"]) for x in r["s"]] == [(k, p) for k, p in want.items() if p > 0]
+
+
+def places(spark, kind, *lines):
+    from docsieve.operators import traced
+
+    return {r["field"]: r["y"] for r in traced.traced_fields(document(spark, *lines), kind, F.lit(AS_OF).cast("date")).collect()}
+
+
+def test_places_come_from_the_rule(spark):
+    got = places(
+        spark, "flc_60h", ("LUIS GÓMEZ RUIZ 12345678Z 60 horas 14/03/2025", 0.1, 0.05), ("FUNDACIÓN LABORAL DE LA CONSTRUCCIÓN", 0.1, 0.1), ("D. LUIS GÓMEZ RUIZ, con NIF 12345678Z, ha superado", 0.1, 0.2, 0.8),
+        ("el curso con una duración", 0.1, 0.25), ("de 60 horas", 0.1, 0.3), ("Entidad formadora:", 0.1, 0.35, 0.2), ("ESCUELA DE OBRAS", 0.4, 0.35), ("Fecha de expedición: 14/03/2025", 0.1, 0.4),
+    )
+    # a duration that is broken over two rows begins in the first of them
+    assert got == {"titular": 0.2, "tratamiento": 0.2, "nif": 0.2, "horas": 0.25, "entidad": 0.35, "fecha": 0.4}
+
+
+def test_places_of_rules_with_conditions(spark):
+    got = places(
+        spark, "seguro_rc", ("RC-2024-77 600.000 € 01/02/2025 01/02/2027 B12345674", 0.1, 0.05), ("Tomador del seguro: OBRAS PRUEBA SL", 0.1, 0.1), ("CIF: B12345674", 0.1, 0.15), ("Nº de póliza: RC-2024-77", 0.1, 0.2),
+        ("desde el 01/02/2025 hasta el 01/02/2027", 0.1, 0.3), ("Límite por siniestro: 600.000 €", 0.1, 0.4),
+    )
+    assert {k: got[k] for k in ("tomador", "identificador", "poliza", "vigencia_desde", "vigencia_hasta", "limite_siniestro")} == {"tomador": 0.1, "identificador": 0.15, "poliza": 0.2, "vigencia_desde": 0.3, "vigencia_hasta": 0.3, "limite_siniestro": 0.4}
