@@ -27,6 +27,29 @@ def learn(boxes: DataFrame) -> DataFrame:
     return got.select("key", F.aggregate("b", start, step).alias("m")).select("key", "m.x", "m.y", "m.w", "m.h", F.col("m.n").cast("long").alias("n"))
 
 
+def as_stored(log: DataFrame, version: int | None = None) -> DataFrame:
+    """(key, x, y, w, h, n) of a template as of a version: its log up to there, folded in order.
+
+    log: key, seq, deleted, x, y, w, h. It is only appended to. A row either adds a learned
+    box or deletes its key (``deleted``), or with a null key the whole template; what was
+    learned before is forgotten, and what is learned later starts anew. The version is the
+    last ``seq`` that counts, null for all; of equal numbers deletions come first. Each row
+    is compared with the last deletion of its key only, so nothing but the log is kept.
+    """
+    known = log if version is None else log.where(F.col("seq") <= version)
+    gone = known.where("deleted")
+    whole = gone.where("key is null").agg(F.max("seq").alias("all_gone"))
+    own = gone.where("key is not null").groupBy("key").agg(F.max("seq").alias("own_gone"))
+    d = known.where("not deleted and key is not null").join(own, "key", "left").crossJoin(F.broadcast(whole))
+    after = F.coalesce(F.greatest("own_gone", "all_gone"), F.lit(-(2**63)))
+    return learn(d.where(F.col("seq") >= after).select("key", "seq", *"xywh"))
+
+
+def append_log(path: str, rows: DataFrame) -> None:
+    """Appends learned boxes and deletions to the log of a template; older rows are never rewritten, so older versions can be read."""
+    rows.select("key", F.col("seq").cast("long").alias("seq"), F.col("deleted").cast("boolean").alias("deleted"), *[F.col(c).cast("double").alias(c) for c in "xywh"]).write.mode("append").parquet(path)
+
+
 def anchor_fit(points: DataFrame) -> DataFrame:
     """(photo_id, n, s, bx, by): least squares of px = s R x + bx and py = s y + by over the fields of a photo.
 

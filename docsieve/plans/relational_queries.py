@@ -346,6 +346,31 @@ r AS (SELECT key, i, round_even(x, 4) AS x, round_even(y, 4) AS y, round_even(w,
 SELECT key, x, y, w, h, i AS n FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1
 """
 
+#: The log of a template: every nineteenth box of a key deletes it instead, and in the middle all of it is deleted once.
+_LOG = f"SELECT cast(key AS string) AS key, seq * 2 AS seq, seq % 19 = 0 AS deleted, x, y, w, h FROM ({_BOXES}) t UNION ALL SELECT cast(NULL AS string), 101, true, 0.0, 0.0, 0.0, 0.0"
+_VERSIONS = (60, 120, 100_000)
+
+
+def template_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A template that is learned, deleted and learned again, as it stood at three versions."""
+    log = X.view(spark, d, _LOG, "lineitem").select("key", "seq", "deleted", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    out = None
+    for v in _VERSIONS:
+        one = template.as_stored(log, v).select(F.lit(v).cast("long").alias("version"), "key", *[F.bround(c, 4).alias(c) for c in "xywh"], "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+TEMPLATE_VERSIONS = f"""
+WITH RECURSIVE v(version) AS (VALUES {", ".join(f"({v})" for v in _VERSIONS)}), l AS (SELECT version, t.* FROM ({_LOG}) t JOIN v ON seq <= version),
+g AS (SELECT version, key, max(seq) AS gone FROM l WHERE deleted AND key IS NOT NULL GROUP BY ALL), m AS (SELECT version, max(seq) AS gone FROM l WHERE deleted AND key IS NULL GROUP BY ALL),
+b AS (SELECT l.version, l.key, l.x::double AS x, l.y::double AS y, l.w::double AS w, l.h::double AS h, row_number() OVER (PARTITION BY l.version, l.key ORDER BY l.seq) AS i FROM l LEFT JOIN g ON g.version = l.version AND g.key = l.key LEFT JOIN m ON m.version = l.version
+  WHERE NOT l.deleted AND l.h > 0 AND l.seq > coalesce(g.gone, -1) AND l.seq > coalesce(m.gone, -1)),
+r AS (SELECT version, key, i, round_even(x, 4) AS x, round_even(y, 4) AS y, round_even(w, 4) AS w, round_even(h, 4) AS h FROM b WHERE i = 1 UNION ALL
+  SELECT b.version, b.key, b.i, round_even((r.x * r.i + b.x) / b.i, 4), round_even((r.y * r.i + b.y) / b.i, 4), round_even((r.w * r.i + b.w) / b.i, 4), round_even((r.h * r.i + b.h) / b.i, 4) FROM r JOIN b ON b.version = r.version AND b.key = r.key AND b.i = r.i + 1)
+SELECT version::bigint AS version, key, x, y, w, h, i AS n FROM r QUALIFY row_number() OVER (PARTITION BY version, key ORDER BY i DESC) = 1
+"""
+
 _CODES = """
 SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'Código Seguro de Verificación (CSV): ' || upper(substr(md5(cast(o_orderkey as string)), 1, 4)) || '-' || upper(substr(md5(cast(o_orderkey as string)), 5, 4)) || '-7ABC.'
   WHEN 1 THEN 'CSV: VERIFICAR EN LA SEDE' WHEN 2 THEN 'C.E.A.: ' || upper(substr(md5(cast(o_orderkey as string)), 1, 12)) || '9. fin' ELSE 'sin código' END AS t FROM orders
@@ -439,6 +464,6 @@ ENGINE_UNMATCHED_ANTI = f"WITH {_TWO_SQL} SELECT doc_id, cast(line_no + 100 AS b
 QUERIES = (
     name_similarity, name_similarity_unordered, face_match, face_decision, declared_match, verify_decision, verify_checks, quality_levels, quality_verdict, truth_lookup_glob,
     engine_summary, field_accuracy, filter_scenario, retry_curve, quality_by_validity, batch_report, measure_status_matrix, field_outcome, accepted_wrong_gate, latency_median_p95, anchor_fit,
-    template_running_mean, verification_codes, code_confirmed, metadata_warnings, engine_chain_first_valid, engine_merge, engine_unmatched_anti,
+    template_running_mean, template_versions, verification_codes, code_confirmed, metadata_warnings, engine_chain_first_valid, engine_merge, engine_unmatched_anti,
 )
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES}

@@ -82,19 +82,39 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
 
 
-def export_report(parts: list[DataFrame], path: str, most_rows: int = 1_000_000) -> None:
+def export_report(parts: list[DataFrame], path: str) -> None:
     """One CSV file for a spreadsheet: ; between columns, a mark for UTF-8, and the columns of all parts in the order they are first seen.
 
-    It is for reports of a batch: more than ``most_rows`` rows are refused, use write_report() for them.
+    Tasks write the rows, without heads; their files are put one after the other under one
+    head by the file system's own streams, so that no row passes through Python and the
+    report may be of any size. An older report is replaced once the new one is whole.
     """
     columns = list(dict.fromkeys(c for p in parts for c in p.columns))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p, allowMissingColumns=True)
-    rows = whole.select(*columns).limit(most_rows + 1).toPandas()
-    if len(rows) > most_rows:
-        raise ValueError(f"more than {most_rows} rows")
-    rows.to_csv(path, sep=";", index=False, encoding="utf-8-sig")
+    spark = whole.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    work, new, target = place(f"{path}.parts"), place(f"{path}.new"), place(path)
+    fs = target.getFileSystem(conf)
+    head = ";".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ';"\n\r') else c for c in columns) + "\n"
+    options = {"sep": ";", "header": False, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    whole.select(*[F.col("`" + c.replace("`", "``") + "`") for c in columns]).write.mode("overwrite").options(**options).csv(f"{path}.parts")
+    out = fs.create(new, True)
+    try:
+        out.write(bytearray(("\ufeff" + head).encode()))
+        for name in sorted(f.getPath().toString() for f in fs.listStatus(work) if f.getPath().getName().startswith("part-")):
+            rows = fs.open(place(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(rows, out, 1 << 20, False)
+            finally:
+                rows.close()
+    finally:
+        out.close()
+    fs.delete(target, False)
+    fs.rename(new, target)
+    fs.delete(work, True)
 
 
 def read_rules(path: str) -> tuple[tuple, ...]:

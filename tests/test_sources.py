@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import functions as F
 
 from docsieve.operators import front
@@ -43,7 +45,8 @@ def test_front(spark):
     lines = spark.createDataFrame(rows, "doc_id string, line_no int, text string, x int, y int, w int, h int")
     got = front.read_fronts(lines, F.lit("2026-06-30").cast("date")).first()
     assert got["apellidos"] == "GARCIA LOPEZ" and got["sexo"] == "F" and got["found"] == 2
-    assert front.labels_in("NOM") == ["nombre"] and front.labels_in("NOMS") == []
+    short = front.labelled_lines(spark.createDataFrame([("NOM",), ("NOMS",)], "text string"))
+    assert {r["text"]: r["labels"] for r in short.collect()} == {"NOM": ["nombre"], "NOMS": []}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -70,7 +73,13 @@ def test_reports_and_long_truth(spark, tmp_path):
     a, b = spark.createDataFrame([(1, "ñ")], "k int, x string"), spark.createDataFrame([(2, 3)], "k int, y int")
     files.export_report([a, b], f"{tmp_path}/r.csv")
     raw = (tmp_path / "r.csv").read_bytes()
-    assert raw.startswith(b"\xef\xbb\xbf") and raw.decode("utf-8-sig").splitlines()[0] == "k;x;y"
+    assert raw.startswith(b"\xef\xbb\xbf") and sorted(raw.decode("utf-8-sig").splitlines()) == ["1;ñ;", "2;;3", "k;x;y"]
+    odd = spark.createDataFrame([(i, f'a "b"; c\n{i}' if i % 2 else " x ") for i in range(40)], "k int, `x;y` string").repartition(5)
+    files.export_report([odd], f"{tmp_path}/r.csv")
+    with open(f"{tmp_path}/r.csv", encoding="utf-8-sig", newline="") as f:
+        read = list(csv.reader(f, delimiter=";"))
+    assert read[0] == ["k", "x;y"] and sorted((int(k), x) for k, x in read[1:]) == [(i, f'a "b"; c\n{i}' if i % 2 else " x ") for i in range(40)]
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("r.csv")] == ["r.csv"]
     (tmp_path / "t.csv").write_text("archivo;tipo;campo;valor\nf1;seguro_rc;poliza;RC1\nf1;otro;tomador;X\nf2;otro;fecha;2024-01-01\n", encoding="utf-8")
     got = {(r["file"], r["kind"], r["field"], r["truth"]) for r in files.read_truth_long(spark, f"{tmp_path}/t.csv").collect()}
     assert got == {("f1", "seguro_rc", "poliza", "RC1"), ("f1", "seguro_rc", "tomador", "X"), ("f2", "otro", "fecha", "2024-01-01")}
