@@ -30,7 +30,12 @@ _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
 #: What stands between a name and its value; the name itself is read backwards from here.
-_OPERATOR = re.compile(r":=|=>|[:=](?!=)")
+_OPERATOR = re.compile(r""":=|=>|->(?=[ \t]*["'`])|[:=](?!=)""")
+#: A type between a declared name and its value.
+_TYPE = re.compile(r"[ \t]*[&*]?[A-Za-z_][A-Za-z0-9_.]*(?:[<\[][A-Za-z0-9_., |<>\[\]]*[>\]])?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*)*[?&*]?[ \t]*")
+_LONGEST_TYPE = 120
+#: An element whose content is its value.
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.\-]*)(?:\s[^<>]*)?>\s*([^<>\s][^<>]*?)\s*</")
 _NAME_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
 #: String literals of common languages: three quotes, back quotes, double and single quotes; a prefix of letters may stand before them.
 _QUOTED = re.compile(r"""(?:[rbfuRBFU]{1,2}(?=["']))?(?:\"{3}(.*?)\"{3}|'{3}(.*?)'{3}|`([^`]*)`|"([^"\\\n]*(?:\\.[^"\\\n]*)*)"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)')""", re.DOTALL)
@@ -43,6 +48,9 @@ _PLUS = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)?\+\s*(?:\\\r?\n\s*)?")
 #: Blanks and a continued line before a value; in brackets, line ends too.
 _BLANKS = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)*")
 _OPEN = re.compile(r"[(\[{]\s*")
+#: A call whose first argument is a literal, and what stands between the items of a list.
+_CALL = re.compile(r"""[A-Za-z_][A-Za-z0-9_.:]*!?\(\s*(?=(?:[rbfuRBFU]{1,2})?["'`])""")
+_COMMA = re.compile(r"""\s*,\s*(?=(?:[rbfuRBFU]{1,2})?["'`])""")
 _SPACE = re.compile(r"\s*")
 #: The head of a YAML block scalar, with the rest of its line.
 _BLOCK = re.compile(r"[|>][+\-0-9]{0,2}[ \t]*(?:#[^\n]*)?\r?\n")
@@ -162,13 +170,14 @@ class _Lexer:
             at = stop + 1
         return (self.literal(start, end) if end > start else None), at
 
-    def value(self, at: int, name_at: int, spaced: bool) -> _Value | None:
-        """Values from a place on: joined by ``+`` or, in brackets, also by standing next to each other."""
+    def values(self, at: int, name_at: int, spaced: bool) -> list[_Value]:
+        """Values from a place on: literals joined by ``+`` or by standing next to each other are one, the items of a list are several."""
         at = _BLANKS.match(self.text, at).end()
         if m := _BLOCK.match(self.text, at):
-            return self.block(name_at, m.end())[0]
-        parts, inside = [], False
-        while m := _OPEN.match(self.text, at):
+            own = self.block(name_at, m.end())[0]
+            return [own] if own else []
+        items, parts, inside = [], [], False
+        while m := _OPEN.match(self.text, at) or _CALL.match(self.text, at):
             at, inside = m.end(), True
         while at < len(self.text):
             part, at = self.term(at, inside, spaced)
@@ -176,11 +185,15 @@ class _Lexer:
                 parts.append(part)
             if m := _PLUS.match(self.text, at):
                 at = m.end()
-            elif inside and (m := _SPACE.match(self.text, at)) and _QUOTED.match(self.text, m.end()):
+            elif (m := (_SPACE if inside else _BLANKS).match(self.text, at)) and self.text.startswith(('"', "'", "`"), m.end()) and part and _QUOTED.match(self.text, m.end()):
                 at = m.end()
+            elif inside and (m := _COMMA.match(self.text, at)):
+                at = m.end()
+                items.append(parts)
+                parts = []
             else:
                 break
-        return self.join(parts) if parts else None
+        return [self.join(p) for p in (*items, parts) if p]
 
     def score(self, name: str, v: _Value) -> float:
         by_name = max((SENSITIVE[m.group().lower()] for m in _SENSITIVE.finditer(name)), default=0.0)
@@ -207,30 +220,21 @@ def lexed_spans(text: str, threshold: float = 2.0) -> list[tuple[int, int, str]]
     A quoted literal is whole, whatever stands in it and however long it is. An unquoted
     value goes to white space or the line's end, less ``,`` and ``;`` at its end; where
     ``,``, ``;`` or ``&`` is followed by the next name and its operator, it ends there.
-    A YAML block scalar is its indented lines. In brackets, literals next to each other
-    are one value, over line ends. An unquoted name without digits is a reference, not a
+    A YAML block scalar is its indented lines. Literals next to each other are one value,
+    in brackets also over line ends, and the items of a list are values of their own. A
+    type between a name and its value, and a call round a literal, are passed over. A
+    constant may be defined below its use. An element's content is its value. An unquoted name without digits is a reference, not a
     literal, where blanks stand round the operator or after a colon.
     """
-    if not ("=" in text or ":" in text) or not _SENSITIVE.search(text):
+    if not any(x in text for x in ("=", ":", "<", "->")) or not _SENSITIVE.search(text):
         return []
     lexer = _Lexer(text)
+    # once for the constants, as one may be defined below its use
+    for _ in _pairs(lexer):
+        pass
     found: set[tuple[int, int, str]] = set()
     seen: dict[int, tuple] = {}
-    before = 0
-    for m in _OPERATOR.finditer(text):
-        seg = text[before : m.start()]
-        before = m.end()
-        shown = seg.rstrip(" \t")
-        bare = shown[:-1] if shown[-1:] in ("'", '"', "`", "]") else shown
-        bare = bare[:-1] if shown[-1:] == "]" and bare[-1:] in ("'", '"') else bare
-        name = bare[len(bare.rstrip(_NAME_LETTERS)) :].lstrip("0123456789.-")
-        if not name:
-            continue
-        name_at = m.start() - len(seg) + len(bare) - len(name)
-        value = lexer.value(m.end(), name_at, len(shown) < len(seg) or text[m.end() : m.end() + 1] in " \t")
-        if value is None:
-            continue
-        lexer.known[name] = value
+    for name, value in _pairs(lexer):
         if lexer.score(name, value) >= threshold:
             stack = [(value.span, value.of)]
             while stack:
@@ -243,6 +247,37 @@ def lexed_spans(text: str, threshold: float = 2.0) -> list[tuple[int, int, str]]
     return sorted(found)
 
 
+def _pairs(lexer: _Lexer) -> Iterator[tuple[str, _Value]]:
+    """Names with their values; the first value of a name is its constant from there on."""
+    text, before, declared = lexer.text, 0, None
+    lexer.quote_end = lexer.bare_end = -1
+    lexer.counted = (0, -1, Counter())
+    for m in _OPERATOR.finditer(text):
+        seg = text[before : m.start()]
+        before = m.end()
+        if m.group() == "=" and declared and len(seg) <= _LONGEST_TYPE and _TYPE.fullmatch(seg):
+            # name: type = value
+            name, name_at = declared
+            spaced = True
+        else:
+            shown = seg.rstrip(" \t")
+            bare = shown[:-1] if shown[-1:] in ("'", '"', "`", "]") else shown
+            bare = bare[:-1] if shown[-1:] == "]" and bare[-1:] in ("'", '"') else bare
+            name = bare[len(bare.rstrip(_NAME_LETTERS)) :].lstrip("0123456789.-")
+            name_at = m.start() - len(seg) + len(bare) - len(name)
+            spaced = len(shown) < len(seg) or text[m.end() : m.end() + 1] in " \t"
+        declared = (name, name_at) if m.group() == ":" and name else None
+        if not name:
+            continue
+        own = lexer.values(m.end(), name_at, spaced)
+        if own:
+            lexer.known[name] = own[0]
+        yield from ((name, v) for v in own)
+    for m in _ELEMENT.finditer(text):
+        if text.startswith(m.group(1), m.end()):
+            yield m.group(1), lexer.literal(*m.span(2))
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 2.0) -> DataFrame:
     """One row per input row: ``id``, ``base`` and ``spans``, arrays of (kind, start, end) in code points, end exclusive.
 

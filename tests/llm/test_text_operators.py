@@ -257,3 +257,32 @@ def test_shards_are_even_with_a_hot_text(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot text' ELSE concat('text ', id) END AS text")
     size = {r["shard"]: r["b"] for r in shard_rows(df).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()}
     assert max(size.values()) - min(size.values()) <= 0.02 * sum(size.values()) / 8
+
+
+def literals(text):
+    return [text[a:b] for a, b, _ in lexed_spans(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('password: str = "Zx81hPq2w9"', ["Zx81hPq2w9"]), ('let password: string = "Zx81hPq2w9";', ["Zx81hPq2w9"]), ('val token: Option[String] = "Zx81hPq2w9"', ["Zx81hPq2w9"]), ('api_key: Final[str] = os.environ', []),
+        ('passwords = ["Zx81hPq2w9", "Qw77rTy4u1", "Ab12Cd34Ef"]', ["Zx81hPq2w9", "Qw77rTy4u1", "Ab12Cd34Ef"]), ('secret = b64("Zx81hPq2w9")', ["Zx81hPq2w9"]), ('token = String::from("Zx81hPq2w9").trim()', ["Zx81hPq2w9"]),
+        ('char *secret = "Zx81" "hPq2w9";', ["Zx81", "hPq2w9"]), ("<password>Zx81hPq2w9</password>", ["Zx81hPq2w9"]), ('<db><api_key type="x"> Zx81hPq2w9 </api_key></db>', ["Zx81hPq2w9"]), ("<password>Zx81hPq2w9</other>", []),
+        ('token = BASE + "w9"\nBASE = "Zx81hPq2"', ["w9", "Zx81hPq2"]), ('password -> "Zx81hPq2w9"', ["Zx81hPq2w9"]), ("self->password = other", []), ('title: str = "Zx81hPq2w9"', []), ('f(token: str, title="Zx81hPq2w9")', []),
+    ],
+)
+def test_literals_of_declarations_lists_calls_and_elements(text, want):
+    assert literals(text) == want
+
+
+def test_lexing_is_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        t = "password = [" + '"Zx81hPq2w9", ' * n + "] <a>" + "token: x = " * n + "secret -> " * n + "<password> " * n
+        began = time.perf_counter()
+        lexed_spans(t)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 1
