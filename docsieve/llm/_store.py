@@ -1,56 +1,17 @@
-"""Tables that cut lineage, kept in the folder that all executors share."""
+"""Stored tables, column names of any kind, and what a session is asked before work in Python."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._ship import ship
+from .._tables import discard, shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a session on one machine, as in tests, gets a temporary one where it is unset."""
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="docsieve-")
-    sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _place(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back; the files go with ``discard``, or when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at, fs = _place(spark, path)
-    fs.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._docsieve_path = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Deletes the files of stored tables that nothing reads any more."""
-    for t in tables:
-        if path := getattr(t, "_docsieve_path", None):
-            at, fs = _place(t.sparkSession, path)
-            fs.delete(at, True)
+__all__ = ["col", "discard", "quoted", "release", "shared_dir", "small_batches", "stored", "with_row"]
 
 
 def quoted(name: str) -> str:
