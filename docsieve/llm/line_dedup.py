@@ -1,11 +1,16 @@
 """Line deduplication with DataFrame functions only.
 
-Plan: lines are exploded with their positions and hashed, one partial and one final
-aggregation tell which hashes stand in several documents, and these go back to the
-places they are found at. A text is put together again by position, from the places
-that are left. Texts are exchanged once, for that last join; lines never are, only
-their hashes and places. The hashes that repeat are stored before they are joined, so
-adaptive execution splits the places of a very common line over many tasks.
+Plan: lines are hashed and exploded with their positions once, and these places are
+stored. One partial and one final aggregation count the distinct documents of each
+hash, and the hashes of enough documents go back to the places they are found at. A
+text is put together again by position, from the places that are left. Texts are
+exchanged once, for that last join; lines never are, only their hashes and places. The
+hashes that repeat are stored before they are joined, so adaptive execution splits the
+places of a very common line over many tasks.
+
+Counting needs no exchange by document: the places of a row are sorted by hash, and
+only the first of each hash counts. Ids that stand in several rows are told apart
+beforehand, and only their places are made distinct by id.
 """
 
 from __future__ import annotations
@@ -45,29 +50,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows. With ``copies``, ``copy`` tells whether ``min_docs``
     documents or more hold the very text and this is not the first. Column names of
     the input, whatever they are, cannot clash: they stay inside ``row``.
-
-    With ``min_docs`` of 2, a key stands in two documents if its smallest and its
-    largest id differ; documents are counted only for larger numbers.
     """
     text = F.coalesce(col(text_col), F.lit(""))
     # a document's places are those of one text, also where an id has several
     ta, tb = _hash(text, 104729, 15485863)
     work = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("id"), ta.alias("ta"), tb.alias("tb"), F.split(text, "\n", -1).alias("lines"))
     # place 0 is the whole text
-    whole = F.array(F.struct(F.lit(0).alias("pos"), F.col("ta").alias("a"), F.col("tb").alias("b")))
+    whole = F.array(F.struct(F.col("ta").alias("a"), F.col("tb").alias("b"), F.lit(0).alias("pos")))
 
     def place(line: Column, i: Column) -> Column:
         key = line_key(line)
         a, b = _hash(key, 42, 7919)
-        return F.when(F.char_length(key) >= min_chars, F.struct((i + 1).alias("pos"), a.alias("a"), b.alias("b")))
+        return F.when(F.char_length(key) >= min_chars, F.struct(a.alias("a"), b.alias("b"), (i + 1).alias("pos")))
 
     places = F.filter(F.transform("lines", place), lambda x: x.isNotNull())
-    spots = work.where("id is not null").select("id", "ta", "tb", F.inline(F.concat(whole, places) if copies else places))
-    if min_docs == 2:
-        repeated = spots.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    else:
-        repeated = spots.select("id", "a", "b").distinct().groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    repeated = stored(repeated.select("a", "b", "first"))
+    named = work.where("id is not null").select("id", "ta", "tb", F.sort_array(F.concat(whole, places) if copies else places).alias("places"))
+
+    def marked(x: Column, i: Column) -> Column:
+        before = F.get("places", i - 1)
+        return F.struct(x["pos"].alias("pos"), x["a"].alias("a"), x["b"].alias("b"), ((i == 0) | (before["a"] != x["a"]) | (before["b"] != x["b"])).alias("fresh"))
+
+    spots = stored(named.select("id", "ta", "tb", F.inline(F.transform("places", marked))))
+    holders = spots.where("fresh").select("id", "a", "b")
+    several = stored(docs.select(col(id_col).alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    if several.limit(1).count():
+        holders = holders.join(several, "id", "left_anti").unionAll(holders.join(several, "id", "left_semi").distinct())
+    repeated = stored(holders.groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b", "first"))
     gone = spots.join(repeated, ["a", "b"]).where("id > first").groupBy("id", "ta", "tb").agg(F.collect_set("pos").alias("gone"))
     left = F.array_except(F.sequence(F.lit(1), F.size("lines")), "gone")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.element_at("lines", i)))

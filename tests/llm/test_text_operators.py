@@ -46,6 +46,22 @@ def test_line_dedup(odd, none):
     assert all(r["n_dropped"] == 0 for r in three.collect())
 
 
+@pytest.mark.parametrize("least", [2, 3, 4])
+def test_lines_of_enough_documents(spark, least):
+    """Distinct documents are counted, whether an id stands in one row or in several."""
+    line = lambda k: f"common line {k:04d}"
+    data = [(i % 9 if i % 4 == 0 else i, "\n".join([line(j) for j in range(i % 7)] + [line(0)] * (i % 3) + [f"own line {i:06d}"])) for i in range(40)]
+    data += [(50, line(77)), (50, line(77) + "\n" + line(77)), (51, line(77)), (52, line(78) + "\n" + line(78)), (53, line(78))]
+    holders = {}
+    for i, t in data:
+        for x in t.split("\n"):
+            holders.setdefault(x, set()).add(i)
+    stay = lambda i, x: len(holders[x]) < least or i == min(holders[x])
+    want = sorted((i, "\n".join(x for x in t.split("\n") if stay(i, x)), t.count("\n") + 1, sum(not stay(i, x) for x in t.split("\n"))) for i, t in data)
+    got = dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), min_docs=least).collect()
+    assert sorted((r["row"]["doc_id"], r["kept"], r["n_lines"], r["n_dropped"]) for r in got) == want
+
+
 def test_line_dedup_plan_is_native(odd):
     plan = dedup_lines(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
