@@ -1,14 +1,15 @@
 """Token counts by dynamic programming over a trie of pre-tokens.
 
-Distinct pre-tokens are walked as a trie, in sorted order, which is depth first: the
-forward scores of a prefix are computed once and stay on the path for all pre-tokens
-below it. The count of the best segmentation is stored at each terminal, and a text
-is the sum of the counts of its pre-tokens.
+Distinct pre-tokens are inserted in a trie that a worker keeps from batch to batch and
+from task to task. Each node holds the forward score of its prefix and the count of
+tokens of the best segmentation, so a prefix that pre-tokens share is scored once, in
+whichever batch it comes up again. A text is the sum of the counts at its terminals.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ from ._text import batches, slices
 
 #: Stands for the blank before a word.
 MARK = "▁"
-#: Terminals that a worker keeps; beyond it, it starts anew.
-KEPT = 150_000
+#: Nodes that a worker keeps, some 100 MB with their terminals; beyond it, the trie starts anew.
+KEPT = 600_000
 #: Score of each UTF-8 byte of a letter that no piece spells.
 BYTE_SCORE = -20.0
 
@@ -31,30 +32,56 @@ def zipf_scores(pieces: Iterable[str]) -> dict[str, float]:
 
 
 class Trie:
-    """Forward scores along the path to the current pre-token, and the counts of terminals."""
+    """Nodes by number, the root is 0; each with the forward score and the token count of its prefix."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
-        self.counts: dict[str, int] = {}
         self.steps = 0
-
-    def insert(self, tokens: Iterable[str]) -> None:
-        """Adds pre-tokens; ties between segmentations go to the one of fewer tokens."""
-        if len(self.counts) > KEPT:
-            self.counts.clear()
+        self._empty()
+
+    def _empty(self) -> None:
+        #: (node, letter) in one number -> child
+        self.children: dict[int, int] = {}
+        self.best = array("d", [0.0])
+        self.count = array("q", [0])
+        #: pre-tokens that end at a node, with the count there
+        self.terminals: dict[str, int] = {}
+
+    def insert(self, tokens: Iterable[str]) -> dict[str, int]:
+        """Adds pre-tokens and returns their counts; ties between segmentations go to the one of fewer tokens.
+
+        New ones are walked in sorted order, so the path to the last one is left where the next
+        one leaves it. The trie is dropped whole once it holds KEPT nodes. A pre-token of more
+        letters than that is scored by itself and leaves no nodes.
+        """
+        words = set(tokens)
+        out = {w: n for w in words if (n := self.terminals.get(w)) is not None}
         get, longest = self.scores.get, self.longest
-        path, best, count = "", [0.0], [0]
-        for word in sorted(set(tokens) - self.counts.keys()):
+        last, path, best, count = "", [0], [0.0], [0]
+        for word in sorted(words - out.keys()):
+            keep = len(word) < KEPT
+            if keep and len(self.best) + len(word) > KEPT:
+                self._empty()
+                last, path = "", [0]
             shared = 0
-            for a, b in zip(path, word):
+            for a, b in zip(last, word):
                 if a != b:
                     break
                 shared += 1
+            del path[shared + 1 :]
+            shared = len(path) - 1
             del best[shared + 1 :], count[shared + 1 :]
+            node = path[-1]
             for end in range(shared + 1, len(word) + 1):
-                self.steps += 1
                 letter = word[end - 1]
+                edge = node << 21 | ord(letter)
+                if keep and (node := self.children.get(edge, -1)) >= 0:
+                    path.append(node)
+                    best.append(self.best[node])
+                    count.append(self.count[node])
+                    continue
+                self.steps += 1
                 s = get(letter)
                 n = 1
                 if s is None:
@@ -69,8 +96,16 @@ class Trie:
                             top, least = s, count[start] + 1
                 best.append(top)
                 count.append(least)
-            self.counts[word] = count[-1]
-            path = word
+                if keep:
+                    self.children[edge] = node = len(self.best)
+                    self.best.append(top)
+                    self.count.append(least)
+                    path.append(node)
+            out[word] = count[-1]
+            if keep:
+                self.terminals[word] = count[-1]
+            last = word
+        return out
 
 
 def sentencepiece_pieces(path: str) -> list[str]:
@@ -115,8 +150,7 @@ def count_tokens(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_i
             for at, _, off in slices(texts):
                 n = len(off) - 1
                 split = [pre_tokens(t or "") for t in texts.slice(at, n).to_pylist()]
-                trie.insert(w for s in split for w in s)
-                known = trie.counts
+                known = trie.insert(w for s in split for w in s)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, n), pa.array([len(s) for s in split], pa.int64()), pa.array([sum([known[w] for w in s]) for s in split], pa.int64())],
                     names=["id", "n_pre_tokens", "n_tokens"],

@@ -221,7 +221,7 @@ def test_secret_literals_are_whole():
         lexed_spans(repeated * 20_000 + "password=x")
 
 
-def test_token_counts(odd, none):
+def test_token_counts(odd, none, monkeypatch):
     scores = zipf_scores(sentencepiece_pieces(Q.tokenizer_file("piece_bpe_32k.model")))
 
     def best(word):
@@ -240,9 +240,16 @@ def test_token_counts(odd, none):
 
     ws = {w for t in ("hola mundo The theatre thorough", "zzzqx ß€ 😀 the", LONG[:60]) for w in pre_tokens(t)}
     trie = Trie(scores)
-    trie.insert(ws)
-    assert {w: trie.counts[w] for w in ws} == {w: best(w) for w in ws}
-    assert trie.steps < sum(map(len, ws))  # shared prefixes are scored once
+    assert trie.insert(ws) == {w: best(w) for w in ws}
+    prefixes = {w[:i] for w in ws for i in range(1, len(w) + 1)}
+    assert trie.steps == len(prefixes) < sum(map(len, ws))  # shared prefixes are scored once
+    again = Trie(scores)
+    for batch in [sorted(ws)[::2], sorted(ws)[1::2], sorted(ws), []]:
+        assert again.insert(batch) == {w: best(w) for w in batch}
+    assert again.steps == len(prefixes)  # also over several batches
+    monkeypatch.setattr("docsieve.llm.token_counts.KEPT", 12)
+    small = Trie(scores)
+    assert small.insert(ws) == {w: best(w) for w in ws} and small.steps > len(prefixes) and len(small.best) <= 12
     got = count_tokens(odd, scores).collect()
     assert len(got) == len(ODD) and {r["n_tokens"] for r in got if r["id"] in (1, 2, 3)} == {0}
     assert count_tokens(none, scores).count() == 0
