@@ -87,6 +87,6 @@ def alike_names(texts: DataFrame, names: list[str], least: float) -> DataFrame:
     widths = sorted({len(p) for name in names for p, *_ in pieces(name, least)})
     gram = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.struct(F.substring("text", i, F.lit(n)).alias("piece"), (i - 1).alias("at")))
     grams = F.concat(*[F.when(F.length("text") >= n, gram(n)).otherwise(F.array().cast("array<struct<piece:string,at:int>>")) for n in widths])
-    held = texts.select("text", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).alias("n"), F.explode(F.array_distinct(grams)).alias("g")).select("text", "n", "g.*")
+    held = texts.select("text", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).alias("n"), F.explode_outer(F.array_distinct(grams)).alias("g")).select("text", "n", "g.*")
     met = held.join(table, "piece").where((F.col("n") == F.col("words")) & (F.abs(F.col("at") - F.col("place")) <= F.col("spare")))
     return met.select("text", "name").distinct().where(alike(F.col("text"), F.col("name"), least))

@@ -52,6 +52,14 @@ def test_no_python_runs(spark):
     assert [x[0] for x in r.select(readings.same_reading(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
 
 
+def test_words_are_cut_once_for_distinct_texts(spark):
+    """The array of rows is not tested again below the distinct texts, for every line and each of its words."""
+    lines = spark.createDataFrame([(1, 0, "NOMBRE")], "doc_id long, line_no int, text string")
+    plan = front.labelled_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    tested = [ln for ln in plan.splitlines() if "Filter" in ln and "size(" in ln]
+    assert "Generate" in plan and not tested, tested
+
+
 def test_the_digits_of_a_number_are_no_date(spark):
     """30052605T is a number with its right letter, and not the 30th of May 2605; over two lines neither."""
     shape = "doc_id long, line_no int, text string, x double, y double, w double, h double"
@@ -62,3 +70,10 @@ def test_the_digits_of_a_number_are_no_date(spark):
     assert got[2]["dni"] == "30052605T" and got[2]["fecha_caducidad"] is None
     # a number with a wrong letter may as well be a date
     assert not got[3]["dni_ok"] and got[3]["fecha_caducidad"] == "30/05/2605"
+
+
+def test_rows_of_cards_are_dealt_over_the_cores(spark, sf):
+    from docsieve.plans import fixtures
+
+    cores = spark.sparkContext.defaultParallelism
+    assert all(fixtures.view(spark, sf, f"SELECT * FROM {t}", t).rdd.getNumPartitions() == cores for t in ("customer", "supplier", "orders"))
