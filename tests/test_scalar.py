@@ -108,3 +108,10 @@ def test_plan_has_no_python(spark, sf):
     for name in ("mrz_parse_valid", "classify_top3", "verify_decision"):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_zones_are_not_parsed_once_more_for_a_filter(spark):
+    """What is too long, or not valid, is null in its column: a filter would compute the whole zone again below the exchange."""
+    df = spark.createDataFrame([(1, ["A", "B", "C"])], "k long, c array<string>").repartition(3)
+    plan = zone.read_zones(df, "k", "c", F.to_date(F.lit("2026-06-30")))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [ln for ln in plan.splitlines() if "Filter" in ln and ("rpad(" in ln or "translate(" in ln)]
