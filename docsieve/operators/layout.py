@@ -65,7 +65,7 @@ def _texts(lines: Column) -> Column:
 
 def reading_order(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, place): the place of each line in reading order, from 1."""
-    return documents(lines).select("doc_id", F.posexplode("lines").alias("p", "l")).select("doc_id", "l.line_no", (F.col("p") + 1).alias("place"))
+    return documents(lines).select("doc_id", F.posexplode_outer("lines").alias("p", "l")).where("l is not null").select("doc_id", "l.line_no", (F.col("p") + 1).alias("place"))
 
 
 def column_text(lines: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def column_text(lines: DataFrame) -> DataFrame:
 
     Here a line is compared with the line before it, which a lag and a running sum express.
     """
-    o = documents(lines).select("doc_id", F.posexplode("lines").alias("place", "l")).select("doc_id", "place", "l.*")
+    o = documents(lines).select("doc_id", F.posexplode_outer("lines").alias("place", "l")).where("l is not null").select("doc_id", "place", "l.*")
     w = Window.partitionBy("doc_id").orderBy("place")
     before = lambda c: F.lag(c).over(w)
     same = (before("page") == F.col("page")) & (F.abs(before("cy") - F.col("cy")) < F.greatest(before("h"), F.col("h")) * 0.5)

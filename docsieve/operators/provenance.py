@@ -58,7 +58,7 @@ def placed_fields(documents: DataFrame, extracted: DataFrame, as_of: Column) ->
 
     Fields that stand nowhere in the text, as they are computed, have nulls but for the value.
     """
-    pairs = extracted.select("doc_id", F.explode("fields").alias("field", "v"))
+    pairs = extracted.select("doc_id", F.explode_outer("fields").alias("field", "v")).where("field is not null")
     d = pairs.join(documents.select("doc_id", "lines", "rows"), "doc_id")
     f = d.select("doc_id", "field", field_of(F.col("v"), holding_lines(F.col("lines"), F.col("rows"), F.col("v"), as_of)).alias("f"))
     return f.select("doc_id", "field", "f.value", "f.confidence", "f.page", "f.box.x", "f.box.y", "f.box.w", "f.box.h", "f.origin")

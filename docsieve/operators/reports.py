@@ -88,7 +88,7 @@ def compare_fields(rows: DataFrame, cut: str = "cut") -> DataFrame:
     part = lambda name, a, n: F.struct(F.lit(name).alias("f"), (F.substring(tight("_t"), a, n) == F.substring(tight("_r"), a, n)).alias("ok"))
     all_ = F.when((F.col("field") == "num_soporte") & (F.length(tight("_t")) == 9), F.array(whole, part("soporte_digitos", 4, 99), part("soporte_letras", 1, 3))).otherwise(F.array(whole))
     keep = [c for c in rows.columns if c not in ("field",)]
-    return d.select(*keep, F.explode(all_).alias("_x")).select(*keep, F.col("_x.f").alias("field"), F.col("_x.ok").alias("ok"))
+    return d.select(*keep, F.explode_outer(all_).alias("_x")).select(*keep, F.col("_x.f").alias("field"), F.col("_x.ok").alias("ok"))
 
 
 def result_rows(readings: DataFrame, compared: DataFrame) -> DataFrame:

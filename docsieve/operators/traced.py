@@ -169,7 +169,7 @@ def traced_fields(documents: DataFrame, kind: str, as_of: Column, fields: tuple[
     chosen = [k for k in rules if fields is None or k in fields]
     d = E.extract(documents.withColumn("starts", row_starts(F.col("rows"))), kind, as_of, keep=("lines", "rows", "starts"))
     pairs = F.array(*[F.struct(F.lit(k).alias("field"), F.col("fields")[k].alias("value"), where(rules[k], as_of).alias("at")) for k in chosen])
-    d = d.select("doc_id", "lines", "rows", F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p")).select("doc_id", "lines", "rows", "p.*")
+    d = d.select("doc_id", "lines", "rows", F.explode_outer(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p")).where("p is not null").select("doc_id", "lines", "rows", "p.*")
     own = F.filter("lines", lambda ln: ln["line_no"] == F.col("at.line"))
     searched = F.col("field").isin([k for k in chosen if not isinstance(rules[k], R.Of)])
     lines = (

@@ -92,7 +92,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classify_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("k", F.explode(F.filter("s", lambda x: x["points"] > 0)).alias("x")).select("k", "x.kind", "x.points")
+    return _scored(spark, d).select("k", F.explode_outer(F.filter("s", lambda x: x["points"] > 0)).alias("x")).where("x is not null").select("k", "x.kind", "x.points")
 
 
 _KEYS_SQL = ", ".join(f"({i}, '{kind}', '{p.replace(chr(39), chr(39) * 2)}', cast({w} AS double))" for i, (kind, table) in enumerate(classify.KEYS.items()) for p, w in table.items())
