@@ -30,12 +30,14 @@ def field_of(value: Column, lines: Column) -> Column:
 
     Null for a value that is null or empty.
     """
-    origins = F.transform(lines, lambda ln: ln["origin"])
-    counted = F.transform(F.array_distinct(origins), lambda o, i: F.struct(F.size(F.filter(origins, lambda x: x == o)).alias("n"), (-i).alias("turn"), o.alias("origin")))
-    top = first(lines)
-    box = F.when(top.isNotNull(), F.struct(*[top[c].alias(c) for c in ("x", "y", "w", "h")]))
-    made = F.struct(value.alias("value"), F.array_min(F.transform(lines, lambda ln: ln["conf"])).alias("confidence"), top["page"].alias("page"), box.alias("box"), F.array_max(counted)["origin"].alias("origin"))
-    return F.when(F.coalesce(value.cast("string"), F.lit("")) != "", made)
+    def made(a: Column) -> Column:
+        count = lambda all_: F.transform(F.array_distinct(all_), lambda o, i: F.struct(F.size(F.filter(all_, lambda x: x == o)).alias("n"), (-i).alias("turn"), o.alias("origin")))
+        counted = let(F.transform(a, lambda ln: ln["origin"]), count)
+        top = first(a)
+        box = F.when(top.isNotNull(), F.struct(*[top[c].alias(c) for c in ("x", "y", "w", "h")]))
+        return F.struct(value.alias("value"), F.array_min(F.transform(a, lambda ln: ln["conf"])).alias("confidence"), top["page"].alias("page"), box.alias("box"), F.array_max(counted)["origin"].alias("origin"))
+
+    return F.when(F.coalesce(value.cast("string"), F.lit("")) != "", let(lines, made))
 
 
 def all_matches(lines: Column, rows: Column, pattern: str, group: int = 0) -> Column:
@@ -47,9 +49,13 @@ def all_matches(lines: Column, rows: Column, pattern: str, group: int = 0) -> Co
 def holding_lines(lines: Column, rows: Column, value: Column, as_of: Column) -> Column:
     """The lines of the first row that holds a value as it is written, without regard to blanks and case, or as a date."""
     tight = lambda t: F.regexp_replace(row_form(t), r"[\s.\-]", "")
-    day = value.try_cast("date")
-    place = F.transform(rows, lambda r: F.contains(tight(r), tight(value)) | F.coalesce(F.exists(dates_found(r, as_of), lambda s: s["date"] == day), F.lit(False)))
-    at = F.array_position(place, True) - 1
+
+    def place(sought: Column) -> Column:
+        """Rows are read for dates only if a date is sought."""
+        dated = lambda r: sought["day"].isNotNull() & F.exists(dates_found(r, as_of), lambda s: s["date"] == sought["day"])
+        return F.array_position(F.transform(rows, lambda r: F.contains(tight(r), sought["tight"]) | F.coalesce(dated(r), F.lit(False))), True) - 1
+
+    at = let(F.struct(tight(value).alias("tight"), value.try_cast("date").alias("day")), place)
     return let(at, lambda i: F.filter(lines, lambda ln: ln["row"] == i))
 
 
@@ -57,8 +63,11 @@ def placed_fields(documents: DataFrame, extracted: DataFrame, as_of: Column) ->
     """(doc_id, field, value, confidence, page, x, y, w, h, origin) of what extract() read: one row for each field.
 
     Fields that stand nowhere in the text, as they are computed, have nulls but for the value.
+    What extract() was told to keep of ``lines`` and ``rows`` is not joined again.
     """
-    pairs = extracted.select("doc_id", F.explode_outer("fields").alias("field", "v")).where("field is not null")
-    d = pairs.join(documents.select("doc_id", "lines", "rows"), "doc_id")
+    own = [c for c in ("lines", "rows") if c in extracted.columns]
+    d = extracted.select("doc_id", *own, F.explode_outer("fields").alias("field", "v")).where("field is not null")
+    if len(own) < 2:
+        d = d.select("doc_id", "field", "v").join(documents.select("doc_id", "lines", "rows"), "doc_id")
     f = d.select("doc_id", "field", field_of(F.col("v"), holding_lines(F.col("lines"), F.col("rows"), F.col("v"), as_of)).alias("f"))
     return f.select("doc_id", "field", "f.value", "f.confidence", "f.page", "f.box.x", "f.box.y", "f.box.w", "f.box.h", "f.origin")

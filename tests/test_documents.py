@@ -91,6 +91,19 @@ def test_a_text_meets_a_thousand_types_by_its_words(spark):
         assert [(x["kind"], x["points"]) for x in r["s"]] == [(k, p) for k, p in want.items() if p > 0]
 
 
+def test_lines_of_a_field_are_computed_once(spark):
+    from docsieve.operators import provenance
+
+    d = document(spark, ("COMUNICACIÓN DE APERTURA DEL CENTRO", 0.1, 0.05), ("Razón social: OBRAS PRUEBA SL", 0.1, 0.1, 0.6), ("CIF: B12345674", 0.1, 0.15, 0.3), ("Fecha de inicio: 01/02/2026", 0.1, 0.25, 0.6))
+    as_of = F.lit(AS_OF).cast("date")
+    e = extract.extract(d, "apertura_centro_trabajo", as_of, keep=("lines", "rows"))
+    kept, joined = provenance.placed_fields(d, e, as_of), provenance.placed_fields(d, e.drop("lines", "rows"), as_of)
+    assert {(r["field"], r["y"]) for r in kept.collect()} == {("razon_social", 0.1), ("identificador", 0.15), ("fecha", 0.25)}
+    assert sorted(kept.collect()) == sorted(joined.collect())
+    f = e.select(provenance.field_of(F.col("text"), provenance.holding_lines(F.col("lines"), F.col("rows"), F.col("text"), as_of)).alias("f"))
+    assert str(f._jdf.queryExecution().analyzed()).split("Project")[1].count(r"[\s.\-]") == 2 and "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def places(spark, kind, *lines):
     from docsieve.operators import traced
 
