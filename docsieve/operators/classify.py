@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import re._constants as _sre
 import zlib
 from dataclasses import dataclass
@@ -63,6 +64,15 @@ def _needs(tree) -> list[str] | None:
 GRAMS, LISTS = (4, 3), 1024
 
 
+def _tree(grams: list[str]) -> str:
+    """A regular expression of the grams by their first signs; where one begins another, the longer is taken."""
+    heads: dict[str, list[str]] = {}
+    for g in sorted(grams):
+        heads.setdefault(g[0], []).append(g[1:])
+    tails = {h: [t for t in rest if t] for h, rest in heads.items()}
+    return "|".join(re.escape(h) + (f"(?:{_tree(t)})" + ("?" if "" in heads[h] else "") if t else "") for h, t in tails.items())
+
+
 def _gram(literal: str, taken: dict[str, list[int]]) -> str | None:
     """Signs in a row that every text with the literal has in one of its words: of those as long as can be, one that fewest patterns have."""
     for n in GRAMS:
@@ -78,6 +88,7 @@ class Index:
 
     kinds: list[str]
     patterns: list[str]
+    tree: str
     lists: list[list[dict]]
     open: list[int]
     points: list[list[dict]]
@@ -96,24 +107,25 @@ class Index:
                 grams.setdefault(g, []).append(i)
         lists: list[list[dict]] = [[] for _ in range(LISTS)]
         for g, of in grams.items():
-            lists[zlib.crc32(g.encode()) % LISTS].append({"gram": g, "of": of})
+            # where a shorter gram begins this one, only this one is found
+            begun = [i for n in GRAMS if n < len(g) for i in grams.get(g[:n], ())]
+            lists[zlib.crc32(g.encode()) % LISTS].append({"gram": g, "of": list(dict.fromkeys([*of, *begun]))})
         place = {p: i for i, p in enumerate(patterns)}
         points: list[list[dict]] = [[] for _ in patterns]
         for k, table in enumerate(keys.values()):
             for p, w in table.items():
                 points[place[p]].append({"kind": k, "points": float(w)})
-        return cls(list(keys), patterns, lists, free, points)
+        return cls(list(keys), patterns, _tree(list(grams)), lists, free, points)
 
     def hits(self, text: Column) -> Column:
-        """The patterns that occur, by their numbers. Words of the text lead to those that may, and only these are looked for."""
+        """The patterns that occur, by their numbers. Grams of the text lead to those that may, and only these are looked for."""
+        patterns, open_ = _constant(self.patterns, "array<string>"), _constant(self.open, "array<int>")
+        if not self.tree:
+            return F.filter(open_, lambda p: F.regexp_like(text, F.get(patterns, p)))
         lists = _constant(self.lists, "array<array<struct<gram:string,of:array<int>>>>")
-        patterns = _constant(self.patterns, "array<string>")
-        of = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))
-        grams = lambda w: F.concat(*[of(w, n) for n in GRAMS])
-        words = F.filter(F.array_distinct(F.split(text, r"\s+")), lambda w: F.length(w) >= min(GRAMS))
-        held = F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= max(GRAMS), grams(w)).otherwise(F.array(w)))))
+        held = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({self.tree}))"), F.lit(1)))
         led = lambda g: F.flatten(F.transform(F.filter(F.get(lists, (F.crc32(g.cast("binary")) % LISTS).cast("int")), lambda x: x["gram"] == g), lambda x: x["of"]))
-        may = F.array_distinct(F.concat(_constant(self.open, "array<int>"), F.flatten(F.transform(held, led))))
+        may = F.array_distinct(F.concat(open_, F.flatten(F.transform(held, led))))
         return F.filter(may, lambda p: F.regexp_like(text, F.get(patterns, p)))
 
 
@@ -125,7 +137,7 @@ def _constant(value: list, kind: str) -> Column:
 def scores(text: Column, keys: dict[str, dict[str, float]] = KEYS) -> Column:
     """array<struct<kind, points>> of the types with points, in registry order; a pattern counts once however often it occurs.
 
-    What a text costs depends on its words and on the patterns that occur, not on how many types there are.
+    What a text costs depends on its signs and on the patterns that occur, not on how many types there are.
     """
     index = Index.of(keys)
     kinds, points = _constant(index.kinds, "array<string>"), _constant(index.points, "array<array<struct<kind:int,points:double>>>")

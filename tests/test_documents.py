@@ -91,6 +91,17 @@ def test_a_text_meets_a_thousand_types_by_its_words(spark):
         assert [(x["kind"], x["points"]) for x in r["s"]] == [(k, p) for k, p in want.items() if p > 0]
 
 
+def test_grams_of_a_text_are_found_in_one_pass(spark):
+    """No text is cut into all its grams, and grams that begin or overlap others are found."""
+    keys = {"a": {"PREV": 1}, "b": {"PRE": 2}, "c": {"REVI": 4}, "d": {r"ART\. 1": 8}, "e": {"SPAÑ": 16}}
+    texts = ["PREVIO", "PRENDA", "EXPRES", "ART. 1", "ARTX 1", "ESPAÑA PREVISTA", "PR EV", ""]
+    index = classify.Index.of(keys)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", classify.scores(F.col("t"), keys).alias("s"))
+    assert "substring" not in df._jdf.queryExecution().optimizedPlan().toString() and index.tree
+    assert [sum(x["points"] for x in r["s"]) for r in df.collect()] == [7, 2, 2, 8, 0, 23, 0, 0]
+    assert [r[0] for r in spark.createDataFrame([("AB",), ("B",)], "t string").select(F.size(classify.Index.of({"a": {"A": 1}}).hits(F.col("t")))).collect()] == [1, 0]
+
+
 def test_lines_of_a_field_are_computed_once(spark):
     from docsieve.operators import provenance
 
