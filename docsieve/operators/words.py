@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,42 @@ def merged_segments(segments: DataFrame) -> DataFrame:
     return d.select("doc_id", "page", F.posexplode(merged).alias("part", "l")).select("doc_id", "page", "part", "l.*")
 
 
+#: Words of a page up to which its lines are looked through one by one.
+FEW = 48
+
+
+def _first_fit(boxes: list[tuple], x: float, y: float, h: float) -> int:
+    """The first line that a word stands right behind; -1 without one."""
+    for i, (lx, ly, lw, lh) in enumerate(boxes):
+        tall, gap = max(lh, h), x - lx - lw
+        if abs(y + h / 2 - ly - lh / 2) < tall * 0.5 and 0 <= gap < tall * NEAR:
+            return i
+    return -1
+
+
+def _first_fit_of_many(boxes: np.ndarray, x: float, y: float, h: float) -> int:
+    tall, gap = np.maximum(boxes[:, 3], h), x - boxes[:, 0] - boxes[:, 2]
+    fits = np.flatnonzero((np.abs(y + h / 2 - boxes[:, 1] - boxes[:, 3] / 2) < tall * 0.5) & (gap >= 0) & (gap < tall * NEAR))
+    return int(fits[0]) if len(fits) else -1
+
+
+def _from_the_top(boxes: list[tuple]) -> list[int]:
+    levels = [(y + h / 2) / LEVEL for _, y, _, h in boxes]
+    if not all(map(math.isfinite, levels)) or any(math.isnan(b[0]) for b in boxes):
+        return np.lexsort(([b[0] for b in boxes], np.rint(levels))).tolist()
+    return sorted(range(len(boxes)), key=lambda i: (round(levels[i]), boxes[i][0]))
+
+
+def _mean(a: list[float]) -> float:
+    if len(a) > 7:
+        return float(np.mean(a))
+    # added one by one, as numpy does up to there; sum() would carry what is rounded
+    total = 0.0
+    for v in a:
+        total += v
+    return total / len(a)
+
+
 def sparse_lines(words: DataFrame) -> DataFrame:
     """(doc_id, page, place, text, x, y, w, h, conf): loose words, each put on the first line it stands right behind.
 
@@ -74,23 +111,24 @@ def sparse_lines(words: DataFrame) -> DataFrame:
     ship(words.sparkSession)
 
     def page(found: list[dict]) -> list[tuple]:
-        texts, boxes, confs = [], np.zeros((0, 4)), []
+        texts, boxes, confs = [], [], []
+        # arrays pay only on pages of many words
+        table = np.zeros((len(found), 4)) if len(found) > FEW else None
         for f in sorted(found, key=lambda f: (f["y"] + f["h"] / 2, f["x"], f["text"])):
             x, y, w, h = f["x"], f["y"], f["w"], f["h"]
-            tall = np.maximum(boxes[:, 3], h)
-            gap = x - boxes[:, 0] - boxes[:, 2]
-            fits = np.flatnonzero((np.abs(y + h / 2 - boxes[:, 1] - boxes[:, 3] / 2) < tall * 0.5) & (gap >= 0) & (gap < tall * NEAR))
-            if not len(fits):
-                texts.append(f["text"]), confs.append([f["conf"]])
-                boxes = np.vstack((boxes, (x, y, w, h)))
-                continue
-            i = fits[0]
-            lx, ly, lw, lh = boxes[i]
-            texts[i] += " " + f["text"]
-            confs[i].append(f["conf"])
-            boxes[i] = lx, min(ly, y), max(lx + lw, x + w) - lx, max(ly + lh, y + h) - min(ly, y)
-        order = np.lexsort((boxes[:, 0], np.rint((boxes[:, 1] + boxes[:, 3] / 2) / LEVEL)))
-        return [(n + 1, texts[i], *map(float, boxes[i]), float(np.mean(confs[i]))) for n, i in enumerate(order)]
+            i = _first_fit(boxes, x, y, h) if table is None else _first_fit_of_many(table[: len(boxes)], x, y, h)
+            if i < 0:
+                i = len(boxes)
+                texts.append(f["text"]), confs.append([f["conf"]]), boxes.append((x, y, w, h))
+            else:
+                lx, ly, lw, lh = boxes[i]
+                texts[i] += " " + f["text"]
+                confs[i].append(f["conf"])
+                boxes[i] = lx, min(ly, y), max(lx + lw, x + w) - lx, max(ly + lh, y + h) - min(ly, y)
+            if table is not None:
+                table[i] = boxes[i]
+        order = _from_the_top(boxes) if table is None else np.lexsort((table[: len(boxes), 0], np.rint((table[: len(boxes), 1] + table[: len(boxes), 3] / 2) / LEVEL)))
+        return [(n + 1, texts[i], *boxes[i], _mean(confs[i])) for n, i in enumerate(order)]
 
     columns = ["place", "text", "x", "y", "w", "h", "conf"]
 

@@ -83,3 +83,21 @@ def test_reports_and_long_truth(spark, tmp_path):
     (tmp_path / "t.csv").write_text("archivo;tipo;campo;valor\nf1;seguro_rc;poliza;RC1\nf1;otro;tomador;X\nf2;otro;fecha;2024-01-01\n", encoding="utf-8")
     got = {(r["file"], r["kind"], r["field"], r["truth"]) for r in files.read_truth_long(spark, f"{tmp_path}/t.csv").collect()}
     assert got == {("f1", "seguro_rc", "poliza", "RC1"), ("f1", "seguro_rc", "tomador", "X"), ("f2", "otro", "fecha", "2024-01-01")}
+
+
+def test_words_of_small_and_large_pages_find_the_same_line():
+    import random
+
+    import numpy as np
+
+    from docsieve.operators import words
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        boxes = [tuple(float(rnd.randint(1, 60)) for _ in range(4)) for _ in range(rnd.randint(1, 20))]
+        x, y, h = float(rnd.randint(1, 90)), float(rnd.randint(1, 60)), float(rnd.randint(1, 60))
+        assert words._first_fit(boxes, x, y, h) == words._first_fit_of_many(np.array(boxes), x, y, h)
+        a = np.array(boxes)
+        assert words._from_the_top(boxes) == np.lexsort((a[:, 0], np.rint((a[:, 1] + a[:, 3] / 2) / words.LEVEL))).tolist()
+        confs = [rnd.random() for _ in range(rnd.randint(1, 12))]
+        assert words._mean(confs) == float(np.mean(confs))
