@@ -35,15 +35,20 @@ def _row_numbers(ordered: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda s: s["rows"])
 
 
+def _ordered(lines: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(doc_id, _o): the columns of the lines of each document in reading order."""
+    d = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_l"))
+    # rows from the top, and from the left in a row
+    placed = F.zip_with("_l", _row_numbers(F.col("_l")), lambda v, r: F.struct(r.alias("_r"), v["x"].alias("_x"), v["line_no"].alias("_n"), v.alias("v")))
+    return d.select("doc_id", F.transform(F.sort_array(placed), lambda s: s["v"]).alias("_o"))
+
+
 def documents(lines: DataFrame) -> DataFrame:
     """(doc_id, lines, rows, text): lines in reading order with ``row``; rows are normalised; text is the rows, one below the other.
 
     lines: doc_id, line_no, page, text, x, y, w, h (fractions of the page), origin, conf, alt.
     """
-    d = with_centre(lines).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*LINE))).alias("_l"))
-    # rows from the top, and from the left in a row
-    placed = F.zip_with("_l", _row_numbers(F.col("_l")), lambda v, r: F.struct(r.alias("_r"), v["x"].alias("_x"), v["line_no"].alias("_n"), v.alias("v")))
-    d = d.select("doc_id", F.transform(F.array_sort(placed), lambda s: s["v"]).alias("_o"))
+    d = _ordered(with_centre(lines), LINE)
     # the rows of a document are folded again over the reading order
     d = d.select("doc_id", F.zip_with("_o", _row_numbers(F.col("_o")), lambda v, r: F.struct(r.alias("row"), *[v[c].alias(c) for c in LINE])).alias("lines"))
     return d.select("doc_id", "lines", _texts(F.col("lines")).alias("rows")).withColumn("text", F.array_join("rows", "\n"))
@@ -65,7 +70,8 @@ def _texts(lines: Column) -> Column:
 
 def reading_order(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, place): the place of each line in reading order, from 1."""
-    return documents(lines).select("doc_id", F.posexplode_outer("lines").alias("p", "l")).where("l is not null").select("doc_id", "l.line_no", (F.col("p") + 1).alias("place"))
+    placed = _ordered(with_centre(lines), LINE[: LINE.index("text")])
+    return placed.select("doc_id", F.posexplode_outer("_o").alias("p", "l")).where("l is not null").select("doc_id", "l.line_no", (F.col("p") + 1).alias("place"))
 
 
 def column_text(lines: DataFrame) -> DataFrame:

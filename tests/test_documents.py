@@ -115,6 +115,13 @@ def test_lines_of_a_field_are_computed_once(spark):
     assert str(f._jdf.queryExecution().analyzed()).split("Project")[1].count(r"[\s.\-]") == 2 and "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_reading_order_needs_places_only(spark):
+    lines = [("b", 0, 1, "Ñandú", 0.5, 0.1, 0.1, 0.012, "capa_texto", 1.0, None), ("b", 1, 1, "x", 0.1, 0.102, 0.1, 0.012, "capa_texto", 1.0, None), ("b", 2, 1, "y", 0.1, 0.05, 0.1, 0.012, "capa_texto", 1.0, None)]
+    d = layout.reading_order(spark.createDataFrame(lines, SCHEMA))
+    assert {r["line_no"]: r["place"] for r in d.collect()} == {2: 1, 1: 2, 0: 3}
+    assert "upper(" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
 def places(spark, kind, *lines):
     from docsieve.operators import traced
 
