@@ -107,6 +107,12 @@ def doubtful(lines: DataFrame, limit: int = 40) -> DataFrame:
 
 
 def enough(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, enough): five lines of four signs or more, and a mean confidence of theirs of 0.6."""
+    """(doc_id, page, enough): five lines of four signs or more, and a mean confidence of theirs of 0.6.
+
+    Confidences are added in the order of ``line_no``, as sums of doubles near 0.6 would else depend on how the rows are split.
+    """
     useful = F.length("text") >= 4
-    return lines.groupBy("doc_id", "page").agg(((F.count_if(useful) >= 5) & (F.avg(F.when(useful, F.col("conf"))) >= 0.6)).alias("enough"))
+    sure = F.collect_list(F.when(useful & F.col("conf").isNotNull(), F.struct("line_no", F.col("conf").cast("double").alias("conf"))))
+    got = lines.groupBy("doc_id", "page").agg(F.count_if(useful).alias("n"), F.array_sort(sure).alias("s"))
+    mean = F.aggregate("s", F.lit(0.0), lambda total, x: total + x["conf"]) / F.nullif(F.size("s"), F.lit(0))
+    return got.select("doc_id", "page", ((F.col("n") >= 5) & (mean >= 0.6)).alias("enough"))
